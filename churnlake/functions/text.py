@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters and patterns the cleaning steps remove.
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
@@ -85,9 +86,13 @@ def strip_accents(col: Column) -> Column:
     return F.regexp_replace(F.translate(col, source, target), r"\p{Mn}", "")
 
 
-@F.pandas_udf("string")
+@cache
+def _marks() -> dict[int, None]:
+    return dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn")
+
+
+@F.pandas_udf(T.StringType())
 def strip_accents_exact(texts: pd.Series) -> pd.Series:
     """Full compatibility decomposition, also of ligatures and other scripts."""
-    marks = dict.fromkeys(
-        c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn")
+    marks = _marks()
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).translate(marks))

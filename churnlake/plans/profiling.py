@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnlake.functions import clean, text
-from churnlake.operators import profile, ranking, sets
+from churnlake.operators import keys, profile, ranking, sets
 from churnlake.plans import roles
 from churnlake.plans.registry import query
 from churnlake.plans.roles import (
-    CRM, FINANCE, MESSAGES, SALES, SCORED, TRIPS, rounded, table, with_ctes)
+    FINANCE, SALES, SCORED, TRIPS, rounded, table, with_ctes)
 
 # ---------------------------------------------------------------- aggregation
 
@@ -38,8 +38,7 @@ def _(spark, sf):
 @query("a3_frequency_of_frequencies", """
 SELECT n, count(*) AS n_keys FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY n""")
 def _(spark, sf):
-    from churnlake.operators.keys import key_frequency
-    return key_frequency(table(spark, sf, "lineitem"), "l_orderkey")
+    return keys.key_frequency(table(spark, sf, "lineitem"), "l_orderkey")
 
 
 @query("a4_distinct_count", "\nUNION ALL ".join(
@@ -507,18 +506,15 @@ def _(spark, sf):
 
 
 @query("e2_target_by_level", with_ctes(TRIPS) + """
-SELECT travel_type AS level, sum(price / 1000) AS expo, CAST(sum(retained) AS BIGINT) AS tot,
-       sum(retained) / CAST(sum(program) AS DOUBLE) AS ave, sum(retained * 0.9::DOUBLE) AS tot_pred,
-       sum(retained * 0.9::DOUBLE) / sum(program) AS predprop
-FROM trips GROUP BY 1""".replace("sum(price / 1000)", "round(sum(price / 1000), 4)").replace(
-    "sum(retained * 0.9::DOUBLE)", "round(sum(retained * 0.9::DOUBLE), 4)"))
+SELECT travel_type AS level, round(sum(price / 1000), 4) AS expo, CAST(sum(retained) AS BIGINT) AS tot,
+       sum(retained) / CAST(sum(program) AS DOUBLE) AS ave, round(sum(retained * 0.9::DOUBLE), 4) AS tot_pred,
+       round(sum(retained * 0.9::DOUBLE) / sum(program), 9) AS predprop
+FROM trips GROUP BY 1""")
 def _(spark, sf):
     trips = roles.trips(spark, sf).withColumns({
         "expo": F.col("price") / 1000, "guess": F.col("retained") * F.lit(0.9)})
     out = profile.target_by_level(trips, "travel_type", "retained", exposure="expo", count="program", pred="guess")
-    out = rounded(out, expo=4, tot_pred=4)
-    programs = F.round(F.col("tot") / F.col("ave"))
-    return out.withColumn("predprop", F.col("tot_pred") / programs)
+    return rounded(out, expo=4, tot_pred=4, predprop=9)
 
 
 @query("e3_portfolio", with_ctes(TRIPS) + """
@@ -534,7 +530,7 @@ st AS (SELECT avg(retained) AS mean, var_samp(retained) AS var FROM trips)
 SELECT CASE WHEN (ave >= mean + var / 20 OR ave <= mean - var / 20) AND expo / (SELECT sum(expo) FROM lev) >= 0.02
             THEN CAST(level AS VARCHAR) ELSE 'other' END AS level,
        CAST(sum(expo) AS BIGINT) AS expo, CAST(sum(tot) AS BIGINT) AS tot, sum(tot) / sum(expo) AS ave
-FROM lev, st GROUP BY 1""".replace("\n,\nlev", ",\nlev"))
+FROM lev, st GROUP BY 1""")
 def _(spark, sf):
     trips = roles.trips(spark, sf).withColumn("month", F.month("departure_date"))
     by_month = profile.target_by_level(trips, "month", "retained")
@@ -551,10 +547,11 @@ def _(spark, sf):
 
 @query("e9_missing_share", with_ctes(SALES, FINANCE) + """
 SELECT * FROM (
-  SELECT 'special_pay' AS "column", 1 - count(special_pay) / count(*) AS share FROM sales LEFT JOIN finance USING (orderkey)
-  UNION ALL SELECT 'revenue', 1 - count(revenue) / count(*) FROM sales LEFT JOIN finance USING (orderkey))
-WHERE share > 0""".replace("1 - count(special_pay) / count(*)", "(count(*) - count(special_pay)) / count(*)").replace(
-    "1 - count(revenue) / count(*)", "(count(*) - count(revenue)) / count(*)"))
+  SELECT 'special_pay' AS "column", (count(*) - count(special_pay)) / count(*) AS share
+  FROM sales LEFT JOIN finance USING (orderkey)
+  UNION ALL SELECT 'revenue', (count(*) - count(revenue)) / count(*)
+  FROM sales LEFT JOIN finance USING (orderkey))
+WHERE share > 0""")
 def _(spark, sf):
     joined = roles.sales(spark, sf).join(
         roles.finance(spark, sf).select("orderkey", "special_pay", "revenue"), "orderkey", "left")
@@ -578,7 +575,7 @@ def _(spark, sf):
     return rounded(profile.correlated_pairs(roles.finance(spark, sf), NUMBERS), value=9)
 
 
-@query("e12_drop_correlated", with_ctes(FINANCE) + "SELECT id_finance, discount, n_lines FROM finance")
+@query("e12_drop_correlated", with_ctes(FINANCE) + "SELECT id_finance, round(discount, 9) AS discount, n_lines FROM finance")
 def _(spark, sf):
     finance = roles.finance(spark, sf).select("id_finance", *NUMBERS)
     out = profile.drop_correlated(finance, profile.correlated_pairs(finance, NUMBERS))
