@@ -7,10 +7,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from churnlake.operators.ranking import group_quantiles, largest, nearest_to, seeded_sample
-from churnlake.session import shuffle_width
+from churnlake.operators.ranking import (
+    group_quantiles, largest, nearest_to, seeded_sample, shuffled_position)
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -52,24 +51,12 @@ def pick_rows(scored: DataFrame, key: str, threshold: float, score: str = "pred"
     return out
 
 
-def _shuffled_position(df: DataFrame, key: str, seed: int, name: str) -> DataFrame:
-    """Positions 0..n-1 in a pseudo-random order, counted bucket by bucket."""
-    n_buckets = 4 * shuffle_width(df.sparkSession)
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    marked = df.withColumns({"_h": h, "_b": F.pmod(h, F.lit(n_buckets))})
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = marked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))  # one row per bucket
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1 + F.col("_off")
-    return marked.join(F.broadcast(offsets), "_b").withColumn(name, place).drop("_h", "_b", "_off")
-
-
 def permutation_importance(df: DataFrame, scorer: Scorer, key: str, label: str,
                            features: Sequence[str], seed: int = 1) -> DataFrame:
     """How much the log loss grows when one feature is taken from another row."""
     base = df.select(key, label, *features)
-    rows = _shuffled_position(base, key, seed, "_pos")
-    donors = _shuffled_position(base, key, seed + 1, "_pos").select(
+    rows = shuffled_position(base, key, seed, "_pos")
+    donors = shuffled_position(base, key, seed + 1, "_pos").select(
         "_pos", *[F.col(f).alias(f"_d_{f}") for f in features])
     pairs = rows.join(donors, "_pos")
     variants = F.array(F.lit(""), *[F.lit(f) for f in features])
@@ -113,8 +100,9 @@ def shapley_sample(rows: DataFrame, background: DataFrame, scorer: Scorer, key:
     scored = scorer(mixed).select(key, F.inline(F.array(
         F.struct(F.col("entered").alias("feature"), F.col("pred").alias("change")),
         F.struct(F.col("next").alias("feature"), (-F.col("pred")).alias("change")))))
-    per_walk = F.sum("change") / (n_orders * F.count(F.when(F.col("change") >= 0, 1)) / n_orders)
-    return scored.filter("feature is not null").groupBy(key, "feature").agg(per_walk.alias("contribution"))
+    # Every walk enters each feature once: one score with a plus, one with a minus.
+    mean_change = 2 * F.sum("change") / F.count(F.lit(1))
+    return scored.filter("feature is not null").groupBy(key, "feature").agg(mean_change.alias("contribution"))
 
 
 def linear_contributions(rows: DataFrame, background: DataFrame, key: str, coefficients: dict[str, float]) -> DataFrame:

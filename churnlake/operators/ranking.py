@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from churnlake.session import shuffle_width
+from churnlake.session import broadcast_if_small, shuffle_width
 
 RANGE = "_range"
 
@@ -134,3 +134,22 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in a repeatable random order: the smallest hashes of key and seed."""
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
     return df.orderBy(order, key).limit(n)
+
+
+def shuffled_position(df: DataFrame, key: str, seed: int, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Number the rows 0..n-1 in a repeatable random order, group after group.
+
+    Rows are hashed to buckets of about equal size, numbered there, and shifted
+    by the sizes of the buckets before. With ``by``, equal ``by`` values get
+    consecutive numbers.
+    """
+    by = list(by)
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    marked = df.withColumns({"_h": h, "_b": F.pmod(h, F.lit(4 * shuffle_width(df.sparkSession)))})
+    place = [*by, "_b"]
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per bucket and group of ``by``; used with a handful of classes.
+    offsets = marked.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).select(
+        *place, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    number = F.row_number().over(Window.partitionBy(*place).orderBy("_h", key)) - 1 + F.col("_off")
+    return marked.join(broadcast_if_small(offsets), place).withColumn(name, number).drop("_h", "_b", "_off")

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from churnlake.plans import profiling, relational, scoring, texts  # noqa: F401
+from churnlake.plans import preparing, profiling, relational, scoring, texts  # noqa: F401
 from churnlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -239,9 +239,9 @@ def sweep(spark, sf):
 
 
 @query("d2_discount_sweep", with_ctes(TRIPS, SWEEP) + """
-SELECT orderkey, pred, best_pred, best_discount, round(e_profit, 6) AS e_profit, round(max_profit, 6) AS max_profit FROM sweep""")
+SELECT orderkey, pred, best_pred, best_discount, round(e_profit, 10) AS e_profit, round(max_profit, 10) AS max_profit FROM sweep""")
 def _(spark, sf):
-    return rounded(sweep(spark, sf), e_profit=6, max_profit=6)
+    return rounded(sweep(spark, sf), e_profit=10, max_profit=10)
 
 
 @query("d2_discount_totals", with_ctes(TRIPS, SWEEP) + """
