@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from churnlake.operators import levels, prep, sentiment, texts, topics
+from churnlake.operators import levels, prep, profile, sentiment, texts, topics
 from churnlake.plans import roles
 from churnlake.plans.registry import query
-from churnlake.plans.roles import CRM, FINANCE, SALES, TRIPS, rounded, table, with_ctes
-from churnlake.plans.texts import message_counts, message_tfidf, message_tokens
+from churnlake.plans.roles import CRM, FINANCE, TRIPS, rounded, with_ctes
+from churnlake.plans.texts import message_counts, message_tfidf
+from churnlake.session import checkpoint
 
 
 @query("t9_lsa_singular_values")
@@ -126,10 +127,9 @@ def _(spark, sf):
     for c in ("departure_date", "price", "program", "travel_type")))
 def _(spark, sf):
     """Feature columns without keys and target, with their number of values."""
-    from churnlake.operators.profile import distinct_counts
     trips = roles.trips(spark, sf)
     names = prep.feature_names(trips, ("orderkey", "custkey", "retained"))
-    return distinct_counts(trips, names).withColumnRenamed("column", "feature")
+    return profile.distinct_counts(trips, names).withColumnRenamed("column", "feature")
 
 
 @query("m8_shared_features", with_ctes(TRIPS, SPLIT) + """,
@@ -164,7 +164,7 @@ def _(spark, sf):
 def _(spark, sf):
     joined = roles.trips(spark, sf).join(roles.crm(spark, sf).select("custkey", "nation"), "custkey")
     grouper = levels.LevelGrouper("nation", "retained", max_k=8)
-    return spark.createDataFrame(grouper.scores(grouper.level_table(joined)), "k int, silhouette double")
+    return spark.createDataFrame(grouper.scores(checkpoint(grouper.level_table(joined))), "k int, silhouette double")
 
 
 @query("e8_apply_learned_groups", with_ctes(TRIPS, SPLIT) + """,
