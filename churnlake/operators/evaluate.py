@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlake.operators.ranking import running_totals
+from churnlake.session import checkpoint
 
 
 def classify(score: Column, threshold: float, yes: str = "yes", no: str = "no") -> Column:
@@ -33,9 +34,7 @@ def _f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.try_divide(2 * tp, 2 * tp + fp + fn)
 
 
-def report(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
-    """Precision, recall, F1 and support of both classes, and the overall accuracy."""
-    one = df.agg(*_cells(F.col(label), F.col(score) >= threshold))
+def _class_lines(one: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
 
     def line(name: str, t: Column, f: Column, m: Column) -> Column:
@@ -47,46 +46,58 @@ def report(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame
     return one.select(F.inline(F.array(line("yes", tp, fp, fn), line("no", tn, fn, fp))))
 
 
+def report(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
+    """Precision, recall, F1 and support of both classes, and the overall accuracy."""
+    return _class_lines(df.agg(*_cells(F.col(label), F.col(score) >= threshold)))
+
+
 def naive_f1(df: DataFrame, label: str) -> DataFrame:
     """F1 and accuracy of predicting everybody positive."""
     p = F.avg(F.col(label).cast("double"))
     return df.agg(p.alias("accuracy"), (2 * p / (p + 1)).alias("f1"))
 
 
-def curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score, used as threshold: ``tp, fp, fn, tn``."""
-    run = running_totals(df, score, {"n": F.lit(1), "pos": F.col(label)})
-    total = df.filter(F.col(score).isNotNull()).select(
-        F.struct(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))).scalar()
+# --- metrics over all thresholds --------------------------------------------------------
+
+def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+    """``(threshold, n, pos)``: rows and positives per distinct score, written out.
+
+    All threshold metrics read this table, so the model scores its rows once.
+    """
+    known = df.filter(F.col(score).isNotNull())
+    return checkpoint(known.groupBy(F.col(score).alias("threshold")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")))
+
+
+def curve_of(counts: DataFrame) -> DataFrame:
+    """Per distinct score, used as threshold: ``n, pos, tp, fp, fn, tn``."""
+    run = running_totals(counts, "threshold", {"n": F.col("n"), "pos": F.col("pos")}, distinct=True)
+    total = counts.select(F.struct(F.sum("n").alias("n"), F.sum("pos").alias("pos"))).scalar()
     tp, predicted = F.col("cum_pos"), F.col("cum_n")
     return run.select(
-        F.col(score).alias("threshold"), F.col("n"), F.col("pos"), tp.alias("tp"), (predicted - tp).alias("fp"),
+        "threshold", "n", "pos", tp.alias("tp"), (predicted - tp).alias("fp"),
         (total["pos"] - tp).alias("fn"), (total["n"] - predicted - total["pos"] + tp).alias("tn"))
 
 
-def roc(df: DataFrame, label: str, score: str) -> DataFrame:
-    points = curve(df, label, score)
-    return points.select(
-        "threshold", F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("tpr"),
-        F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"))
-
-
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties counting half."""
-    points = curve(df, label, score)
+def auc_of(counts: DataFrame) -> DataFrame:
     neg = (F.col("n") - F.col("pos")).cast("double")
     # tn negatives lie strictly below this score; its own negatives tie.
     right = F.sum(F.col("pos") * (F.col("tn") + neg / 2))
     pairs = F.sum("pos").cast("double") * F.sum(neg)
-    return points.agg(F.try_divide(right, pairs).alias("auc"))
+    return curve_of(counts).agg(F.try_divide(right, pairs).alias("auc"))
 
 
-def gini(df: DataFrame, label: str, score: str) -> DataFrame:
-    return auc(df, label, score).select((2 * F.col("auc") - 1).alias("gini"))
+def report_of(counts: DataFrame, threshold: float) -> DataFrame:
+    hit, pos, neg = F.col("threshold") >= threshold, F.col("pos"), F.col("n") - F.col("pos")
 
+    def cell(rows: Column, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, rows)), F.lit(0))
 
-def best_thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
-    """For each criterion its maximum and the (highest) threshold that reaches it."""
+    return _class_lines(counts.agg(
+        cell(pos, hit).alias("tp"), cell(neg, hit).alias("fp"), cell(pos, ~hit).alias("fn"), cell(neg, ~hit).alias("tn")))
+
+
+def best_of(counts: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     recall, specificity = F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)
     criteria = {
@@ -97,25 +108,46 @@ def best_thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
         "specificity": specificity,
         "min_per_class_accuracy": F.least(recall, specificity),
     }
-    best = curve(df, label, score).agg(*[
+    best = curve_of(counts).agg(*[
         F.max(F.struct(v.alias("value"), F.col("threshold"))).alias(k) for k, v in criteria.items()])
     return best.select(F.inline(F.array(*[
         F.struct(F.lit(k).alias("criterion"), F.col(k)["threshold"].alias("threshold"), F.col(k)["value"].alias("value"))
         for k in criteria])))
 
 
-def max_f1_threshold(df: DataFrame, label: str, score: str) -> float:
-    row = best_thresholds(df, label, score).filter("criterion = 'f1'").first()  # one row
-    return row["threshold"]
+def roc(df: DataFrame, label: str, score: str) -> DataFrame:
+    return curve_of(score_counts(df, label, score)).select(
+        "threshold", F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("tpr"),
+        F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"))
+
+
+def auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Share of (positive, negative) pairs in the right order, ties counting half."""
+    return auc_of(score_counts(df, label, score))
+
+
+def gini(df: DataFrame, label: str, score: str) -> DataFrame:
+    return auc(df, label, score).select((2 * F.col("auc") - 1).alias("gini"))
+
+
+def best_thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
+    """For each criterion its maximum and the (highest) threshold that reaches it."""
+    return best_of(score_counts(df, label, score))
+
+
+def max_f1(counts: DataFrame) -> tuple[float, float]:
+    """Threshold and value of the largest F1."""
+    row = best_of(counts).filter("criterion = 'f1'").first()  # one row
+    return row["threshold"], row["value"]
 
 
 def lift(df: DataFrame, label: str, score: str) -> DataFrame:
     """Cumulated observed and predicted positives from the highest score down."""
-    run = running_totals(df, score, {"n": F.lit(1), "obs": F.col(label), "predicted": F.col(score)})
-    total = df.filter(F.col(score).isNotNull()).select(
-        F.struct(F.count(F.lit(1)).alias("n"), F.sum(label).alias("obs"))).scalar()
+    counts = score_counts(df, label, score).withColumn("predicted", F.col("threshold") * F.col("n"))
+    run = running_totals(counts, "threshold", {c: F.col(c) for c in ("n", "pos", "predicted")}, distinct=True)
+    total = counts.select(F.struct(F.sum("n").alias("n"), F.sum("pos").alias("pos"))).scalar()
     return run.select(
-        score, (F.col("obs") / total["obs"]).alias("perc"), F.col("cum_obs").alias("obs_cum"),
+        F.col("threshold").alias(score), (F.col("pos") / total["pos"]).alias("perc"), F.col("cum_pos").alias("obs_cum"),
         F.col("cum_predicted").alias("pred_cum"), (F.lit(100.0) * F.col("cum_n") / total["n"]).alias("percentile"))
 
 
@@ -132,13 +164,13 @@ def calibration(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.agg(F.avg(score).alias("predicted"), F.avg(label).alias("observed"))
 
 
-def results_table(sets: Mapping[tuple[str, str], tuple[DataFrame, float]], label: str, score: str) -> DataFrame:
-    """``(model, set, auc, accuracy, f1_score)`` for scored sets with their thresholds."""
+def results_table(sets: Mapping[tuple[str, str], tuple[DataFrame, float]]) -> DataFrame:
+    """``(model, set, auc, accuracy, f1_score)`` from score counts with their thresholds."""
     out = None
-    for (model, name), (df, threshold) in sets.items():
-        quality = report(df, label, score, threshold).filter(F.col("class") == "yes")
+    for (model, name), (counts, threshold) in sets.items():
+        quality = report_of(counts, threshold).filter(F.col("class") == "yes")
         row = quality.select(
-            F.lit(model).alias("model"), F.lit(name).alias("set"), auc(df, label, score).scalar().alias("auc"),
+            F.lit(model).alias("model"), F.lit(name).alias("set"), auc_of(counts).scalar().alias("auc"),
             "accuracy", F.col("f1").alias("f1_score"))
         out = row if out is None else out.unionByName(row)
     return out

@@ -16,9 +16,11 @@ import random
 import time
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
@@ -102,8 +104,10 @@ def fit(family: str, train: DataFrame, label: str, params: Mapping | None = None
         estimator = GBTClassifier(
             **io, maxIter=p.get("trees", 20), maxDepth=p.get("depth", 4), stepSize=p.get("rate", 0.1),
             subsamplingRate=p.get("sample", 1.0), minInstancesPerNode=p.get("min_rows", 1), maxBins=p.get("bins", 32),
-            featureSubsetStrategy=str(p.get("columns", "all")), seed=p.get("seed", 1),
-            validationIndicatorCol=p.get("validation_col"), validationTol=p.get("stop_tol", 0.01))
+            featureSubsetStrategy=str(p.get("columns", "all")), seed=p.get("seed", 1))
+        if "validation_col" in p:
+            estimator = estimator.setValidationIndicatorCol(p["validation_col"])
+            estimator = estimator.setParams(validationTol=p.get("stop_tol", 0.01))
     elif family == "rf":
         estimator = RandomForestClassifier(
             **io, numTrees=p.get("trees", 50), maxDepth=p.get("depth", 6), seed=p.get("seed", 1),
@@ -245,22 +249,27 @@ def add_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 1, name:
     return shuffled_position(df, key, seed, name, [label]).withColumn(name, (F.col(name) % k).cast("int"))
 
 
-def quality(scored: DataFrame, label: str, metric: str, threshold: float | None = None) -> float:
-    """One number for a scored set: auc, f1 at the best threshold, or accuracy."""
-    if metric == "auc":
-        return evaluate.auc(scored, label, "pred").first()[0] or 0.0
-    if metric == "f1" and threshold is None:
-        return evaluate.best_thresholds(scored, label, "pred").filter("criterion = 'f1'").first()["value"]
-    row = evaluate.report(scored, label, "pred", 0.5 if threshold is None else threshold).filter("class = 'yes'").first()
-    return row[metric] or 0.0
+def quality(scored: DataFrame, label: str, metric: str) -> float:
+    """One number for a scored set: auc, f1 at the best threshold, or accuracy at a half."""
+    if metric == "accuracy":
+        return evaluate.report(scored, label, "pred", 0.5).first()["accuracy"]
+    counts = evaluate.score_counts(scored, label, "pred")
+    return evaluate.max_f1(counts)[1] if metric == "f1" else evaluate.auc_of(counts).first()["auc"] or 0.0
 
 
-def cross_validate(family: str, folded: DataFrame, label: str, params: Mapping, folds: int, metric: str) -> list[float]:
-    out = []
-    for f in range(folds):
+def cross_validate(family: str, folded: DataFrame, label: str, candidates: Sequence[Mapping], folds: int,
+                   metric: str, parallelism: int = 8) -> list[list[float]]:
+    """Scores per candidate and fold; several models train at the same time."""
+
+    def one(task: tuple[Mapping, int]) -> float:
+        params, f = task
         model = fit(family, folded.filter(F.col("fold") != f), label, params)
-        out.append(quality(model.score(folded.filter(F.col("fold") == f)).select(label, "pred"), label, metric))
-    return out
+        return quality(model.score(folded.filter(F.col("fold") == f)), label, metric)
+
+    tasks = [(params, f) for params in candidates for f in range(folds)]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        flat = pool.map(inheritable_thread_target(folded.sparkSession)(one), tasks)
+    return [flat[i:i + folds] for i in range(0, len(flat), folds)]
 
 
 def grid(**choices: Iterable) -> list[dict]:
@@ -298,20 +307,25 @@ class Search:
 
 def search(family: str, train: DataFrame, label: str, key: str, candidates: Sequence[Mapping], folds: int = 2,
            metric: str = "f1", seed: int = 1, max_secs: float = 3600.0, stop_rounds: int | None = None,
-           stop_tol: float = 1e-3) -> Search:
+           stop_tol: float = 1e-3, parallelism: int = 8) -> Search:
     """Cross-validate each candidate, refit the best on all rows.
 
-    Stops at the time limit, or when the best score has not grown by
-    ``stop_tol`` over ``stop_rounds`` candidates.
+    Candidates run in batches. The search stops after a batch that ends past the
+    time limit, or when the best score has not grown by ``stop_tol`` over
+    ``stop_rounds`` candidates.
     """
     folded = checkpoint(add_folds(train, label, key, folds, seed))
     started, results, best, stale = time.monotonic(), [], -math.inf, 0
-    for params in candidates:
-        scores = cross_validate(family, folded, label, params, folds, metric)
-        results.append({"params": dict(params), "scores": scores})
-        mean = float(np.mean(scores))
-        stale = 0 if mean > best + stop_tol else stale + 1
-        best = max(best, mean)
+    batch = max(1, parallelism // folds)
+    if stop_rounds:
+        batch = min(batch, stop_rounds)
+    for start in range(0, len(candidates), batch):
+        some = candidates[start:start + batch]
+        for params, scores in zip(some, cross_validate(family, folded, label, some, folds, metric, parallelism)):
+            results.append({"params": dict(params), "scores": scores})
+            mean = float(np.mean(scores))
+            stale = 0 if mean > best + stop_tol else stale + 1
+            best = max(best, mean)
         if time.monotonic() - started > max_secs or (stop_rounds and stale >= stop_rounds):
             break
     top = max(results, key=lambda r: np.mean(r["scores"]))
@@ -369,14 +383,13 @@ def automl(train: DataFrame, label: str, key: str, plans: Sequence[tuple[str, Se
     folded = checkpoint(add_folds(train, label, key, folds, seed))
     deadline, board = time.monotonic() + max_secs, []
     for family, candidates in plans:
-        for params in candidates:
-            if board and time.monotonic() > deadline:
-                break
-            scores = cross_validate(family, folded, label, params, folds, metric)
+        if board and time.monotonic() > deadline:
+            break
+        for params, scores in zip(candidates, cross_validate(family, folded, label, candidates, folds, metric)):
             board.append({"family": family, "params": dict(params), "score": float(np.mean(scores))})
     for entry in sorted(board, key=lambda b: -b["score"]):
         model = fit(entry["family"], folded, label, entry["params"])
-        if quality(model.score(folded).select(label, "pred"), label, "auc") < too_good:
+        if quality(model.score(folded), label, "auc") < too_good:
             return model, board
     raise ValueError("every model fits the training rows too well")
 

@@ -31,14 +31,18 @@ def add_range(df: DataFrame, col: str, cuts: Sequence[float]) -> DataFrame:
 
 
 def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column],
-                   descending: bool = True, n_ranges: int | None = None) -> DataFrame:
+                   descending: bool = True, n_ranges: int | None = None, distinct: bool = False) -> DataFrame:
     """Running sums over a global order, one row per distinct ``order_col`` value.
 
     Gives ``order_col``, the per-value sums, and ``cum_<name>`` for every name.
+    ``distinct`` says that every value occurs once already.
     """
     df = df.filter(F.col(order_col).isNotNull())
     cuts = value_ranges(df, order_col, n_ranges)
-    per_value = df.groupBy(order_col).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    if distinct:
+        per_value = df.select(order_col, *[e.alias(n) for n, e in sums.items()])
+    else:
+        per_value = df.groupBy(order_col).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     per_value = add_range(per_value, order_col, cuts)
     direction = F.desc if descending else F.asc
     before = Window.orderBy(direction(RANGE)).rowsBetween(Window.unboundedPreceding, -1)

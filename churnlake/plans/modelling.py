@@ -31,9 +31,9 @@ def prepared(spark, sf):
 
 def results(name, model, train, test):
     """AUC, accuracy and F1 of a model on both sets, at the threshold best for training F1."""
-    scored = {s: model.score(d).select("retained", "pred") for s, d in (("train", train), ("test", test))}
-    cut = evaluate.max_f1_threshold(scored["train"], "retained", "pred")
-    return evaluate.results_table({(name, s): (d, cut) for s, d in scored.items()}, "retained", "pred")
+    counts = {s: evaluate.score_counts(model.score(d), "retained", "pred") for s, d in (("train", train), ("test", test))}
+    cut, _ = evaluate.max_f1(counts["train"])
+    return evaluate.results_table({(name, s): (c, cut) for s, c in counts.items()})
 
 
 def searched(spark, sf, family, candidates, **kw):
@@ -218,7 +218,7 @@ def _(spark, sf):
     train, unseen = (with_month(d) for d in split_trips(spark, sf))
     pipeline = prep.feature_pipeline(TEXT, NUMBERS).fit(train)
     model = models.fit("glm", pipeline.transform(train), "retained")
-    cut = evaluate.max_f1_threshold(model.score(pipeline.transform(train)), "retained", "pred")
+    cut, _ = evaluate.max_f1(evaluate.score_counts(model.score(pipeline.transform(train)), "retained", "pred"))
     path = tables.shared_folder(spark, "model")
     stored.save_model(spark, PipelineModel(stages=[*pipeline.stages, model.model]), cut, path)
     loaded, threshold = stored.load_model(spark, path)

@@ -120,9 +120,9 @@ def result_sql(name, where):
 def _(spark, sf):
     """Both parts of a 3:1 split, each row of the table in exactly one part."""
     scored = roles.scored(spark, sf)
-    sets = {("formula", "train"): (scored.filter("orderkey % 4 <> 0"), CUT),
-            ("formula", "test"): (scored.filter("orderkey % 4 = 0"), CUT)}
-    return rounded(evaluate.results_table(sets, "retained", "pred"), auc=9)
+    parts = {"train": scored.filter("orderkey % 4 <> 0"), "test": scored.filter("orderkey % 4 = 0")}
+    counts = {("formula", name): (evaluate.score_counts(part, "retained", "pred"), CUT) for name, part in parts.items()}
+    return rounded(evaluate.results_table(counts), auc=9)
 
 
 @query("v12_observed_predicted_by_level", with_ctes(SCORED) + """
