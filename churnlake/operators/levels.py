@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -53,9 +56,9 @@ class LevelGrouper:
     """
 
     def __init__(self, col: str, target: str, threshold: float = 0.05, k: int | None = None,
-                 max_k: int = 20, letters: bool = False, seed: int = 2022):
+                 max_k: int | None = None, letters: bool = False, seed: int = 2022, parallelism: int = 8):
         self.col, self.target, self.threshold = col, target, threshold
-        self.k, self.max_k, self.letters, self.seed = k, max_k, letters, seed
+        self.k, self.max_k, self.letters, self.seed, self.parallelism = k, max_k, letters, seed, parallelism
 
     def level_table(self, df: DataFrame) -> DataFrame:
         table = df.groupBy(_level(self.col).alias("level")).agg(
@@ -66,16 +69,23 @@ class LevelGrouper:
         return scaled.transform(points).select("level", "n", "weight", "point")
 
     def scores(self, levels: DataFrame) -> list[tuple[int, float]]:
-        """Silhouette of each number of clusters from 2 up to the number of levels or ``max_k``."""
+        """Silhouette of each number of clusters, from 2 to below the number of levels (or to ``max_k``)."""
         n_levels = levels.count()
         judge = ClusteringEvaluator(featuresCol="point", predictionCol="cluster", weightCol="weight")
-        out = []
-        for k in range(2, min(n_levels - 1, self.max_k) + 1):
+
+        def one(k: int) -> tuple[int, float] | None:
             clustered = self._kmeans(levels, k)
             # Equal points may leave a single cluster, which has no silhouette.
-            if clustered.select("cluster").distinct().count() > 1:
-                out.append((k, judge.evaluate(clustered)))
-        return out
+            if clustered.select("cluster").distinct().count() < 2:
+                return None
+            return k, judge.evaluate(clustered)
+
+        sizes = range(2, min(n_levels - 1, self.max_k or n_levels) + 1)
+        if not sizes:
+            return []
+        with ThreadPool(min(self.parallelism, len(sizes))) as pool:
+            found = pool.map(inheritable_thread_target(levels.sparkSession)(one), sizes)
+        return [f for f in found if f]
 
     def choose_k(self, levels: DataFrame) -> int:
         """The first number of clusters whose silhouette reaches the 95th percentile."""

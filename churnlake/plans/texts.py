@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from churnlake.functions import text
@@ -9,6 +11,9 @@ from churnlake.operators import sentiment, texts
 from churnlake.plans import roles
 from churnlake.plans.registry import query
 from churnlake.plans.roles import MESSAGES, rounded, table, with_ctes
+from churnlake.session import checkpoint
+from churnlake.sources import tables
+from churnlake.streaming import live
 
 # Frequent words of the invented texts; text.stop_words() gives the full English list.
 STOP = ("the of and to in is that it for was on as be with by this are from an at "
@@ -288,14 +293,20 @@ def _(spark, sf):
     return scores.groupBy(sentiment.polarity_class(F.col("polarity"), 0.1).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-CLEANED_WORDS = BARE.format(source="cleaned").replace("FROM messages))", f"FROM (SELECT doc_id, text, {tweet_sql('text')} AS cleaned FROM messages)))")
+CLEANED = f"messages2 AS (SELECT doc_id, {tweet_sql('text')} AS text FROM messages)"
+
+
+def second(sql: str) -> str:
+    """The same steps on the cleaned messages; the lexicon stays that of the raw ones."""
+    for name in ("messages", "words", "each", "hits", "sums", "marks", "tot", "sentiment"):
+        sql = re.sub(rf"\b{name}(?= AS \()|(?<=FROM ){name}\b|(?<=JOIN ){name}\b", f"{name}2", sql)
+    return sql
+
 
+SECOND = ",\n".join([CLEANED, second(WORDS), second(EACH), second(VALENCE)])
 
-@query("t19_raw_against_cleaned", with_ctes(MESSAGES, WORDS, LEXICON, EACH, VALENCE) + ",\n"
-       + ",\n".join([CLEANED_WORDS.replace("words AS", "words2 AS", 1), EACH.replace("each AS", "each2 AS").replace("FROM words)", "FROM words2)"),
-                     VALENCE.replace("hits", "hits2").replace("FROM each", "FROM each2").replace("sums", "sums2")
-                     .replace("tot AS", "tot2 AS").replace("FROM tot)", "FROM tot2)").replace("marks", "marks2")
-                     .replace("sentiment AS (", "sentiment2 AS (")]) + """
+
+@query("t19_raw_against_cleaned", with_ctes(MESSAGES, WORDS, LEXICON, EACH, VALENCE, SECOND) + """
 SELECT doc_id, round(a.sentiment, 7) AS sentiment_a, round(b.sentiment, 7) AS sentiment_b
 FROM sentiment a JOIN sentiment2 b USING (doc_id) WHERE abs(a.sentiment - b.sentiment) > 1e-9""")
 def _(spark, sf):
@@ -303,3 +314,18 @@ def _(spark, sf):
     cleaned = roles.messages(spark, sf).withColumn("text", text.clean_tweet(F.col("text")))
     out = sentiment.differing(message_valence(spark, sf), message_valence(spark, sf, cleaned), "doc_id", "sentiment", 1e-9)
     return rounded(out, sentiment_a=7, sentiment_b=7)
+
+
+@query("d6_live_sentiment", with_ctes(MESSAGES, WORDS, LEXICON, SECOND) + """
+SELECT doc_id, round(sentiment, 7) AS sentiment FROM sentiment2""")
+def _(spark, sf):
+    """The stored messages arrive as a stream; each batch is cleaned, scored and written."""
+    folder = tables.shared_folder(spark, "live-sentiment")
+    schema = table(spark, sf, "conversations").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf).select(
+        F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
+    words = checkpoint(lexicon(spark, sf))
+    job = live.score_messages(stream, "doc_id", "text", words, f"{folder}/out", f"{folder}/state",
+                              boosters=BOOSTERS, negations=NEGATIONS, contrast=CONTRAST)
+    job.awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out").select("doc_id", "sentiment"), sentiment=7)
