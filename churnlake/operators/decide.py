@@ -31,26 +31,30 @@ def scenario(df: DataFrame, scorer: Scorer, segment: Column, changes: Mapping[st
 def discount_sweep(df: DataFrame, scorer: Scorer, key: str, revenue: str,
                    discounts: Sequence[float] = (0.01, 0.02, 0.03, 0.04, 0.05), margin: float = 0.05,
                    recompute: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Best discount per row by expected profit: ``key, pred, e_profit, best_discount, max_profit``.
+    """Best discount per row by expected profit.
 
-    All discounts are scored in one pass. The discounts of a row sit in one
-    task, so they are folded before anything is shuffled. Ties keep the smaller
-    discount.
+    Gives ``key, pred, e_profit, best_discount, best_pred, max_profit``. All
+    discounts are scored in one pass. The offers of a row sit in one task, so
+    they are folded into one row of numbers before anything is shuffled. Ties
+    keep the smaller discount.
     """
-    offers = F.array(*[F.lit(float(d)) for d in (0.0, *discounts)])
-    swept = df.withColumn("_discount", F.explode(offers)).withColumn(
-        revenue, F.col(revenue) * (1 - F.col("_discount")))
+    offers = sorted({0.0, *map(float, discounts)})
+    swept = df.select("*", F.posexplode(F.array(*[F.lit(d) for d in offers])).alias("_offer", "_discount"))
+    swept = swept.withColumn(revenue, F.col(revenue) * (1 - F.col("_discount")))
     if recompute:
         swept = recompute(swept)
-    profit = F.col(revenue) * margin * F.col("pred")
-    swept = scorer(swept).select(key, "_discount", "pred", profit.alias("_profit"))
-    base = F.col("_discount") == 0
-    best = F.max(F.struct(F.col("_profit").alias("p"), (-F.col("_discount")).alias("d"), F.col("pred").alias("s")))
-    return swept.groupBy(key).agg(
-        F.max(F.when(base, F.col("pred"))).alias("pred"), F.max(F.when(base, F.col("_profit"))).alias("e_profit"),
-        best.alias("_best")).select(
-        key, "pred", "e_profit", F.abs(F.col("_best")["d"]).alias("best_discount"),
-        F.col("_best")["s"].alias("best_pred"), F.col("_best")["p"].alias("max_profit"))
+    swept = scorer(swept).select(key, "_offer", "pred", (F.col(revenue) * margin * F.col("pred")).alias("_profit"))
+    wide = swept.groupBy(key).agg(*[
+        F.max(F.when(F.col("_offer") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(offers)) for c in ("pred", "_profit")])
+    best = F.greatest(*[F.col(f"_profit{i}") for i in range(len(offers))])
+
+    def at_best(values: list[Column]) -> Column:
+        return F.coalesce(*[F.when(F.col(f"_profit{i}") == best, v) for i, v in enumerate(values)])
+
+    return wide.select(
+        key, F.col("pred0").alias("pred"), F.col("_profit0").alias("e_profit"),
+        at_best([F.lit(d) for d in offers]).alias("best_discount"),
+        at_best([F.col(f"pred{i}") for i in range(len(offers))]).alias("best_pred"), best.alias("max_profit"))
 
 
 def sweep_totals(sweep: DataFrame) -> DataFrame:

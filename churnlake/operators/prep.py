@@ -36,7 +36,7 @@ def stratified_split(df: DataFrame, label: str, key: str, p: float = 0.75, seed:
     edge = buckets.filter((F.col("_want") > F.col("_before")) & (F.col("_want") <= F.col("_before") + F.col("_n")))
     rank = F.row_number().over(Window.partitionBy("_class", "_b").orderBy("_h", "_key"))
     last = (
-        keyed.join(F.broadcast(edge.select("_class", "_b", "_before", "_want")), ["_class", "_b"])
+        keyed.join(broadcast_if_small(edge.select("_class", "_b", "_before", "_want")), ["_class", "_b"])
         .withColumn("_rank", rank + F.col("_before")).filter(F.col("_rank") == F.col("_want"))
         .select("_class", F.struct("_h", "_key").alias("_last")))
     out = df.withColumn("_class", cls).join(broadcast_if_small(last), "_class", "left")
@@ -58,7 +58,7 @@ def one_hot(cols: Sequence[str]) -> Pipeline:
     """Fixed-width indicator vectors ``<col>_vec``; unseen levels get a slot of their own."""
     index = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols], handleInvalid="keep")
     encode = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_vec" for c in cols],
-                           dropLast=False, handleInvalid="keep")
+                           dropLast=False)
     return Pipeline(stages=[index, encode])
 
 

@@ -14,9 +14,9 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from churnlake.operators.ranking import first_per_group, group_quantiles
+from churnlake.session import broadcast_if_small, checkpoint
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -195,29 +195,39 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def dictionary(df: DataFrame, max_levels: int = 50) -> DataFrame:
-    """Data dictionary: type, missing count, and level counts or a numeric range."""
-    counts = level_counts(df, df.columns)
-    types = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, f.dataType.simpleString())])
-    sizes = counts.groupBy("column").agg(
-        F.count("value").alias("n_levels"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+    """Data dictionary: type, missing count, and level counts or a numeric range.
+
+    A first pass estimates the number of levels of each column; only columns
+    that may have few are counted level by level, so identifiers are never
+    shuffled.
+    """
     numbers = numeric_columns(df)
-    texts = sizes.filter(~F.col("column").isin(numbers) & (F.col("n_levels") <= max_levels))
-    # At most max_levels entries per column reach the list.
-    listed = (
-        counts.filter(F.col("value").isNotNull()).join(F.broadcast(texts.select("column")), "column")
-        .groupBy("column").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "value"))).alias("l"))
-        .select("column", F.array_join(F.transform(
-            "l", lambda x: F.concat_ws(": ", x["value"], (-x["k"]).cast("string"))), ", ").alias("level_list"))
-    )
-    out = sizes.join(listed, "column", "left")
-    text_info = F.coalesce("level_list", F.lit(f"more than {max_levels} levels"))
+    texts = [c for c in df.columns if c not in numbers]
+    sketch = df.agg(*[F.approx_count_distinct(c).alias(c) for c in texts] or [F.lit(0)]).first()  # one row
+    few = [c for c in texts if sketch[c] <= 4 * max_levels]
+
+    facts = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in df.columns])
+    out = facts.unpivot([], facts.columns, "column", "missing")
+    types = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, f.dataType.simpleString())])
+    content = F.lit(f"more than {max_levels} levels")
+    if few:
+        counts = level_counts(df, few).filter(F.col("value").isNotNull())
+        # At most max_levels + 1 entries per column reach the list.
+        listed = first_per_group(counts, ["column"], [F.desc("n"), F.asc("value")], max_levels + 1, "position").groupBy(
+            "column").agg(F.count(F.lit(1)).alias("n_levels"), F.array_sort(F.collect_list(
+                F.struct("position", F.concat_ws(": ", "value", F.col("n").cast("string")).alias("t")))).alias("l"))
+        texts_of = F.array_join(F.transform("l", lambda x: x["t"]), ", ")
+        listed = listed.select("column", "n_levels", texts_of.alias("level_list"))
+        out = out.join(broadcast_if_small(listed), "column", "left")
+        shown = F.when(F.col("n_levels") <= max_levels, F.col("level_list")).when(F.col("n_levels").isNull(), "")
+        content = F.when(F.col("column").isin(*few), shown.otherwise(content)).otherwise(content)
     if numbers:
-        ranges = summary(df, numbers).select("column", *[F.format_number(c, 2).alias(c) for c in ("min", "max", "median", "mean")])
-        out = out.join(ranges, "column", "left")
-        text_info = F.when(F.col("column").isin(numbers), F.concat(
-            F.lit("min "), "min", F.lit(", max "), "max", F.lit(", med "), "median", F.lit(", mean "), "mean")).otherwise(text_info)
-    return out.select("column", types[F.col("column")].alias("dtype"), "missing", text_info.alias("content"))
+        ranges = summary(df, numbers).select(
+            "column", *[F.format_number(c, 2).alias(c) for c in ("min", "max", "median", "mean")])
+        out = out.join(broadcast_if_small(ranges), "column", "left")
+        content = F.when(F.col("column").isin(numbers), F.concat(
+            F.lit("min "), "min", F.lit(", max "), "max", F.lit(", med "), "median", F.lit(", mean "), "mean")).otherwise(content)
+    return out.select("column", types[F.col("column")].alias("dtype"), "missing", content.alias("content"))
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -237,10 +247,10 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     source = df if by else df.withColumn("_one", F.lit(1))
     keys = by or ["_one"]
-    quart = group_quantiles(source, keys, col, QUARTILES)
+    quart = broadcast_if_small(checkpoint(group_quantiles(source, keys, col, QUARTILES)))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     value = F.col(col)
-    # The quartiles are one row per group; the whiskers need them next to the rows.
+    # One row per group, next to the rows; many groups join by key instead.
     joined = source.filter(value.isNotNull()).join(quart, keys)
     whiskers = joined.groupBy(*keys).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),

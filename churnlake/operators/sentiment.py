@@ -97,13 +97,12 @@ def valence(df: DataFrame, doc: str, text: str, lexicon: DataFrame,
         return F.struct(word.alias("token"), boost.alias("boost"), (negated * side).alias("factor"),
                         capitals.alias("capitals"))
 
-    mixed = F.exists("_raw", lambda w: (w != F.upper(w)))
-    words = _words(df.select(doc, text), text)
-    words = words.select(
-        doc, mixed.alias("_mixed"),
-        (F.length(text) - F.length(F.replace(F.col(text), F.lit("!"), F.lit("")))).alias("_exclaim"),
-        (F.length(text) - F.length(F.replace(F.col(text), F.lit("?"), F.lit("")))).alias("_ask"),
-        F.inline_outer(F.transform("_w", marked)))
+    # Per-text facts are columns before the words fan out, so they are found once.
+    words = _words(df.select(doc, text), text).withColumns({
+        "_mixed": F.exists("_raw", lambda w: w != F.upper(w)),
+        "_exclaim": F.length(text) - F.length(F.replace(F.col(text), F.lit("!"), F.lit(""))),
+        "_ask": F.length(text) - F.length(F.replace(F.col(text), F.lit("?"), F.lit(""))),
+    }).select(doc, "_mixed", "_exclaim", "_ask", F.inline_outer(F.transform("_w", marked)))
     hit = words.join(broadcast_if_small(known), "token", "left")
     sign = F.signum("valence")
     shouted = F.when(F.col("capitals") & F.col("_mixed"), CAPITALS).otherwise(0.0)

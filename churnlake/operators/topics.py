@@ -121,20 +121,22 @@ def _sparse(size, entries):
     return Vectors.sparse(size, sorted((e["id"], float(e["tf"])) for e in entries))
 
 
-def lda(counts: DataFrame, doc: str, k: int = 10, max_iter: int = 10, seed: int = 1, n_terms: int = 7) -> DataFrame:
+def lda(counts: DataFrame, doc: str, k: int = 10, max_iter: int = 10, seed: int = 1, n_terms: int = 7,
+        doc_concentration: float = 1.1, topic_concentration: float = 1.1) -> DataFrame:
     """``(topic, term, weight)``: strongest terms of each topic.
 
     The expectation-maximisation form keeps words and documents distributed; a
     document's words form one sparse vector, bounded by its one text.
     """
-    checkpoint_ready = checkpoint(counts.select(doc, "term", "tf"))
-    index = checkpoint(dense_index(checkpoint_ready, "term", "id"))
+    stored = checkpoint(counts.select(doc, "term", "tf"))
+    index = checkpoint(dense_index(stored, "term", "id"))
     size = index.count()
-    vectors = checkpoint_ready.join(index, "term").groupBy(doc).agg(
+    vectors = stored.join(index, "term").groupBy(doc).agg(
         _sparse(F.lit(size), F.collect_list(F.struct("id", "tf"))).alias("features"))
-    numbers = dense_index(checkpoint_ready, doc, "number")
+    numbers = dense_index(stored, doc, "number")
     rows = vectors.join(numbers, doc).select(F.col("number").cast("long").alias("id"), "features")
-    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="em", featuresCol="features").fit(rows)
+    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="em", featuresCol="features",
+                docConcentration=[doc_concentration], topicConcentration=topic_concentration).fit(rows)
     described = model.describeTopics(n_terms).select("topic", F.inline(F.arrays_zip("termIndices", "termWeights")))
     return described.join(index, described["termIndices"] == index["id"]).select(
         "topic", "term", F.col("termWeights").alias("weight"))

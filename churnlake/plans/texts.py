@@ -59,19 +59,19 @@ def message_counts(spark, sf):
 
 @query("t1_clean_tweet", f"SELECT doc_id, {tweet_sql('text')} AS text FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.clean_tweet(F.col("text")).alias("text"))
+    return roles.documents(spark, sf).select("doc_id", text.clean_tweet(F.col("text")).alias("text"))
 
 
 @query("t2_clean_text", f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS words FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
+    return roles.documents(spark, sf).select(
         "doc_id", F.array_join(text.tokens(F.col("text"), STOP), " ").alias("words"))
 
 
 @query("t2b_clean_text_other_order", "SELECT doc_id, array_to_string(" + tokens_sql(
     "text", steps=(text.PUNCTUATION, text.QUOTES, text.WORDS_WITH_DIGITS, text.BRACKETS)) + ", ' ') AS words FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(
+    return roles.documents(spark, sf).select("doc_id", F.array_join(
         text.tokens(F.col("text"), STOP, order="punctuation_first"), " ").alias("words"))
 
 
@@ -80,7 +80,7 @@ SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex({words_sql('t
 WHERE list_contains({STOP_SQL}, token) GROUP BY token""")
 def _(spark, sf):
     """How often each stop word occurs in the texts it would be removed from."""
-    words = table(spark, sf, "documents").select(F.explode(F.split(text.clean_words(F.col("text")), r"\s+")).alias("token"))
+    words = roles.documents(spark, sf).select(F.explode(F.split(text.clean_words(F.col("text")), r"\s+")).alias("token"))
     return words.filter(F.col("token").isin(*STOP)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -248,17 +248,18 @@ odds AS (SELECT token, ln((sum(quality) + 1) / (any_value(pos) + 2)) - ln((sum(1
 SELECT doc_id, round(1 / (1 + exp(-coalesce(sum(lo), 0))), 6) AS p_pos FROM documents LEFT JOIN dtok USING (doc_id) LEFT JOIN odds USING (token) GROUP BY doc_id""")
 def _(spark, sf):
     """Word odds learned from the labelled texts, applied to all texts."""
-    tokens = texts.explode_tokens(table(spark, sf, "documents"), "doc_id", text.tokens(F.col("text"), STOP))
+    tokens = texts.explode_tokens(roles.documents(spark, sf), "doc_id", text.tokens(F.col("text"), STOP))
     labelled = tokens.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     odds = sentiment.nb_log_odds(labelled, "doc_id", "quality")
-    return rounded(sentiment.nb_positive(tokens, "doc_id", odds, docs=table(spark, sf, "documents")), p_pos=6)
+    return rounded(sentiment.nb_positive(tokens, "doc_id", odds, docs=roles.documents(spark, sf)), p_pos=6)
 
 
 STATS = ("min", "mean", "max", "median")
 
 
 def scored_messages(spark, sf):
-    return (
+    """All scores of every message, written out once as several features read them."""
+    return checkpoint(
         roles.messages(spark, sf).select("doc_id", "customer_id", F.char_length("text").alias("length"))
         .join(message_valence(spark, sf), "doc_id").join(message_polarity(spark, sf), "doc_id"))
 

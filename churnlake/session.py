@@ -45,3 +45,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition by key only when the source has fewer splits than there are cores.
+
+    A few large row groups would otherwise leave most cores idle in work that is
+    heavy per row; a source with enough splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
