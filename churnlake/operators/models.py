@@ -42,15 +42,15 @@ OWN_COLUMNS = ("rawPrediction", "probability", "prediction")
 
 # --- fitted models -----------------------------------------------------------------
 
-def with_score(df: DataFrame) -> DataFrame:
-    """Turn the columns of a Spark ML classifier into ``pred``."""
+def with_score(df: DataFrame, name: str = "pred") -> DataFrame:
+    """Turn the columns of a Spark ML classifier into one score column."""
     if "probability" in df.columns:
         score = vector_to_array("probability")[1]
     elif "rawPrediction" in df.columns:
         score = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
     else:
         score = F.col("prediction")
-    return df.withColumn("pred", score).drop(*OWN_COLUMNS)
+    return df.withColumn(name, score).drop(*OWN_COLUMNS)
 
 
 @dataclass

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from churnlake.operators.profile import level_counts, melt, numeric_columns
-from churnlake.session import broadcast_if_small
+from churnlake.session import broadcast_if_small, checkpoint
 
 HASH_PREFIX = 3  # hex digits: 4096 buckets of equal size
 
@@ -120,8 +120,9 @@ def _impute(z: np.ndarray, loadings: np.ndarray, ridge: float) -> np.ndarray:
 class PcaImputer:
     """Fill numeric gaps from the leading principal components of all columns.
 
-    Each round reads the data once; tasks send back only sums of products, and
-    the eigenvectors of that columns-by-columns matrix are found on the driver.
+    Each round reads the numbers once; tasks send back only sums of products,
+    and the eigenvectors of that columns-by-columns matrix are found on the
+    driver.
     """
 
     def __init__(self, cols: Sequence[str], rank: int | None = None, max_rank: int = 5, max_iter: int = 12,
@@ -131,20 +132,22 @@ class PcaImputer:
 
     def fit(self, df: DataFrame, key: str) -> "PcaImputerModel":
         cols, k = self.cols, len(self.cols)
-        row = df.agg(*[x for c in cols for x in (F.avg(c), F.stddev_pop(c))]).first()  # 2 numbers per column
+        # Every round reads these numbers again, so they are written out once.
+        cells = checkpoint(df.select(
+            F.xxhash64(key, F.lit(self.seed)).alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols]))
+        row = cells.agg(*[x for c in cols for x in (F.avg(c), F.stddev_pop(c))]).first()  # 2 numbers per column
         mean = np.array([0.0 if v is None else float(v) for v in row[0::2]])
         sd = np.array([v or 1.0 for v in row[1::2]], dtype=float)
-        cells = df.select(F.xxhash64(key, F.lit(self.seed)).alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols])
-        rank = self.rank
-        if rank is None:
-            rank = self._choose_rank(cells, mean, sd)
-        loadings = self._leading(self._products(cells, mean, sd, np.zeros((k, 0)), None), rank)
-        for _ in range(self.max_iter if rank else 0):
-            new = self._leading(self._products(cells, mean, sd, loadings, None), rank)
-            moved = np.linalg.norm(new @ new.T - loadings @ loadings.T)
-            loadings = new
-            if moved < self.tol:
-                break
+        rank = self._choose_rank(cells, mean, sd) if self.rank is None else self.rank
+        loadings = np.zeros((k, 0))
+        if rank:
+            loadings = self._leading(self._products(cells, mean, sd, loadings), rank)
+            for _ in range(self.max_iter):
+                new = self._leading(self._products(cells, mean, sd, loadings), rank)
+                moved = np.linalg.norm(new @ new.T - loadings @ loadings.T)
+                loadings = new
+                if moved < self.tol:
+                    break
         return PcaImputerModel(cols, mean, sd, loadings, self.ridge)
 
     @staticmethod
@@ -157,7 +160,7 @@ class PcaImputer:
         mixed = h.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(k, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         return (mixed >> np.uint64(40)) % np.uint64(20) == 0
 
-    def _products(self, cells: DataFrame, mean, sd, loadings, hide: bool | None) -> np.ndarray:
+    def _products(self, cells: DataFrame, mean, sd, loadings, hide: bool = False) -> np.ndarray:
         """Sum of outer products of the imputed standardised rows."""
         cols, k, ridge, held_out = self.cols, len(self.cols), self.ridge, self._held_out
 

@@ -224,3 +224,23 @@ def _(spark, sf):
     loaded, threshold = stored.load_model(spark, path)
     scored = models.with_score(loaded.transform(unseen))
     return scored.select("orderkey", evaluate.classify(F.col("pred"), threshold).alias("pred_class"))
+
+
+@query("s7_two_stored_models")
+def _(spark, sf):
+    """A model with and one without the month, stored, loaded and scored side by side."""
+    train, unseen = (with_month(d) for d in split_trips(spark, sf))
+    loaded = {}
+    for name, text in (("", TEXT), ("_plain", TEXT[:1])):
+        pipeline = prep.feature_pipeline(text, NUMBERS).fit(train)
+        model = models.fit("glm", pipeline.transform(train), "retained")
+        path = tables.shared_folder(spark, "stored-model")
+        stored.save_model(spark, PipelineModel(stages=[*pipeline.stages, model.model]), 0.75, path)
+        loaded[name] = stored.load_model(spark, path)
+    out = unseen
+    for name, (model, cut) in loaded.items():
+        score = f"pred{name}"
+        out = models.with_score(model.transform(out), score).withColumn(
+            f"pred_class{name}", evaluate.classify(F.col(score), cut)).drop(
+            *[c for c in model.transform(unseen).columns if c not in unseen.columns])
+    return out.select("orderkey", "retained", "pred", "pred_class", "pred_plain", "pred_class_plain")

@@ -9,7 +9,7 @@ from churnlake.operators import levels, prep, profile, sentiment, texts, topics
 from churnlake.plans import roles
 from churnlake.plans.registry import query
 from churnlake.plans.roles import CRM, FINANCE, TRIPS, rounded, with_ctes
-from churnlake.plans.texts import message_counts, message_tfidf
+from churnlake.plans.texts import message_counts, message_tfidf, message_tokens, part_of_speech
 from churnlake.session import checkpoint
 
 
@@ -51,6 +51,14 @@ def _(spark, sf):
     return topics.lda(texts.only_hapax(message_counts(spark, sf)), "doc_id", 10, 5)
 
 
+@query("t12_lda_topics_nouns_adjectives")
+def _(spark, sf):
+    """Topics of nouns and adjectives only, told by their endings."""
+    tokens = message_tokens(spark, sf)
+    nouns = texts.keep_pos(tokens, part_of_speech(tokens))
+    return topics.lda(texts.term_counts(nouns, "doc_id"), "doc_id", 10, 10)
+
+
 @query("m1_stratified_split", with_ctes(TRIPS) + """
 SELECT orderkey, retained, rn <= ceil(0.75 * n) AS is_train FROM (
   SELECT orderkey, retained, count(*) OVER (PARTITION BY retained) AS n,

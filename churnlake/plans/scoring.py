@@ -213,9 +213,9 @@ s AS (SELECT price AS w, pred, CASE WHEN income_level IN ('AF', 'AS') THEN 2 ELS
              CASE WHEN income_level IN ('AF', 'AS') THEN med ELSE price END AS npr
       FROM scored JOIN crm USING (custkey), m),
 r AS (SELECT w, pred, {score_sql('npr', 'np')} AS pred2 FROM s)
-SELECT round(avg(pred), 9) AS mean_before, round(avg(pred2), 9) AS mean_after, round(sum(w * pred), 3) AS total_before,
-       round(sum(w * pred2), 3) AS total_after, round(sum(w * pred2) / sum(w * pred), 9) AS proportion,
-       round(sum(w * pred2) - sum(w * pred), 3) AS absolute FROM r""")
+SELECT round(avg(pred), 9) AS mean_before, round(avg(pred2), 9) AS mean_after, round(sum(w * pred), 0) AS total_before,
+       round(sum(w * pred2), 0) AS total_after, round(sum(w * pred2) / sum(w * pred), 9) AS proportion,
+       round(sum(w * pred2) - sum(w * pred), 0) AS absolute FROM r""")
 def _(spark, sf):
     """Move low-income customers to programme 2 at its median price."""
     trips = roles.trips(spark, sf)
@@ -223,7 +223,7 @@ def _(spark, sf):
     price = ranking.group_quantiles(trips.filter("program = 2"), [], "price", {"m": 0.5}).scalar()
     out = decide.scenario(joined, scorer, F.col("income_level").isin(*LOW),
                           {"program": F.lit(2), "price": price}, "price")
-    return rounded(out, mean_before=9, mean_after=9, total_before=3, total_after=3, proportion=9, absolute=3)
+    return rounded(out, mean_before=9, mean_after=9, total_before=0, total_after=0, proportion=9, absolute=0)
 
 
 SWEEP = f"""swept AS (SELECT orderkey, d, price * (1 - d) AS r, {score_sql('price * (1 - d)', 'program')} AS p
@@ -245,9 +245,9 @@ def _(spark, sf):
 
 
 @query("d2_discount_totals", with_ctes(TRIPS, SWEEP) + """
-SELECT round(sum(max_profit) / sum(e_profit), 9) AS proportion, round(sum(max_profit) - sum(e_profit), 3) AS absolute FROM sweep""")
+SELECT round(sum(max_profit) / sum(e_profit), 9) AS proportion, round(sum(max_profit) - sum(e_profit), 1) AS absolute FROM sweep""")
 def _(spark, sf):
-    return rounded(decide.sweep_totals(sweep(spark, sf)), proportion=9, absolute=3)
+    return rounded(decide.sweep_totals(sweep(spark, sf)), proportion=9, absolute=1)
 
 
 @query("d3_largest_uplift", with_ctes(TRIPS, SWEEP) + """

@@ -102,15 +102,19 @@ def _(spark, sf):
     return out.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def part_of_speech(tokens):
+    """Tags by ending, for the words the texts contain."""
+    ending = F.col("token")
+    return tokens.select("token").distinct().withColumn(
+        "pos", F.when(ending.rlike("(tion|er)$"), "NNS").when(ending.rlike("(y|able)$"), "JJ").otherwise("VB"))
+
+
 @query("t5_keep_parts_of_speech", with_ctes(MESSAGES, TOKENS) + """
 SELECT doc_id, token, CAST(position AS INTEGER) AS position FROM tok
 WHERE regexp_matches(token, '(tion|er|y|able)$')""")
 def _(spark, sf):
     tokens = message_tokens(spark, sf)
-    ending = F.col("token")
-    tags = tokens.select("token").distinct().withColumn(
-        "pos", F.when(ending.rlike("(tion|er)$"), "NNS").when(ending.rlike("(y|able)$"), "JJ").otherwise("VB"))
-    return texts.keep_pos(tokens, tags)
+    return texts.keep_pos(tokens, part_of_speech(tokens))
 
 
 @query("t6_document_term_counts", with_ctes(MESSAGES, TOKENS, COUNTS) + "SELECT * FROM tc")
@@ -232,9 +236,9 @@ def message_polarity(spark, sf):
 
 
 @query("t14_polarity_subjectivity", with_ctes(MESSAGES, WORDS, LEXICON, EACH, POLARITY) + """
-SELECT doc_id, round(polarity, 7) AS polarity, round(subjectivity, 7) AS subjectivity FROM pol""")
+SELECT doc_id, round(polarity, 12) AS polarity, round(subjectivity, 12) AS subjectivity FROM pol""")
 def _(spark, sf):
-    return rounded(message_polarity(spark, sf), polarity=7, subjectivity=7)
+    return rounded(message_polarity(spark, sf), polarity=12, subjectivity=12)
 
 
 DOC_TOKENS = f"""dtok AS (SELECT DISTINCT doc_id, unnest({tokens_sql('text')}) AS token FROM documents)"""
@@ -268,7 +272,7 @@ def scored_messages(spark, sf):
 sm AS (SELECT doc_id, customer_id, length(text) AS length, sentiment, polarity, subjectivity
        FROM messages JOIN sentiment USING (doc_id) JOIN pol USING (doc_id)),
 feat AS (SELECT customer_id, count(*) AS num_texts, """ + ", ".join(
-    f"round(CAST({f}({c}) AS DOUBLE), 6) AS {s}_{n}" for c, s in
+    f"round(CAST({f}({c}) AS DOUBLE), 11) AS {s}_{n}" for c, s in
     (("polarity", "pol"), ("sentiment", "sent"), ("subjectivity", "sub"), ("length", "len"))
     for f, n in (("min", "min"), ("avg", "mean"), ("max", "max"), ("median", "med"))) + """
   FROM sm GROUP BY 1)
@@ -282,15 +286,15 @@ def _(spark, sf):
     features = sentiment.customer_features(scores, "customer_id", names, STATS)
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"))
     out = sentiment.attach_features(customers, features, "customer_id")
-    return rounded(out, **{c: 6 for c in out.columns if "_" in c and c not in ("customer_id", "num_texts")})
+    return rounded(out, **{c: 11 for c in out.columns if "_" in c and c not in ("customer_id", "num_texts")})
 
 
 @query("t17_polarity_classes", with_ctes(MESSAGES, WORDS, LEXICON, EACH, POLARITY) + """
 SELECT CASE WHEN p >= 0.1 THEN 'very positive' WHEN p >= 0 THEN 'positive'
             WHEN p >= -0.1 THEN 'negative' ELSE 'very negative' END AS class, count(*) AS n
-FROM (SELECT round(polarity, 7) AS p FROM pol) GROUP BY 1""")
+FROM (SELECT round(polarity, 12) AS p FROM pol) GROUP BY 1""")
 def _(spark, sf):
-    scores = rounded(message_polarity(spark, sf), polarity=7)
+    scores = rounded(message_polarity(spark, sf), polarity=12)
     return scores.groupBy(sentiment.polarity_class(F.col("polarity"), 0.1).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
