@@ -15,7 +15,7 @@ from churnlake.plans.roles import (
 
 
 @query("a1_group_aggregates", """
-SELECT l_returnflag, l_linestatus, coalesce(round(sum(q), 2), 0) AS sum_qty, round(avg(q), 6) AS mean_qty,
+SELECT l_returnflag, l_linestatus, coalesce(round(sum(q), 2), 0) AS sum_qty, avg(q) AS mean_qty,
        min(q) AS min_qty, max(q) AS max_qty, count(q) AS n_qty, count(*) AS n_rows
 FROM (SELECT l_returnflag, l_linestatus, CASE WHEN l_quantity > 10 THEN l_quantity END AS q FROM lineitem)
 GROUP BY ALL""")
@@ -25,7 +25,7 @@ def _(spark, sf):
         F.coalesce(F.sum(q), F.lit(0.0)).alias("sum_qty"), F.avg(q).alias("mean_qty"),
         F.min(q).alias("min_qty"), F.max(q).alias("max_qty"), F.count(q).alias("n_qty"),
         F.count(F.lit(1)).alias("n_rows"))
-    return rounded(out, sum_qty=2, mean_qty=6)
+    return rounded(out, sum_qty=2)
 
 
 @query("a2_group_median", """
@@ -75,14 +75,14 @@ def _(spark, sf):
 
 
 def summary_sql(source: str, col: str) -> str:
-    return f"""SELECT '{col}' AS "column", round(min({col}), 6) AS min, round(avg({col}), 6) AS mean,
+    return f"""SELECT '{col}' AS "column", round(min({col}), 6) AS min, round(avg({col}), 8) AS mean,
        round(max({col}), 6) AS max, count(*) - count({col}) AS missing,
        round(quantile_cont({col}, 0.25), 6) AS q1, round(quantile_cont({col}, 0.5), 6) AS median,
        round(quantile_cont({col}, 0.75), 6) AS q3 FROM {source}"""
 
 
 def round_summary(df):
-    return rounded(df, min=6, mean=6, max=6, q1=6, median=6, q3=6)
+    return rounded(df, min=6, mean=8, max=6, q1=6, median=6, q3=6)
 
 
 GAPPY_ITEMS = """gappy AS (
@@ -105,8 +105,8 @@ def _(spark, sf):
 
 
 def describe_number(c):
-    return f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean,
-       round(stddev_samp({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min,
+    return f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 8) AS mean,
+       round(stddev_samp({c}), 8) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min,
        round(CAST(max({c}) AS DOUBLE), 6) AS max, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q1,
        round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median,
        round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q3,
@@ -124,7 +124,7 @@ def describe_text(c):
     + [describe_text(c) for c in ("o_orderstatus", "o_orderpriority")]))
 def _(spark, sf):
     out = profile.describe(table(spark, sf, "orders").drop("o_orderdate"))
-    return rounded(out, mean=6, std=6, min=6, max=6, q1=6, median=6, q3=6)
+    return rounded(out, mean=8, std=8, min=6, max=6, q1=6, median=6, q3=6)
 
 
 def dictionary_text(c, limit=50):
@@ -506,7 +506,7 @@ def _(spark, sf):
 
 
 @query("e2_target_by_level", with_ctes(TRIPS) + """
-SELECT travel_type AS level, round(sum(price / 1000), 4) AS expo, CAST(sum(retained) AS BIGINT) AS tot,
+SELECT travel_type AS level, round(sum(price / 1000), 5) AS expo, CAST(sum(retained) AS BIGINT) AS tot,
        sum(retained) / CAST(sum(program) AS DOUBLE) AS ave, round(sum(retained * 0.9::DOUBLE), 4) AS tot_pred,
        round(sum(retained * 0.9::DOUBLE) / sum(program), 9) AS predprop
 FROM trips GROUP BY 1""")
@@ -514,7 +514,7 @@ def _(spark, sf):
     trips = roles.trips(spark, sf).withColumns({
         "expo": F.col("price") / 1000, "guess": F.col("retained") * F.lit(0.9)})
     out = profile.target_by_level(trips, "travel_type", "retained", exposure="expo", count="program", pred="guess")
-    return rounded(out, expo=4, tot_pred=4, predprop=9)
+    return rounded(out, expo=5, tot_pred=4, predprop=9)
 
 
 @query("e3_portfolio", with_ctes(TRIPS) + """

@@ -251,11 +251,11 @@ def _(spark, sf):
 
 
 @query("d3_largest_uplift", with_ctes(TRIPS, SWEEP) + """
-SELECT orderkey, pred, best_pred, best_discount, round(max_profit - e_profit, 6) AS uplift FROM sweep
+SELECT orderkey, pred, best_pred, best_discount, round(max_profit - e_profit, 10) AS uplift FROM sweep
 WHERE max_profit - e_profit = (SELECT max(max_profit - e_profit) FROM sweep)""")
 def _(spark, sf):
     out = decide.largest_uplift(sweep(spark, sf)).select("orderkey", "pred", "best_pred", "best_discount", "uplift")
-    return rounded(out, uplift=6)
+    return rounded(out, uplift=10)
 
 
 @query("d4_segments", with_ctes(TRIPS, CRM) + "\nUNION ALL ".join(
