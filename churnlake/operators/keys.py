@@ -48,34 +48,28 @@ def key_frequency(df: DataFrame, key: str) -> DataFrame:
 
 
 def reconciliation_report(left: DataFrame, right: DataFrame, key: str = "id_actual") -> DataFrame:
-    """One ``(check, n)`` table: odd IDs, sizes, duplicates and unmatched rows.
+    """One ``(check, n)`` table: odd IDs, sizes, repeated keys and unmatched rows.
 
-    Both sides come from ``split_composite``.
+    Both sides come from ``split_composite``. They are stacked and counted per
+    key, so each side is read once and a frequent key is combined before the
+    shuffle. A missing key matches nothing.
     """
-
-    def side_counts(df: DataFrame, side: str) -> DataFrame:
-        wrong = {
-            "rows": F.count(F.lit(1)),
-            "prefix_mismatch": F.count(F.when(~F.col("prefix_ok"), 1)),
-            "suffix_mismatch": F.count(F.when(~F.col("suffix_ok"), 1)),
-        }
-        row = df.agg(*[c.alias(f"{side}_{n}") for n, c in wrong.items()])
-        return row.unpivot([], row.columns, "check", "n")
-
-    def repeated(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy(key).count().filter("count > 1").agg(
-            F.lit(f"{side}_repeated_keys").alias("check"), F.count(F.lit(1)).alias("n"))
-
-    def unmatched(a: DataFrame, b: DataFrame, side: str) -> DataFrame:
-        return a.select(key).join(b.select(key), key, "left_anti").agg(
-            F.lit(f"{side}_unmatched").alias("check"), F.count(F.lit(1)).alias("n"))
-
-    parts = [
-        side_counts(left, "left"), side_counts(right, "right"),
-        repeated(left, "left"), repeated(right, "right"),
-        unmatched(left, right, "left"), unmatched(right, left, "right"),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    sides = ("left", "right")
+    facts = {"rows": F.lit(True), "prefix_mismatch": ~F.col("prefix_ok"), "suffix_mismatch": ~F.col("suffix_ok")}
+    stacked = None
+    for side, df in zip(sides, (left, right)):
+        part = df.select(F.col(key).alias("_key"), *[
+            (fact.cast("long") if s == side else F.lit(0)).cast("long").alias(f"{s}_{name}")
+            for s in sides for name, fact in facts.items()])
+        stacked = part if stacked is None else stacked.unionByName(part)
+    names = [f"{s}_{name}" for s in sides for name in facts]
+    per_key = stacked.groupBy("_key").agg(*[F.sum(n).alias(n) for n in names])
+    totals = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]
+    for side, other in (sides, sides[::-1]):
+        mine, theirs = F.col(f"{side}_rows"), F.col(f"{other}_rows")
+        alone = (theirs == 0) | F.col("_key").isNull()
+        totals += [
+            F.count(F.when(mine > 1, 1)).alias(f"{side}_repeated_keys"),
+            F.coalesce(F.sum(F.when(alone, mine)), F.lit(0)).alias(f"{side}_unmatched")]
+    row = per_key.agg(*totals)
+    return row.unpivot([], row.columns, "check", "n")

@@ -171,7 +171,7 @@ def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     basic = long.groupBy("column").agg(
         F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"),
         F.count(F.when(F.col("value").isNull(), 1)).alias("missing"))
-    return basic.join(group_quantiles(long, ["column"], "value", QUARTILES), "column", "left")
+    return basic.join(group_quantiles(long, ["column"], "value", QUARTILES, few_groups=True), "column", "left")
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def describe(df: DataFrame) -> DataFrame:
         moments = long.groupBy("column").agg(
             F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev("value").alias("std"),
             F.min("value").alias("min"), F.max("value").alias("max"))
-        parts.append(moments.join(group_quantiles(long, ["column"], "value", QUARTILES), "column", "left"))
+        parts.append(moments.join(group_quantiles(long, ["column"], "value", QUARTILES, few_groups=True), "column", "left"))
     if texts:
         counts = level_counts(df, texts).filter(F.col("value").isNotNull())
         totals = counts.groupBy("column").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"))

@@ -27,7 +27,8 @@ def value_ranges(df: DataFrame, col: str, n_ranges: int | None = None) -> list[f
 
 
 def add_range(df: DataFrame, col: str, cuts: Sequence[float]) -> DataFrame:
-    return Bucketizer(splits=list(cuts), inputCol=col, outputCol=RANGE).transform(df)
+    ranged = Bucketizer(splits=list(cuts), inputCol=col, outputCol=RANGE).transform(df)
+    return ranged.withColumn(RANGE, F.col(RANGE).cast("int"))
 
 
 def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column],
@@ -57,18 +58,20 @@ def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column],
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float],
-                    n_ranges: int | None = None) -> DataFrame:
+                    n_ranges: int | None = None, few_groups: bool = False) -> DataFrame:
     """Exact interpolated quantiles of ``col`` per group; NULLs are skipped.
 
     A group may be arbitrarily large: only the value ranges that hold a wanted
-    rank are looked at row by row.
+    rank are looked at row by row. ``few_groups`` says that the groups are few
+    by design (columns of a table); the wanted ranges, at most two per group and
+    quantile, are then broadcast and the other counts are dropped unshuffled.
     """
     by = list(by)
     value = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
     cuts = value_ranges(value, "_v", n_ranges)
     counts = add_range(value.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", cuts)
     if not by:
-        by = ["_all"]
+        by, few_groups = ["_all"], True
         counts = counts.withColumn("_all", F.lit(1))
 
     before = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +94,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str,
     for p in probs.values():
         for rank in (low(p), high(p)):
             wanted = wanted | inside(rank, F.col("_before"), F.col("_rn"))
-    hit = counts.join(ranges.filter(wanted), [*by, RANGE])
+    needed = ranges.filter(wanted)
+    hit = counts.join(F.broadcast(needed) if few_groups else needed, [*by, RANGE])
     upto = Window.partitionBy(*by, RANGE).orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     hit = hit.withColumn("_start", F.col("_before") + F.sum("_n").over(upto) - F.col("_n"))

@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from churnlake.operators import evaluate, profile, ranking
+from churnlake.operators import evaluate, keys, profile, ranking
 from churnlake.plans import roles
+from churnlake.session import tune
 
 SF = "/root/testdata/sf0.001"
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -129,3 +130,38 @@ def test_profile_is_one_scan_per_use(spark):
     df = roles.table(spark, SF, "orders")
     plan = plan_of(profile.level_counts(df, ["o_orderstatus", "o_orderpriority", "o_custkey"]))
     assert plan.count("FileScan parquet") == 1
+
+
+def test_skewed_join_is_split_at_run_time(spark):
+    """Half of the rows share one key; the join splits that partition although a sum follows."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    tune(spark)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        facts = spark.range(200_000, numPartitions=16).select(
+            F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"), F.rand(1).alias("v"))
+        dims = spark.range(200_000).select(F.col("id").alias("k"), (F.col("id") % 9).alias("level"))
+        joined = facts.join(dims, "k", "left").groupBy("k").agg(F.sum("v").alias("v"), F.count("level").alias("n"))
+        got = {r.k: r.n for r in joined.collect()}
+        assert got[7] == 100_001 and sum(got.values()) == 200_000
+        assert "skew=true" in plan_of(joined)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_reconciliation_counts_missing_and_repeated_keys(spark):
+    a = spark.createDataFrame([("1", True, True), ("1", True, False), (None, True, True), ("2", False, True)],
+                              "id_actual string, prefix_ok boolean, suffix_ok boolean")
+    b = spark.createDataFrame([("1", True, True), (None, True, True), ("3", True, True)], a.schema)
+    got = {r.check: r.n for r in keys.reconciliation_report(a, b).collect()}
+    assert got == {
+        "left_rows": 4, "left_prefix_mismatch": 1, "left_suffix_mismatch": 1, "left_repeated_keys": 1, "left_unmatched": 2,
+        "right_rows": 3, "right_prefix_mismatch": 0, "right_suffix_mismatch": 0, "right_repeated_keys": 0, "right_unmatched": 2}
