@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 from collections.abc import Callable, Sequence
 
@@ -73,15 +75,20 @@ def permutation_importance(df: DataFrame, scorer: Scorer, key: str, label: str,
 def shapley_sample(rows: DataFrame, background: DataFrame, scorer: Scorer, key: str,
                    features: Sequence[str], n_background: int = 20, n_orders: int = 8,
                    seed: int = 1) -> DataFrame:
-    """``(key, feature, contribution)`` by sampling orders of entry and background rows.
+    """``(key, feature, contribution)`` by sampling background rows and orders of entry.
+
+    Few features have all their orders tried.
 
     For each row, order and background row the features change one after the
     other from the background's value to the row's own; a feature's mean change
     of the score is its contribution. Contributions of a row add up to its score
     minus the mean background score.
     """
-    rng = random.Random(seed)
-    orders = [rng.sample(list(features), len(features)) for _ in range(n_orders)]
+    if math.factorial(len(features)) <= n_orders:
+        orders = list(itertools.permutations(features))
+    else:
+        rng = random.Random(seed)
+        orders = [rng.sample(list(features), len(features)) for _ in range(n_orders)]
     other = seeded_sample(background, key, n_background, seed).select(
         *[F.col(f).alias(f"_b_{f}") for f in features])
     # n_background rows travel with each row as one array.

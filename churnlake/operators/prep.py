@@ -14,19 +14,22 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from churnlake.operators.profile import level_counts, melt, numeric_columns
-from churnlake.session import broadcast_if_small, checkpoint
+from churnlake.operators.ranking import hash_order
+from churnlake.session import checkpoint
 
 HASH_PREFIX = 3  # hex digits: 4096 buckets of equal size
 
 
-def stratified_split(df: DataFrame, label: str, key: str, p: float = 0.75, seed: int = 2020) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, key: str, p: float = 0.75, seed: int = 2020,
+                     max_classes: int = 1000) -> DataFrame:
     """Add ``is_train``: the ``ceil(p n)`` rows of each class with the smallest key hashes.
 
-    Only one hash bucket per class is ranked, to find the last training row;
-    the rows themselves are never shuffled.
+    Counts per class and leading hash digits tell in which bucket a class's last
+    training row lies. Only that bucket is ranked; the rows themselves are never
+    shuffled.
     """
     cls = F.coalesce(F.col(label).cast("string"), F.lit(""))
-    place = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    place = hash_order(key, seed)
     keyed = df.select(cls.alias("_class"), place.alias("_h"), F.col(key).alias("_key"),
                       F.substring(place, 1, HASH_PREFIX).alias("_b"))
     before = Window.partitionBy("_class").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -34,14 +37,22 @@ def stratified_split(df: DataFrame, label: str, key: str, p: float = 0.75, seed:
         "_class", "_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.ceil(F.round(F.sum("_n").over(Window.partitionBy("_class")) * p, 6)).alias("_want"))
     edge = buckets.filter((F.col("_want") > F.col("_before")) & (F.col("_want") <= F.col("_before") + F.col("_n")))
-    rank = F.row_number().over(Window.partitionBy("_class", "_b").orderBy("_h", "_key"))
-    last = (
-        keyed.join(broadcast_if_small(edge.select("_class", "_b", "_before", "_want")), ["_class", "_b"])
-        .withColumn("_rank", rank + F.col("_before")).filter(F.col("_rank") == F.col("_want"))
-        .select("_class", F.struct("_h", "_key").alias("_last")))
-    out = df.withColumn("_class", cls).join(broadcast_if_small(last), "_class", "left")
-    inside = F.struct(place.alias("_h"), F.col(key).alias("_key")) <= F.col("_last")
-    return out.withColumn("is_train", F.coalesce(inside, F.lit(False))).drop("_class", "_last")
+
+    def known(rows: DataFrame) -> DataFrame:
+        """One row per class, counted while it is fetched."""
+        found = rows.limit(max_classes + 1).collect()
+        if len(found) > max_classes:
+            raise ValueError(f"{label} has more than {max_classes} classes")
+        return F.broadcast(df.sparkSession.createDataFrame(found, rows.schema))
+
+    edge = known(edge.select("_class", "_b", "_before", "_want"))
+    rank = F.row_number().over(Window.partitionBy("_class", "_b").orderBy("_h", "_key")) + F.col("_before")
+    last = known(
+        keyed.join(edge, ["_class", "_b"]).withColumn("_rank", rank).filter(F.col("_rank") == F.col("_want"))
+        .select("_class", F.col("_h").alias("_last_h"), F.col("_key").alias("_last_key")))
+    inside = F.struct(place, F.col(key)) <= F.struct("_last_h", "_last_key")
+    out = df.withColumn("_class", cls).join(last, "_class", "left")
+    return out.withColumn("is_train", F.coalesce(inside, F.lit(False))).drop("_class", "_last_h", "_last_key")
 
 
 def scale(df: DataFrame, train: DataFrame, cols: Sequence[str], center: bool, ddof: int) -> DataFrame:

@@ -54,8 +54,9 @@ def levels(df: DataFrame, cols: Sequence[str], top_n: int, na_substring: bool =
         n_rows.alias("rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
         F.count("value").alias("n_levels"))
-    present = counts.filter(F.col("value").isNotNull())
-    top = first_per_group(present, ["column"], [F.desc("n"), F.asc("value")], top_n - 1, "position")
+    # Missing comes last and is dropped after ranking, so that both uses share one count.
+    order = [F.col("value").isNull(), F.desc("n"), F.asc("value")]
+    top = first_per_group(counts, ["column"], order, top_n - 1, "position").filter(F.col("value").isNotNull())
     top = top.join(F.broadcast(totals), "column").select(
         "column", "position", F.col("value").alias("level"), (F.col("n") / F.col("rows")).alias("share"))
     dropped = F.greatest(F.col("n_levels") - (top_n - 1), F.lit(0))

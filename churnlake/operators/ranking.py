@@ -140,20 +140,27 @@ def share_of_total(df: DataFrame, col: str, name: str) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in a repeatable random order: the smallest hashes of key and seed."""
-    order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    return df.orderBy(order, key).limit(n)
+    return df.orderBy(hash_order(key, seed), key).limit(n)
+
+
+def hash_order(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
 def shuffled_position(df: DataFrame, key: str, seed: int, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Number the rows 0..n-1 in a repeatable random order, group after group.
 
-    Rows are hashed to buckets of about equal size, numbered there, and shifted
-    by the sizes of the buckets before. With ``by``, equal ``by`` values get
-    consecutive numbers.
+    The order is that of the hashes of key and seed. Rows with the same leading
+    hash digits form buckets of about equal size, are numbered there, and
+    shifted by the sizes of the buckets before. With ``by``, equal ``by`` values
+    get consecutive numbers.
     """
     by = list(by)
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    marked = df.withColumns({"_h": h, "_b": F.pmod(h, F.lit(4 * shuffle_width(df.sparkSession)))})
+    digits = 1
+    while 16 ** digits < 4 * shuffle_width(df.sparkSession):
+        digits += 1
+    h = hash_order(key, seed)
+    marked = df.withColumns({"_h": h, "_b": F.substring(h, 1, digits)})
     place = [*by, "_b"]
     before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     # One row per bucket and group of ``by``; used with a handful of classes.

@@ -28,9 +28,13 @@ class Lsa:
         return [f"t{i}" for i in range(len(self.singular_values))]
 
 
-def _multiply(long: DataFrame, vectors: DataFrame, over: str, keep: str, names: list[str]) -> DataFrame:
-    """Sparse matrix times a tall thin one: a join on one key, a sum over the other."""
-    joined = long.join(vectors, over)
+def _multiply(long: DataFrame, vectors: DataFrame, over: str, keep: str, names: list[str], small: bool) -> DataFrame:
+    """Sparse matrix times a tall thin one: a join on one key, a sum over the other.
+
+    ``small`` vectors, counted beforehand, are broadcast so that the matrix stays
+    where it is; others meet it in a shuffle that splits frequent keys.
+    """
+    joined = long.join(F.broadcast(vectors) if small else vectors, over)
     return joined.groupBy(keep).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in names])
 
 
@@ -71,27 +75,29 @@ def _whitener(gram: np.ndarray) -> np.ndarray:
     return (vectors[:, keep] / np.sqrt(values[keep]))[:, ::-1]
 
 
-def lsa(tfidf: DataFrame, doc: str, k: int = 30, oversample: int = 8, n_iter: int = 4, seed: int = 1) -> Lsa:
+def lsa(tfidf: DataFrame, doc: str, k: int = 30, oversample: int = 8, n_iter: int = 4, seed: int = 1,
+        max_broadcast: int = 20_000) -> Lsa:
     """Truncated SVD by subspace iteration.
 
     The term and document factors stay distributed; only inner products of the
     ``k + oversample`` columns come to the driver.
     """
     long = checkpoint(tfidf.select(doc, "term", "weight"))
+    few = {c: long.select(c).distinct().count() <= max_broadcast for c in ("term", doc)}
     names = [f"t{i}" for i in range(k + oversample)]
     start = long.select("term").distinct().select(
         "term", *[(F.pmod(F.xxhash64("term", F.lit(seed), F.lit(i)), F.lit(20001)) / 10000.0 - 1).alias(c)
                   for i, c in enumerate(names)])
     q = start
     for _ in range(n_iter):
-        y = _multiply(long, q, "term", doc, names)
-        z = checkpoint(_multiply(long, y, doc, "term", names))
+        y = _multiply(long, q, "term", doc, names, few["term"])
+        z = checkpoint(_multiply(long, y, doc, "term", names, few[doc]))
         whiten = _whitener(_gram(z, names))
         fresh = names[:whiten.shape[1]]
         q = _rotate(z, "term", names, whiten, fresh)
         names = fresh
     q = checkpoint(q)
-    y = checkpoint(_multiply(long, q, "term", doc, names))
+    y = checkpoint(_multiply(long, q, "term", doc, names, few["term"]))
     values, vectors = np.linalg.eigh(_gram(y, names))
     values, vectors = np.maximum(values[::-1][:k], 0.0), vectors[:, ::-1][:, :k]
     out = [f"t{i}" for i in range(vectors.shape[1])]

@@ -151,6 +151,14 @@ def _(spark, sf):
     return found.report(spark)
 
 
+@query("l12_stratified_folds", with_ctes(TRIPS) + """
+SELECT orderkey, retained, CAST((row_number() OVER (ORDER BY retained, md5(orderkey || '|1'), orderkey) - 1) % 5 AS INTEGER) AS fold
+FROM trips""")
+def _(spark, sf):
+    trips = roles.trips(spark, sf).select("orderkey", "retained")
+    return models.add_folds(trips, "retained", "orderkey", 5)
+
+
 @query("l13_random_search")
 def _(spark, sf):
     """Stops early once two draws in a row bring nothing."""

@@ -147,10 +147,22 @@ PRICES = [50000.0 * i for i in range(1, 10)]
 GRID = "(SELECT unnest([" + ", ".join(f"{p}::DOUBLE" for p in PRICES) + "]) AS price)"
 
 
-@query("x1_permutation_importance")
+LOSS = "avg(-CASE WHEN retained = 1 THEN ln({p}) ELSE ln(1 - {p}) END)"
+MIXED = {"": ("a.price", "a.program"), "price": ("b.price", "a.program"), "program": ("a.price", "b.program")}
+
+
+@query("x1_permutation_importance", with_ctes(TRIPS) + """,
+a AS (SELECT *, row_number() OVER (ORDER BY md5(orderkey || '|1'), orderkey) AS pos FROM trips),
+b AS (SELECT *, row_number() OVER (ORDER BY md5(orderkey || '|2'), orderkey) AS pos FROM trips),
+loss AS (""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, {LOSS.format(p='p')} AS loss FROM (SELECT retained, {score_sql(*cols)} AS p FROM "
+    "(SELECT retained, pos, price, program FROM a) a JOIN (SELECT pos, price, program FROM b) b USING (pos))"
+    for name, cols in MIXED.items()) + """)
+SELECT feature, round(loss - (SELECT loss FROM loss WHERE feature = ''), 9) AS importance FROM loss WHERE feature <> ''""")
 def _(spark, sf):
     trips = roles.trips(spark, sf)
-    return explain.permutation_importance(trips, scorer, "orderkey", "retained", ["price", "program"])
+    out = explain.permutation_importance(trips, scorer, "orderkey", "retained", ["price", "program"])
+    return rounded(out, importance=9)
 
 
 @query("x2_partial_dependence", with_ctes(TRIPS) + f"""
@@ -176,12 +188,23 @@ def _(spark, sf):
     return rounded(out, contribution=6)
 
 
-@query("x4_sampled_contributions")
+PICKED = f"""picked AS (
+  SELECT * FROM scored WHERE pred = (SELECT min(pred) FROM scored) OR pred = (SELECT max(pred) FROM scored)
+  UNION (SELECT * FROM scored WHERE pred > {CUT} * 0.99 AND pred < {CUT} * 1.01 ORDER BY orderkey LIMIT 1)),
+bg AS (SELECT price AS bp, program AS bq FROM scored ORDER BY md5(orderkey || '|1'), orderkey LIMIT 20),
+walks AS (SELECT orderkey, {score_sql('price', 'program')} AS own, {score_sql('bp', 'program')} AS no_price,
+                 {score_sql('price', 'bq')} AS no_program, {score_sql('bp', 'bq')} AS none FROM picked, bg)"""
+
+
+@query("x4_sampled_contributions", with_ctes(SCORED, PICKED) + """
+SELECT orderkey, 'price' AS feature, round(avg((own - no_price + no_program - none) / 2), 8) AS contribution FROM walks GROUP BY 1
+UNION ALL SELECT orderkey, 'program', round(avg((own - no_program + no_price - none) / 2), 8) FROM walks GROUP BY 1""")
 def _(spark, sf):
     """Sampled contributions of the rows picked for explanation."""
     scored = roles.scored(spark, sf)
     picked = explain.pick_rows(scored.select("orderkey", "price", "program", "pred"), "orderkey", CUT)
-    return explain.shapley_sample(picked, scored, scorer, "orderkey", ["price", "program"])
+    out = explain.shapley_sample(picked.drop("pick").distinct(), scored, scorer, "orderkey", ["price", "program"])
+    return rounded(out, contribution=8)
 
 
 @query("x5_rows_to_explain", with_ctes(SCORED) + f"""

@@ -134,7 +134,7 @@ tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) A
 
 
 def message_tfidf(spark, sf):
-    n_docs = roles.messages(spark, sf).select(F.count(F.lit(1))).scalar()
+    n_docs = table(spark, sf, "conversations").select(F.count(F.lit(1))).scalar()
     return texts.tfidf(message_counts(spark, sf), "doc_id", n_docs)
 
 

@@ -186,6 +186,8 @@ def test_lsa_equals_dense_svd(spark):
     for r in rows:
         dense[r.doc, terms.index(r.term)] = r.weight
     model = topics.lsa(long, "doc", k=2, n_iter=6)
+    shuffled = topics.lsa(long, "doc", k=2, n_iter=6, max_broadcast=0)
+    assert model.singular_values == pytest.approx(shuffled.singular_values)
     assert model.singular_values == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:2], rel=1e-4)
     projection = np.array([r[1:] for r in sorted(model.projection.collect())])
     loadings = {r.term: r[1:] for r in model.terms.collect()}

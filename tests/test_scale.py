@@ -165,3 +165,10 @@ def test_reconciliation_counts_missing_and_repeated_keys(spark):
     assert got == {
         "left_rows": 4, "left_prefix_mismatch": 1, "left_suffix_mismatch": 1, "left_repeated_keys": 1, "left_unmatched": 2,
         "right_rows": 3, "right_prefix_mismatch": 0, "right_suffix_mismatch": 0, "right_repeated_keys": 0, "right_unmatched": 2}
+
+
+def test_level_profile_counts_once(spark):
+    df = profile.levels(roles.table(spark, SF, "orders"), ["o_orderstatus", "o_custkey"], 5)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
