@@ -31,14 +31,19 @@ def add_range(df: DataFrame, col: str, cuts: Sequence[float]) -> DataFrame:
     return ranged.withColumn(RANGE, F.col(RANGE).cast("int"))
 
 
+def is_number(col: str) -> Column:
+    return F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
+
+
 def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column],
                    descending: bool = True, n_ranges: int | None = None, distinct: bool = False) -> DataFrame:
     """Running sums over a global order, one row per distinct ``order_col`` value.
 
     Gives ``order_col``, the per-value sums, and ``cum_<name>`` for every name.
-    ``distinct`` says that every value occurs once already.
+    ``distinct`` says that every value occurs once already. Rows without a value
+    (NULL or NaN) have no place in the order and are left out.
     """
-    df = df.filter(F.col(order_col).isNotNull())
+    df = df.filter(is_number(order_col))
     cuts = value_ranges(df, order_col, n_ranges)
     if distinct:
         per_value = df.select(order_col, *[e.alias(n) for n, e in sums.items()])
@@ -59,7 +64,7 @@ def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column],
 
 def group_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float],
                     n_ranges: int | None = None, few_groups: bool = False) -> DataFrame:
-    """Exact interpolated quantiles of ``col`` per group; NULLs are skipped.
+    """Exact interpolated quantiles of ``col`` per group; NULL and NaN are skipped.
 
     A group may be arbitrarily large: only the value ranges that hold a wanted
     rank are looked at row by row. ``few_groups`` says that the groups are few
@@ -67,7 +72,7 @@ def group_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str,
     quantile, are then broadcast and the other counts are dropped unshuffled.
     """
     by = list(by)
-    value = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
+    value = df.filter(is_number(col)).select(*by, F.col(col).cast("double").alias("_v"))
     cuts = value_ranges(value, "_v", n_ranges)
     counts = add_range(value.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", cuts)
     if not by:

@@ -587,6 +587,12 @@ NZV_SOURCE = """items AS (SELECT l_returnflag, l_linestatus, l_orderkey, 'x' AS
   CASE WHEN l_quantity = 1 AND l_discount > 0.05 THEN 'b' ELSE 'a' END AS rare FROM lineitem)"""
 
 
+def nzv_items(spark, sf):
+    rare = F.when((F.col("l_quantity") == 1) & (F.col("l_discount") > 0.05), "b").otherwise("a")
+    return table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_linestatus", "l_orderkey", F.lit("x").alias("constant"), rare.alias("rare"))
+
+
 def nzv_sql(c):
     return f"""SELECT '{c}' AS "column",
   coalesce(max(n) / (SELECT n FROM (SELECT count(*) AS n FROM items GROUP BY {c}) ORDER BY n DESC LIMIT 1 OFFSET 1), 0) AS freq_ratio,
@@ -597,10 +603,15 @@ def nzv_sql(c):
 @query("e13_near_zero_variance", with_ctes(NZV_SOURCE) + ", r AS (" + "\nUNION ALL ".join(map(nzv_sql, NZV_COLUMNS)) + """)
 SELECT *, zero_var OR (freq_ratio > 19 AND percent_unique <= 10) AS nzv FROM r""")
 def _(spark, sf):
-    rare = F.when((F.col("l_quantity") == 1) & (F.col("l_discount") > 0.05), "b").otherwise("a")
-    items = table(spark, sf, "lineitem").select(
-        "l_returnflag", "l_linestatus", "l_orderkey", F.lit("x").alias("constant"), rare.alias("rare"))
-    return profile.near_zero_variance(items, NZV_COLUMNS)
+    return profile.near_zero_variance(nzv_items(spark, sf), NZV_COLUMNS)
+
+
+@query("e13_drop_near_zero_variance", with_ctes(NZV_SOURCE) + "SELECT l_returnflag, l_linestatus, l_orderkey FROM items")
+def _(spark, sf):
+    """The columns marked on part of the rows are dropped from all of them."""
+    items = nzv_items(spark, sf)
+    report = profile.near_zero_variance(items.filter("l_orderkey % 2 = 0"), NZV_COLUMNS)
+    return profile.drop_near_zero_variance(items, report)
 
 
 @query("e14_histogram", """

@@ -46,6 +46,15 @@ def _(spark, sf):
     return evaluate.confusion(classes(spark, sf), "obs_class", "pred_class")
 
 
+@query("v2_two_prediction_sets", with_ctes(SCORED) + """
+SELECT CASE WHEN pred >= 0.65 THEN 'yes' ELSE 'no' END AS old, CASE WHEN pred >= 0.7 THEN 'yes' ELSE 'no' END AS new,
+       count(*) AS n FROM scored GROUP BY ALL""")
+def _(spark, sf):
+    both = roles.scored(spark, sf).select(
+        evaluate.classify(F.col("pred"), 0.65).alias("old"), evaluate.classify(F.col("pred"), 0.7).alias("new"))
+    return evaluate.confusion(both, "old", "new")
+
+
 @query("v3_class_report", with_ctes(SCORED) + f""", c AS ({cells_sql()})
 SELECT 'yes' AS class, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1,
        tp + fn AS support, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM c

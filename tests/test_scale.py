@@ -39,6 +39,15 @@ def test_running_totals_equal_loop(spark, rows):
         assert (r.cum_n, r.cum_pos) == (len(above), sum(y for _, y in above))
 
 
+def test_missing_numbers_are_left_out(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
+    assert ranking.group_quantiles(df, [], "v", {"m": 0.5}).first().m == 2.0
+    assert {r.cum_n for r in ranking.running_totals(df, "v", {"n": F.lit(1)}).collect()} == {1, 2}
+    empty = df.filter("v > 5")
+    assert ranking.group_quantiles(empty, [], "v", {"m": 0.5}).count() == 0
+    assert ranking.running_totals(empty, "v", {"n": F.lit(1)}).count() == 0
+
+
 def test_hot_group_quantiles(spark):
     """One group with most rows and one value shared by a third of them."""
     rng = random.Random(1)
