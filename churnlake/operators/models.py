@@ -58,10 +58,11 @@ class Fitted:
     family: str
     params: dict
     model: Model
-    before: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
+    before: Callable[[DataFrame], DataFrame] | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
-        return with_score(self.model.transform(self.before(df))).drop("_fourier")
+        ready = self.before(df) if self.before else df
+        return with_score(self.model.transform(ready)).drop("_fourier")
 
 
 def fourier_features(gamma: float, dim: int, seed: int, n_inputs: int) -> Callable[[DataFrame], DataFrame]:
@@ -86,7 +87,7 @@ def fit(family: str, train: DataFrame, label: str, params: Mapping | None = None
     """Train one model of a family: glm, nb, svm, gbm, rf, dt, ada or nn."""
     p = dict(params or {})
     io = {"featuresCol": FEATURES, "labelCol": label}
-    before = Fitted.__dataclass_fields__["before"].default
+    before = None
     if family == "ada":
         return AdaBoost(label, **p).fit(train)
     if family == "glm":
@@ -122,9 +123,7 @@ def fit(family: str, train: DataFrame, label: str, params: Mapping | None = None
             **io, layers=layers, maxIter=p.get("max_iter", 100), seed=p.get("seed", 1), blockSize=128)
     else:
         raise ValueError(f"unknown family {family}")
-    fitted = Fitted(family, p, None, before) if family == "svm" else Fitted(family, p, None)
-    fitted.model = estimator.fit(fitted.before(train))
-    return fitted
+    return Fitted(family, p, estimator.fit(before(train) if before else train), before)
 
 
 def fit_regressor(train: DataFrame, target: str, params: Mapping | None = None) -> Fitted:
