@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlake.llm import line_frequency, mixing, quartile_digest
+from churnlake.llm import line_frequency, mixing, near_copies, quartile_digest
 from churnlake.llm.registry import query, table
 
 
@@ -38,6 +38,12 @@ def op5(spark, sf):
     return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query("op8_near_copies")
+def op8(spark, sf):
+    """Component of every document under links of similar two-word shingle sets."""
+    return near_copies.near_copies(table(spark, sf, "documents"))
+
+
 @query("op10_quartile_digest")
 def op10(spark, sf):
     """Digest of every text and of its edited text, and their likeness."""
