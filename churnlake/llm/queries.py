@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlake.llm import line_frequency, mixing, near_copies, quartile_digest
+from churnlake.llm import line_frequency, mixing, near_copies, private_data, quartile_digest
 from churnlake.llm.registry import query, table
 
 
@@ -38,6 +38,23 @@ def op5(spark, sf):
     return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query("op7_private_data")
+def op7(spark, sf):
+    """Personal data of every text: counts and digest of the base spans, and all spans."""
+    found = private_data.find(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    kinds = F.array(*map(F.lit, private_data.KINDS))
+
+    def told(some):
+        return F.array_join(F.transform(some, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
+
+    def base(pii):
+        return F.filter(pii, lambda s: s["base"])
+
+    counts = [F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}")
+              for k, kind in enumerate(private_data.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(told(base(F.col("pii"))), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"))
+
+
 @query("op8_near_copies")
 def op8(spark, sf):
     """Component of every document under links of similar two-word shingle sets."""
