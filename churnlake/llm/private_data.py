@@ -105,7 +105,7 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 _EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]+)+", re.I)
 _IP_SHAPE = re.compile(r"[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}")
-_PHONE_SHAPE = re.compile(r"(?:00[0-9]{1,3}[ ./-]?)?(?:[0-9]{1,3}[ ./-])?\(?[0-9]{3}\)?[ ./-]?[0-9]{3}[ ./-][0-9]{4}")
+_PHONE_SHAPE = re.compile(r"(?:(?:00|\+)[0-9]{1,3}[ ./-]?)?(?:[0-9]{1,3}[ ./-])?\(?[0-9]{3}\)?[ ./-]?[0-9]{3}[ ./-][0-9]{4}")
 FEATURES = 20
 
 
@@ -231,6 +231,20 @@ def _variants(kind: int, span: str) -> list[str]:
     return [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"001 {d[:3]} {d[3:6]} {d[6:]}"]
 
 
+def _decoys(kind: int, span: str) -> list[str]:
+    """Forms like a base match that are no personal data: dates, versions, book and order numbers."""
+    digits = "".join(_DIGIT.findall(span))
+    if kind == 1:
+        return [span.split(".", 1)[0] + ".0.1." + digits[:4], "9" + span.replace(".", ".9")]
+    if kind == 2:
+        return [digits[:-1] + str((int(digits[-1]) + 1) % 10), digits + digits[:8]]
+    if kind == 3 and len(digits) >= 10:
+        d = digits[-10:]
+        return [f"20{d[:2]}-{d[2:4]}-{d[4:6]} {d[6:8]}:{d[8:10]}", f"20{d[:2]}-{d[2:4]}-{d[4:6]}", f"{d[:2]}/{d[2:4]}/20{d[4:6]}",
+                f"978-{d[0]}-{d[1:3]}-{d[3:9]}-{d[9]}", d, d[:8], f"{d[0]}.{d[1]}{d[2:]}", f"{d[:4]} {d[4:8]}"]
+    return []
+
+
 def _windows(text: pa.Array) -> pa.Array:
     """Stretches around base matches and around other regions."""
     out = []
@@ -260,6 +274,9 @@ def fit(windows: list[str]) -> np.ndarray | None:
                         lo, hi = min(lo, s), max(hi, s + len(form))
                         cases.append((Region(text, lo, hi), [(kind, s, s + len(form))]))
                         break
+            for form in _decoys(kind, w[s:e]):
+                text = w[:s] + form + w[e:]
+                cases += [(Region(text, lo, hi), []) for lo, hi in regions(text) if lo < s + len(form) and hi > s and not base_spans(text[lo:hi])]
     if not any(gold for _, gold in cases):
         return None
     w, seen = np.zeros((FEATURES, len(KINDS))), np.full((FEATURES, len(KINDS)), 1e-6)
