@@ -10,9 +10,8 @@ from churnlake.plans import roles
 from churnlake.plans.preparing import split_trips
 from churnlake.plans.registry import query
 from churnlake.plans.roles import SCORED, TRIPS, rounded, with_ctes
-from churnlake.session import checkpoint
+from churnlake.session import checkpoint, shared_folder
 from churnlake.sources import models as stored
-from churnlake.sources import tables
 
 TEXT, NUMBERS = ("travel_type", "month"), ("price", "program")
 
@@ -227,7 +226,7 @@ def _(spark, sf):
     pipeline = prep.feature_pipeline(TEXT, NUMBERS).fit(train)
     model = models.fit("glm", pipeline.transform(train), "retained")
     cut, _ = evaluate.max_f1(evaluate.score_counts(model.score(pipeline.transform(train)), "retained", "pred"))
-    path = tables.shared_folder(spark, "model")
+    path = shared_folder(spark, "model")
     stored.save_model(spark, PipelineModel(stages=[*pipeline.stages, model.model]), cut, path)
     loaded, threshold = stored.load_model(spark, path)
     scored = models.with_score(loaded.transform(unseen))
@@ -242,7 +241,7 @@ def _(spark, sf):
     for name, text in (("", TEXT), ("_plain", TEXT[:1])):
         pipeline = prep.feature_pipeline(text, NUMBERS).fit(train)
         model = models.fit("glm", pipeline.transform(train), "retained")
-        path = tables.shared_folder(spark, "stored-model")
+        path = shared_folder(spark, "stored-model")
         stored.save_model(spark, PipelineModel(stages=[*pipeline.stages, model.model]), 0.75, path)
         loaded[name] = stored.load_model(spark, path)
     out = unseen

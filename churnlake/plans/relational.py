@@ -9,6 +9,7 @@ from churnlake.operators import joins, keys, profile
 from churnlake.plans import roles
 from churnlake.plans.registry import query
 from churnlake.plans.roles import CRM, FINANCE, MESSAGES, SALES, SCORED, TRIPS, rounded, table, with_ctes
+from churnlake.session import shared_folder
 from churnlake.sources import lookups, tables
 
 # ---------------------------------------------------------------- sources
@@ -19,7 +20,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARC
        CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer""")
 def _(spark, sf):
     customer = table(spark, sf, "customer")
-    path = tables.shared_folder(spark, "customer-csv")
+    path = shared_folder(spark, "customer-csv")
     tables.write_table(customer, path, "csv")
     return tables.read_text_table(spark, path, customer.columns)
 
@@ -27,7 +28,7 @@ def _(spark, sf):
 @query("s2_read_with_encoding", with_ctes(MESSAGES) + "SELECT doc_id, text FROM messages")
 def _(spark, sf):
     """Texts written as UTF-16 and read back, accents and line breaks intact."""
-    path = tables.shared_folder(spark, "messages-csv")
+    path = shared_folder(spark, "messages-csv")
     tables.write_table(roles.messages(spark, sf).select("doc_id", "text"), path, "csv", encoding="UTF-16")
     return tables.read_text_table(spark, path, ["doc_id", "text"], encoding="UTF-16", multiline=True)
 
@@ -40,7 +41,7 @@ def _(spark, sf):
     finance = roles.finance(spark, sf).select(
         "id_finance", F.coalesce("special_pay", F.lit("NA")).alias("special_pay"),
         F.when(F.col("n_lines") == 1, "missing").otherwise(F.col("n_lines").cast("string")).alias("n_lines"))
-    path = tables.shared_folder(spark, "finance-csv")
+    path = shared_folder(spark, "finance-csv")
     tables.write_table(finance, path, "csv")
     return tables.read_text_table(spark, path, na_tokens=["missing"])
 
@@ -53,7 +54,7 @@ def _(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_orderkey", F.date_format("o_orderdate", "M/d/yyyy").alias("day"), "o_totalprice",
         F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_custkey").cast("string")).alias("custkey"))
-    path = tables.shared_folder(spark, "orders-csv")
+    path = shared_folder(spark, "orders-csv")
     tables.write_table(orders, path, "csv")
     return tables.read_typed_table(spark, path, "o_orderkey long, day date, o_totalprice double, custkey long")
 
@@ -88,7 +89,7 @@ def _(spark, sf):
     """Predictions written as CSV, read back to check the file."""
     out = roles.scored(spark, sf).select(
         "orderkey", F.when(F.col("pred") >= 0.7, "yes").otherwise("no").alias("pred_class"))
-    path = tables.shared_folder(spark, "predictions")
+    path = shared_folder(spark, "predictions")
     tables.write_table(out, path, "csv")
     return tables.read_text_table(spark, path, out.columns)
 

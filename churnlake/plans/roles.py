@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from churnlake.session import spread
-
 RETENTION_DAYS = 365
 
 
@@ -121,13 +119,13 @@ FINANCE = """finance AS (
 # --- messages: several texts per customer -----------------------------------
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("doc_id"),
-        F.col("conv_id").alias("customer_id"), "role", "text"), "doc_id")
+        F.col("conv_id").alias("customer_id"), "role", "text")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 MESSAGES = """messages AS (

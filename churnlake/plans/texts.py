@@ -11,8 +11,7 @@ from churnlake.operators import sentiment, texts
 from churnlake.plans import roles
 from churnlake.plans.registry import query
 from churnlake.plans.roles import MESSAGES, rounded, table, with_ctes
-from churnlake.session import checkpoint
-from churnlake.sources import tables
+from churnlake.session import checkpoint, shared_folder
 from churnlake.streaming import live
 
 # Frequent words of the invented texts; text.stop_words() gives the full English list.
@@ -325,7 +324,7 @@ def _(spark, sf):
 SELECT doc_id, round(sentiment, 7) AS sentiment FROM sentiment2""")
 def _(spark, sf):
     """The stored messages arrive as a stream; each batch is cleaned, scored and written."""
-    folder = tables.shared_folder(spark, "live-sentiment")
+    folder = shared_folder(spark, "live-sentiment")
     schema = table(spark, sf, "conversations").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf).select(
         F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")

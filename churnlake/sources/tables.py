@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +42,3 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", encoding: str =
             "quote", '"').option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, where every executor can reach it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or tempfile.mkdtemp(prefix="churnlake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
