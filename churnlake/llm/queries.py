@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlake.llm import line_frequency, mixing, near_copies, private_data, quartile_digest
+from churnlake.llm import line_frequency, mixing, near_copies, packing, private_data, quartile_digest
 from churnlake.llm.registry import query, table
 
 
@@ -15,6 +15,13 @@ def op1(spark, sf):
     return out.select("doc_id", *line_frequency.BASE, "base_failed", "kept", "words_removed")
 
 
+@query("op2_packing")
+def op2(spark, sf):
+    """Pieces of all documents in sequences of 2,048 tokens."""
+    return packing.pack(table(spark, sf, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 OP5_SQL = r"""
 WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
