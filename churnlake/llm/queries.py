@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlake.llm import line_frequency, mixing, near_copies, packing, private_data, quartile_digest
+from churnlake.llm import compression_language, line_frequency, main_text, mixing, near_copies, packing, private_data, quartile_digest
 from churnlake.llm.registry import query, table
 
 
@@ -22,6 +22,21 @@ def op2(spark, sf):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op3_compression_language")
+def op3(spark, sf):
+    """Language of every text by the dictionary that compresses it best, learned outside the held-out fold."""
+    docs = table(spark, sf, "documents")
+    contents = compression_language.dictionaries(docs.filter(~compression_language.held_out("doc_id")))
+    found = compression_language.identify(docs.select("doc_id", "text"), contents)
+    return found.select("doc_id", compression_language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op6_main_text")
+def op6(spark, sf):
+    """Main text of every page."""
+    return main_text.extract(table(spark, sf, "pages"))
+
+
 OP5_SQL = r"""
 WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
