@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlake.llm import compression_language, line_frequency, main_text, mixing, near_copies, packing, private_data, quartile_digest
+from churnlake.llm import compression_language, line_frequency, main_text, mixing, near_copies, packing, private_data, quartile_digest, toxic_terms
 from churnlake.llm.registry import query, table
 
 
@@ -37,6 +37,20 @@ def op6(spark, sf):
     return main_text.extract(table(spark, sf, "pages"))
 
 
+@query("op4_toxic_terms")
+def op4(spark, sf):
+    """Toxicity of every text, learned outside the held-out fold."""
+    docs = table(spark, sf, "documents")
+
+    def held_out(key):
+        return compression_language.held_out(key, 3, 1)
+
+    labels = table(spark, sf, "labels").filter(~held_out("doc_id")).select("doc_id", "toxic")
+    lexicon = toxic_terms.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxic_terms.toxicity(docs.select("doc_id", "text"), lexicon).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 OP5_SQL = r"""
 WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
