@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlake.llm import compression_language, line_frequency, main_text, mixing, near_copies, packing, private_data, quartile_digest, toxic_terms
+from churnlake.llm import compression_language, license_scan, line_frequency, main_text, mixing, near_copies, packing, private_data, quartile_digest, toxic_terms
 from churnlake.llm.registry import query, table
 
 
@@ -97,6 +97,13 @@ def op8(spark, sf):
     return near_copies.near_copies(table(spark, sf, "documents"))
 
 
+@query("op9_license_scan")
+def op9(spark, sf):
+    """Licenses of every text, with matched coverage and spans; a text without any has one row of nulls."""
+    found = license_scan.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.inline_outer("licenses"))
+
+
 @query("op10_quartile_digest")
 def op10(spark, sf):
     """Digest of every text and of its edited text, and their likeness."""
