@@ -86,8 +86,10 @@ def op7(spark, sf):
     def base(pii):
         return F.filter(pii, lambda s: s["base"])
 
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}")
-              for k, kind in enumerate(private_data.KINDS)]
+    def count(k):
+        return F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == k))).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(private_data.KINDS)]
     return found.select("doc_id", *counts, F.sha2(told(base(F.col("pii"))), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"))
 
 
