@@ -118,7 +118,8 @@ def features(span: str, before: str, after: str) -> list[int]:
     tests = (
         True, email, "@" in span and not email, ip and all(map(_octet, groups)), ip and not all(map(_octet, groups)),
         len(groups) == 4 and not ip, 16 <= len(digits) <= 19 and luhn(digits), 16 <= len(digits) <= 19 and not luhn(digits),
-        len(digits) > 19, phone, 8 <= len(digits) <= 15 and not phone, span[0] == "+", len(digits) < 7, len(groups) > 5,
+        len(digits) > 19, phone, 8 <= len(digits) <= 15 and not phone and span[0] == "+", span[0] == "+",
+        len(digits) <= 15 and not (phone or ip or email or span[0] == "+"), len(groups) > 5,
         bool(re.search(r"[A-Za-z]", span)) and not email, set(shape) <= set("9 .-/()+[]") and "9" in shape,
         before.isalnum() or after.isalnum(), before in "+.-/@" and before != "", after in ".-/@" and after != "" and len(after) == 1,
         len(groups) > 1 and len(digits) >= 16 and len({len(g) for g in groups}) <= 2)
@@ -259,24 +260,25 @@ def _windows(text: pa.Array) -> pa.Array:
 def fit(windows: list[str]) -> np.ndarray | None:
     """Weights by feature and kind, or None if no window holds a base match."""
     cases = []
+
+    def add(text: str, s: int, e: int, extra: list[tuple[int, int, int]]) -> None:
+        """The region about ``s`` to ``e``, with its base spans outside these and the extra ones."""
+        spans = [g for g in base_spans(text) if g[2] <= s or g[1] >= e] + extra
+        for lo, hi in regions(text):
+            if lo < e and hi > s:
+                inside = sorted((g for g in spans if g[1] < hi and g[2] > lo), key=lambda g: g[1])
+                lo, hi = min([lo, *(g[1] for g in inside)]), max([hi, *(g[2] for g in inside)])
+                if all(a[2] <= b[1] for a, b in zip(inside, inside[1:])):
+                    cases.append((Region(text, lo, hi), inside))
+
     for w in windows:
-        gold = base_spans(w)
-        gold = [g for k, g in enumerate(gold) if all(g[2] <= o[1] or g[1] >= o[2] for o in gold[:k])]
         for lo, hi in regions(w):
-            inside = sorted((g for g in gold if g[1] < hi and g[2] > lo), key=lambda g: g[1])
-            lo2, hi2 = min([lo, *(g[1] for g in inside)]), max([hi, *(g[2] for g in inside)])
-            cases.append((Region(w, lo2, hi2), inside))
-        for kind, s, e in gold:
-            for form in _variants(kind, w[s:e]):
-                text = w[:s] + form + w[e:]
-                for lo, hi in regions(text):
-                    if lo < s + len(form) and hi > s:
-                        lo, hi = min(lo, s), max(hi, s + len(form))
-                        cases.append((Region(text, lo, hi), [(kind, s, s + len(form))]))
-                        break
-            for form in _decoys(kind, w[s:e]):
-                text = w[:s] + form + w[e:]
-                cases += [(Region(text, lo, hi), []) for lo, hi in regions(text) if lo < s + len(form) and hi > s and not base_spans(text[lo:hi])]
+            add(w, lo, hi, [g for g in base_spans(w) if g[1] < hi and g[2] > lo])
+        for kind, s, e in base_spans(w):
+            for forms, is_kind in ((_variants(kind, w[s:e]), True), (_decoys(kind, w[s:e]), False)):
+                for form in forms:
+                    to = s + len(form)
+                    add(w[:s] + form + w[e:], s, to, [(kind, s, to)] if is_kind else [])
     if not any(gold for _, gold in cases):
         return None
     w, seen = np.zeros((FEATURES, len(KINDS))), np.full((FEATURES, len(KINDS)), 1e-6)
