@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.operators.ranking import running_totals
+from churnlake.operators.ranking import is_number, running_totals
 from churnlake.session import checkpoint
 
 
@@ -62,9 +62,11 @@ def naive_f1(df: DataFrame, label: str) -> DataFrame:
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     """``(threshold, n, pos)``: rows and positives per distinct score, written out.
 
+    Rows without a label or without a score (NULL or NaN) count nowhere.
+
     All threshold metrics read this table, so the model scores its rows once.
     """
-    known = df.filter(F.col(score).isNotNull())
+    known = df.filter(F.col(label).isNotNull() & is_number(score))
     return checkpoint(known.groupBy(F.col(score).alias("threshold")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")))
 

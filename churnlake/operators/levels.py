@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlake.operators.profile import joined_levels
-from churnlake.session import broadcast_if_small, checkpoint
+from churnlake.session import broadcast_if_small, checkpoint, splittable
 
 MISSING = "NA"
 
@@ -42,12 +42,24 @@ def apply_groups(df: DataFrame, col: str, mapping: DataFrame, replace: bool = Tr
 
     The result replaces the column or goes to ``<col>_bis``.
     """
-    named = mapping.select(F.col("level").alias("_level"), F.col("group").alias("_group"))
+    named = splittable(mapping.select(F.col("level").alias("_level"), F.col("group").alias("_group")), "_level")
     out = df.withColumn("_level", _level(col)).join(broadcast_if_small(named), "_level", "left")
     target = col if replace else f"{col}_bis"
     return out.withColumn(target, F.coalesce("_group", F.lit(other))).drop("_level", "_group")
 
 
+def group_letters(number: Column) -> Column:
+    """A to Z, then AA, AB and so on, up to three letters."""
+    n = number.cast("int")
+    first, second = n - 702, n - 26
+
+    def letter(i: Column) -> Column:
+        return F.char(F.pmod(i, F.lit(26)) + 65)
+
+    return F.concat(
+        F.when(first >= 0, letter(F.floor(first / 676))).otherwise(""), F.when(second >= 0, letter(F.floor(second / 26))).otherwise(""), letter(n))
+
+
 class LevelGrouper:
     """Cluster levels that behave alike and pool the groups that stay small.
 
@@ -105,7 +117,7 @@ class LevelGrouper:
         k = self.k or self.choose_k(levels)
         clustered = self._kmeans(levels, k) if k > 1 else levels.withColumn("cluster", F.lit(0))
         if self.letters:
-            clustered = clustered.withColumn("group", F.char(F.col("cluster") + 65))
+            clustered = clustered.withColumn("group", group_letters(F.col("cluster")))
         else:
             names = joined_levels(clustered, "cluster", "level").withColumnRenamed("levels", "group")
             clustered = clustered.join(names, "cluster")

@@ -280,13 +280,20 @@ def grid(**choices: Iterable) -> list[dict]:
 def random_params(n: int, seed: int, **choices) -> list[dict]:
     """``n`` distinct draws; a choice is a list, or a function of the random generator."""
     rng, out, seen = random.Random(seed), [], set()
-    for _ in range(20 * n):
+    if not any(callable(v) for v in choices.values()):
+        every = grid(**choices)
+        if n > len(every):
+            raise ValueError(f"{n} draws asked for, but there are only {len(every)}")
+        return rng.sample(every, n)
+    misses = 0
+    while len(out) < n:
         draw = {k: v(rng) if callable(v) else rng.choice(list(v)) for k, v in choices.items()}
-        if repr(draw) not in seen:
+        misses = 0 if repr(draw) not in seen else misses + 1
+        if misses > 10_000:
+            raise ValueError(f"{n} draws asked for, but only {len(out)} differ")
+        if not misses:
             seen.add(repr(draw))
             out.append(draw)
-        if len(out) == n:
-            break
     return out
 
 
@@ -305,12 +312,12 @@ class Search:
 
 
 def search(family: str, train: DataFrame, label: str, key: str, candidates: Sequence[Mapping], folds: int = 2,
-           metric: str = "f1", seed: int = 1, max_secs: float = 3600.0, stop_rounds: int | None = None,
+           metric: str = "f1", seed: int = 1, max_secs: float | None = None, stop_rounds: int | None = None,
            stop_tol: float = 1e-3, parallelism: int = 8) -> Search:
     """Cross-validate each candidate, refit the best on all rows.
 
     Candidates run in batches. The search stops after a batch that ends past the
-    time limit, or when the best score has not grown by ``stop_tol`` over
+    time limit, if one is given, or when the best score has not grown by ``stop_tol`` over
     ``stop_rounds`` candidates.
     """
     folded = checkpoint(add_folds(train, label, key, folds, seed))
@@ -325,7 +332,7 @@ def search(family: str, train: DataFrame, label: str, key: str, candidates: Sequ
             mean = float(np.mean(scores))
             stale = 0 if mean > best + stop_tol else stale + 1
             best = max(best, mean)
-        if time.monotonic() - started > max_secs or (stop_rounds and stale >= stop_rounds):
+        if (max_secs and time.monotonic() - started > max_secs) or (stop_rounds and stale >= stop_rounds):
             break
     top = max(results, key=lambda r: np.mean(r["scores"]))
     return Search(family, metric, results, fit(family, folded, label, top["params"]))
@@ -372,20 +379,20 @@ def stack(base: Sequence[tuple[str, Mapping]], train: DataFrame, label: str, key
     return Stacked([fit(family, folded, label, p) for family, p in base], meta)
 
 
-def automl(train: DataFrame, label: str, key: str, plans: Sequence[tuple[str, Sequence[Mapping]]], max_secs: float = 3600.0,
+def automl(train: DataFrame, label: str, key: str, plans: Sequence[tuple[str, Sequence[Mapping]]], max_secs: float | None = None,
            folds: int = 2, metric: str = "auc", too_good: float = 0.999, seed: int = 1) -> tuple[object, list[dict]]:
-    """Try families and parameters until the time is up.
+    """Try families and parameters, all of them or, if a time limit is given, until it is up.
 
     Returns the best model by cross-validation whose training AUC is below
     ``too_good``, and the leaderboard.
     """
     folded = checkpoint(add_folds(train, label, key, folds, seed))
-    deadline, board = time.monotonic() + max_secs, []
-    for family, candidates in plans:
-        if board and time.monotonic() > deadline:
+    started, board = time.monotonic(), []
+    for family, params in [(family, p) for family, candidates in plans for p in candidates]:
+        if board and max_secs and time.monotonic() - started > max_secs:
             break
-        for params, scores in zip(candidates, cross_validate(family, folded, label, candidates, folds, metric)):
-            board.append({"family": family, "params": dict(params), "score": float(np.mean(scores))})
+        scores = cross_validate(family, folded, label, [params], folds, metric)[0]
+        board.append({"family": family, "params": dict(params), "score": float(np.mean(scores))})
     for entry in sorted(board, key=lambda b: -b["score"]):
         model = fit(entry["family"], folded, label, entry["params"])
         if quality(model.score(folded), label, "auc") < too_good:

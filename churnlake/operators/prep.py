@@ -15,43 +15,41 @@ from pyspark.sql.window import Window
 
 from churnlake.operators.profile import level_counts, melt, numeric_columns
 from churnlake.operators.ranking import hash_order
-from churnlake.session import checkpoint
+from churnlake.session import broadcast_if_small, checkpoint, stored
 
-HASH_PREFIX = 3  # hex digits: 4096 buckets of equal size
+BUCKET_ROWS = 100_000  # rows that one task ranks
 
 
 def stratified_split(df: DataFrame, label: str, key: str, p: float = 0.75, seed: int = 2020,
-                     max_classes: int = 1000) -> DataFrame:
+                     bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``is_train``: the ``ceil(p n)`` rows of each class with the smallest key hashes.
 
     Counts per class and leading hash digits tell in which bucket a class's last
-    training row lies. Only that bucket is ranked; the rows themselves are never
-    shuffled.
+    training row lies. Only that bucket is ranked; there are as many digits as keep
+    it small. A missing label is a class of its own, apart from an empty one.
     """
-    cls = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    digits = 1
+    rows = df.count()
+    while 16 ** digits * bucket_rows < rows:
+        digits += 1
+    cls = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
     place = hash_order(key, seed)
     keyed = df.select(cls.alias("_class"), place.alias("_h"), F.col(key).alias("_key"),
-                      F.substring(place, 1, HASH_PREFIX).alias("_b"))
+                      F.substring(place, 1, digits).alias("_b"))
     before = Window.partitionBy("_class").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = keyed.groupBy("_class", "_b").agg(F.count(F.lit(1)).alias("_n")).select(
         "_class", "_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.ceil(F.round(F.sum("_n").over(Window.partitionBy("_class")) * p, 6)).alias("_want"))
     edge = buckets.filter((F.col("_want") > F.col("_before")) & (F.col("_want") <= F.col("_before") + F.col("_n")))
 
-    def known(rows: DataFrame) -> DataFrame:
-        """One row per class, counted while it is fetched."""
-        found = rows.limit(max_classes + 1).collect()
-        if len(found) > max_classes:
-            raise ValueError(f"{label} has more than {max_classes} classes")
-        return F.broadcast(df.sparkSession.createDataFrame(found, rows.schema))
-
-    edge = known(edge.select("_class", "_b", "_before", "_want"))
+    edge = edge.select("_class", "_b", "_before", "_want")
     rank = F.row_number().over(Window.partitionBy("_class", "_b").orderBy("_h", "_key")) + F.col("_before")
-    last = known(
+    # One row per class, stored, so that the rows can join it without a shuffle where it is small.
+    last = stored(
         keyed.join(edge, ["_class", "_b"]).withColumn("_rank", rank).filter(F.col("_rank") == F.col("_want"))
-        .select("_class", F.col("_h").alias("_last_h"), F.col("_key").alias("_last_key")))
+        .select("_class", F.col("_h").alias("_last_h"), F.col("_key").alias("_last_key")), "split")
     inside = F.struct(place, F.col(key)) <= F.struct("_last_h", "_last_key")
-    out = df.withColumn("_class", cls).join(last, "_class", "left")
+    out = df.withColumn("_class", cls).join(broadcast_if_small(last), "_class", "left")
     return out.withColumn("is_train", F.coalesce(inside, F.lit(False))).drop("_class", "_last_h", "_last_key")
 
 
@@ -136,8 +134,8 @@ class PcaImputer:
     driver.
     """
 
-    def __init__(self, cols: Sequence[str], rank: int | None = None, max_rank: int = 5, max_iter: int = 12,
-                 ridge: float = 1e-3, tol: float = 1e-5, seed: int = 1):
+    def __init__(self, cols: Sequence[str], rank: int | None = None, max_rank: int = 5, max_iter: int = 300,
+                 ridge: float = 1e-3, tol: float = 1e-4, seed: int = 1):
         self.cols, self.rank, self.max_rank = list(cols), rank, max_rank
         self.max_iter, self.ridge, self.tol, self.seed = max_iter, ridge, tol, seed
 
@@ -152,15 +150,20 @@ class PcaImputer:
         rank = self._choose_rank(cells, mean, sd) if self.rank is None else self.rank
         loadings = np.zeros((k, 0))
         if rank:
-            loadings = self._leading(self._products(cells, mean, sd, loadings), rank)
-            for _ in range(self.max_iter):
-                new = self._leading(self._products(cells, mean, sd, loadings), rank)
-                moved = np.linalg.norm(new @ new.T - loadings @ loadings.T)
-                loadings = new
-                if moved < self.tol:
-                    break
+            loadings = self._fitted(cells, mean, sd, rank)
         return PcaImputerModel(cols, mean, sd, loadings, self.ridge)
 
+    def _fitted(self, cells: DataFrame, mean, sd, rank: int, hide: bool = False) -> np.ndarray:
+        """Loadings that no longer move when the gaps are filled from them."""
+        loadings = np.zeros((len(self.cols), 0))
+        for _ in range(self.max_iter + 1):
+            new = self._leading(self._products(cells, mean, sd, loadings, hide), rank)
+            moved = np.inf if not loadings.shape[1] else np.linalg.norm(new @ new.T - loadings @ loadings.T)
+            loadings = new
+            if moved < self.tol:
+                break
+        return loadings
+
     @staticmethod
     def _leading(products: np.ndarray, rank: int) -> np.ndarray:
         return np.linalg.eigh(products)[1][:, ::-1][:, :rank]
@@ -195,7 +198,7 @@ class PcaImputer:
         """The rank with the smallest error on held-out cells; 0 means column means."""
         cols, k, ridge, held_out = self.cols, len(self.cols), self.ridge, self._held_out
         top = min(self.max_rank, k - 1)
-        full = self._leading(self._products(cells, mean, sd, np.zeros((k, 0)), True), top)
+        fitted = [np.zeros((k, 0)), *(self._fitted(cells, mean, sd, r, True) for r in range(1, top + 1))]
 
         def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(top + 1)
@@ -204,7 +207,7 @@ class PcaImputer:
                 hidden = held_out(batch["_h"].to_numpy(), k) & ~np.isnan(z)
                 masked = np.where(hidden, np.nan, z)
                 for r in range(top + 1):
-                    total[r] += ((_impute(masked, full[:, :r], ridge) - z)[hidden] ** 2).sum()
+                    total[r] += ((_impute(masked, fitted[r], ridge) - z)[hidden] ** 2).sum()
             yield pd.DataFrame({"rank": np.arange(top + 1), "error": total})
 
         found = cells.mapInPandas(errors, "rank int, error double").groupBy("rank").agg(F.sum("error").alias("error"))

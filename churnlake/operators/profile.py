@@ -6,11 +6,10 @@ Wide tables are profiled in one job: columns are unpivoted to
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,8 +175,9 @@ def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Count, distinct levels and top level of text columns; moments and quartiles of numbers."""
-    numbers, texts = numeric_columns(df), text_columns(df)
+    """Count, distinct levels and top level of texts, dates and truth values; moments and quartiles of numbers."""
+    numbers = numeric_columns(df)
+    levels = [f.name for f in df.schema if f.name not in numbers and isinstance(f.dataType, T.AtomicType)]
     parts = []
     if numbers:
         long = melt(df, numbers, "double")
@@ -185,14 +185,13 @@ def describe(df: DataFrame) -> DataFrame:
             F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev("value").alias("std"),
             F.min("value").alias("min"), F.max("value").alias("max"))
         parts.append(moments.join(group_quantiles(long, ["column"], "value", QUARTILES, few_groups=True), "column", "left"))
-    if texts:
-        counts = level_counts(df, texts).filter(F.col("value").isNotNull())
+    if levels:
+        counts = level_counts(df, levels).filter(F.col("value").isNotNull())
         totals = counts.groupBy("column").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"))
         top = first_per_group(counts, ["column"], [F.desc("n"), F.asc("value")]).select(
             "column", F.col("value").alias("top"), F.col("n").alias("freq"))
         parts.append(totals.join(top, "column"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    return out
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def dictionary(df: DataFrame, max_levels: int = 50) -> DataFrame:
@@ -263,20 +262,33 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 # --- correlation ---------------------------------------------------------------
 
-def correlation(df: DataFrame, cols: Sequence[str], direct_limit: int = 12) -> DataFrame:
-    """``(var1, var2, value)`` for each unordered pair, rows with gaps left out."""
+def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(var1, var2, value)`` for each unordered pair, rows with gaps left out; NULL for a constant column.
+
+    Tasks add up products of centred rows as small matrices; only these sums are shuffled.
+    """
+    cols = sorted(cols)
+    k = len(cols)
     complete = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    pairs = list(combinations(sorted(cols), 2))
-    if len(cols) <= direct_limit:
-        row = complete.agg(*[F.corr(a, b).alias(f"{a}\t{b}") for a, b in pairs])
-        long = row.unpivot([], row.columns, "_pair", "value")
-        both = F.split("_pair", "\t")
-        return long.select(both[0].alias("var1"), both[1].alias("var2"), "value")
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(complete)
-    matrix = Correlation.corr(vectors, "_x").first()[0].toArray()  # columns x columns
-    at = {c: i for i, c in enumerate(cols)}
-    rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, value double")
+    means = complete.agg(*[F.avg(c).alias(c) for c in cols]).first()  # one number per column
+    mean = np.array([m or 0.0 for m in means])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            z = batch.to_numpy(dtype=float) - mean
+            total += z.T @ z
+        i, j = np.triu_indices(k)
+        yield pd.DataFrame({"i": i, "j": j, "value": total[i, j]})
+
+    sums = complete.mapInPandas(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
+    own = sums.filter("i = j").select(F.col("i").alias("c"), "value")
+    names = F.array(*[F.lit(c) for c in cols])
+    size = F.sqrt(F.col("a.value")) * F.sqrt(F.col("b.value"))
+    # One row per pair of columns.
+    return sums.filter("i < j").alias("s").join(own.alias("a"), F.col("s.i") == F.col("a.c")).join(own.alias("b"), F.col("s.j") == F.col("b.c")).select(
+        F.element_at(names, F.col("i") + 1).alias("var1"), F.element_at(names, F.col("j") + 1).alias("var2"),
+        F.try_divide(F.col("s.value"), size).alias("value"))
 
 
 def correlated_pairs(df: DataFrame, cols: Sequence[str], low: float = 0.8) -> DataFrame:

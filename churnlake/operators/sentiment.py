@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake.operators.ranking import group_quantiles
-from churnlake.session import broadcast_if_small
+from churnlake.session import broadcast_if_small, splittable
 
 # Fixed values of the published valence rules.
 BOOST = 0.293
@@ -92,18 +92,19 @@ def valence(df: DataFrame, doc: str, text: str, lexicon: DataFrame,
             negated = negated * F.when(F.coalesce(w.isin(*negations), F.lit(False)), NEGATION).otherwise(1.0)
         shout = F.get(F.col("_raw"), i)
         capitals = (shout == F.upper(shout)) & (shout != F.lower(shout)) & (F.length(shout) > 1)
-        position = F.array_position("_w", F.lit(contrast)) - 1
+        position = F.col("_contrast")
         side = F.when(position < 0, 1.0).when(i < position, BEFORE_BUT).when(i > position, AFTER_BUT).otherwise(1.0)
         return F.struct(word.alias("token"), boost.alias("boost"), (negated * side).alias("factor"),
                         capitals.alias("capitals"))
 
     # Per-text facts are columns before the words fan out, so they are found once.
     words = _words(df.select(doc, text), text).withColumns({
+        "_contrast": F.array_position("_w", F.lit(contrast)) - 1,
         "_mixed": F.exists("_raw", lambda w: w != F.upper(w)),
         "_exclaim": F.length(text) - F.length(F.replace(F.col(text), F.lit("!"), F.lit(""))),
         "_ask": F.length(text) - F.length(F.replace(F.col(text), F.lit("?"), F.lit(""))),
     }).select(doc, "_mixed", "_exclaim", "_ask", F.inline_outer(F.transform("_w", marked)))
-    hit = words.join(broadcast_if_small(known), "token", "left")
+    hit = words.join(broadcast_if_small(splittable(known, "token")), "token", "left")
     sign = F.signum("valence")
     shouted = F.when(F.col("capitals") & F.col("_mixed"), CAPITALS).otherwise(0.0)
     score = (F.col("valence") + sign * (F.col("boost") + shouted)) * F.col("factor")
@@ -137,7 +138,7 @@ def polarity_subjectivity(df: DataFrame, doc: str, text: str, lexicon: DataFrame
                         F.when(negated, POLARITY_NEGATION).otherwise(1.0).alias("flip"))
 
     words = _words(df.select(doc, text), text).select(doc, F.inline_outer(F.transform("_w", marked)))
-    hit = words.join(broadcast_if_small(known), "token", "left")
+    hit = words.join(broadcast_if_small(splittable(known, "token")), "token", "left")
 
     def clip(c: Column, low: float) -> Column:
         return F.least(F.greatest(c, F.lit(low)), F.lit(1.0))
@@ -164,7 +165,7 @@ def nb_positive(tokens: DataFrame, doc: str, log_odds: DataFrame, prior: float =
 
     With ``docs``, texts without any word get the prior's probability.
     """
-    seen = tokens.select(doc, "token").distinct().join(broadcast_if_small(log_odds), "token", "left")
+    seen = tokens.select(doc, "token").distinct().join(broadcast_if_small(splittable(log_odds, "token")), "token", "left")
     total = F.lit(prior) + F.coalesce(F.sum("log_odds"), F.lit(0.0))
     out = seen.groupBy(doc).agg((1 / (1 + F.exp(-total))).alias("p_pos"))
     if docs is None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from churnlake.session import broadcast_if_small, shuffle_width
+from churnlake.session import broadcast_if_small, shuffle_width, splittable
 
 
 def explode_tokens(df: DataFrame, doc: str, tokens: Column) -> DataFrame:
@@ -18,7 +18,7 @@ def explode_tokens(df: DataFrame, doc: str, tokens: Column) -> DataFrame:
 
 def lemmatise(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replace words by their base form from a ``(token, lemma)`` table."""
-    joined = tokens.join(broadcast_if_small(lemmas), "token", "left")
+    joined = tokens.join(broadcast_if_small(splittable(lemmas, "token")), "token", "left")
     return joined.withColumn("token", F.coalesce("lemma", "token")).drop("lemma")
 
 
@@ -27,7 +27,7 @@ def keep_pos(tokens: DataFrame, tags: DataFrame, prefixes: Sequence[str] = ("NN"
     wanted = F.lit(False)
     for p in prefixes:
         wanted = wanted | F.col("pos").startswith(p)
-    return tokens.join(broadcast_if_small(tags.filter(wanted).select("token").distinct()), "token", "left_semi")
+    return tokens.join(broadcast_if_small(splittable(tags.filter(wanted).select("token").distinct(), "token")), "token", "left_semi")
 
 
 def term_counts(tokens: DataFrame, doc: str) -> DataFrame:
@@ -55,7 +55,7 @@ def tfidf(counts: DataFrame, doc: str, n_docs: Column, smooth: bool = True, norm
     """``tf * (ln((1 + n) / (1 + df)) + 1)`` per document and term, rows of length 1."""
     add = 1 if smooth else 0
     idf = F.log((n_docs + add) / (F.col("df") + add)) + 1
-    weighted = counts.join(document_frequency(counts), "term").select(
+    weighted = counts.join(splittable(document_frequency(counts), "term"), "term").select(
         doc, "term", (F.col("tf") * idf).alias("weight"))
     if not norm:
         return weighted

@@ -137,8 +137,7 @@ def _(spark, sf):
 def _(spark, sf):
     train, test = prepared(spark, sf)
     best, _ = models.automl(train, "retained", "orderkey", [
-        ("glm", models.grid(alpha=[0.0, 1.0])), ("dt", models.grid(depth=[4])), ("gbm", [{"trees": 10, "depth": 3}])],
-        max_secs=60.0)
+        ("glm", models.grid(alpha=[0.0, 1.0])), ("dt", models.grid(depth=[4])), ("gbm", [{"trees": 10, "depth": 3}])])
     return results("auto", best, train, test)
 
 
@@ -163,7 +162,7 @@ def _(spark, sf):
     """Stops early once two draws in a row bring nothing."""
     train, _ = prepared(spark, sf)
     draws = models.random_params(5, 1, alpha=lambda r: round(r.random(), 4), **{"lambda": [0.001, 0.01, 0.1]})
-    found = models.search("glm", train, "retained", "orderkey", draws, metric="accuracy", max_secs=120.0, stop_rounds=2)
+    found = models.search("glm", train, "retained", "orderkey", draws, metric="accuracy", stop_rounds=2)
     return found.report(spark)
 
 

@@ -165,13 +165,13 @@ def _(spark, sf):
 def _(spark, sf):
     """Nations with alike retention pooled, number of groups chosen by silhouette."""
     joined = roles.trips(spark, sf).join(roles.crm(spark, sf).select("custkey", "nation"), "custkey")
-    return levels.LevelGrouper("nation", "retained", threshold=0.05, max_k=8).fit(joined)
+    return levels.LevelGrouper("nation", "retained", threshold=0.05).fit(joined)
 
 
 @query("e7_cluster_scores")
 def _(spark, sf):
     joined = roles.trips(spark, sf).join(roles.crm(spark, sf).select("custkey", "nation"), "custkey")
-    grouper = levels.LevelGrouper("nation", "retained", max_k=8)
+    grouper = levels.LevelGrouper("nation", "retained")
     return spark.createDataFrame(grouper.scores(checkpoint(grouper.level_table(joined))), "k int, silhouette double")
 
 

@@ -116,14 +116,14 @@ def describe_number(c):
 
 def describe_text(c):
     return f"""SELECT '{c}', CAST(sum(n) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*),
-       arg_min(v, (-n, v)), max(n) FROM (SELECT {c} AS v, count(*) AS n FROM orders GROUP BY 1)"""
+       arg_min(v, (-n, v)), max(n) FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 1)"""
 
 
 @query("a10_describe", "\nUNION ALL ".join(
     [describe_number(c) for c in ("o_orderkey", "o_custkey", "o_totalprice")]
-    + [describe_text(c) for c in ("o_orderstatus", "o_orderpriority")]))
+    + [describe_text(c) for c in ("o_orderstatus", "o_orderpriority", "o_orderdate")]))
 def _(spark, sf):
-    out = profile.describe(table(spark, sf, "orders").drop("o_orderdate"))
+    out = profile.describe(table(spark, sf, "orders"))
     return rounded(out, mean=8, std=8, min=6, max=6, q1=6, median=6, q3=6)
 
 
@@ -144,13 +144,13 @@ def dictionary_number(c, dtype):
 
 
 @query("a11_data_dictionary", """
-WITH d AS (SELECT c_name, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_nationkey, c_acctbal FROM customer)
+WITH d AS (SELECT c_name, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_custkey, c_nationkey, c_acctbal FROM customer)
 """ + "\nUNION ALL ".join([
     dictionary_text("c_name"), dictionary_text("c_mktsegment"),
-    dictionary_number("c_nationkey", "int"), dictionary_number("c_acctbal", "double")]))
+    dictionary_number("c_custkey", "bigint"), dictionary_number("c_nationkey", "int"), dictionary_number("c_acctbal", "double")]))
 def _(spark, sf):
     customer = table(spark, sf, "customer").select(
-        "c_name", clean.to_null(F.col("c_mktsegment"), ["BUILDING"]).alias("c_mktsegment"), "c_nationkey", "c_acctbal")
+        "c_name", clean.to_null(F.col("c_mktsegment"), ["BUILDING"]).alias("c_mktsegment"), "c_custkey", "c_nationkey", "c_acctbal")
     return profile.dictionary(customer)
 
 

@@ -63,8 +63,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only if the plan's statistics bound the side; else adaptive execution decides."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if size.bitLength() < 63 and size.toLong() <= max_bytes else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+def splittable(df: DataFrame, key: str) -> DataFrame:
+    """``df``, an aggregate by the text ``key``, in a form that a join by that key shuffles anew.
+
+    An aggregate already lies hashed by its key; joined as it is, its side has no shuffle of its own,
+    and adaptive execution cannot split the other side's skewed keys.
+    """
+    return df.withColumn(key, F.concat(F.col(key), F.lit("")))
 
 
 def shuffle_width(spark: SparkSession) -> int:
