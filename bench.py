@@ -19,7 +19,8 @@ HEADLINE = [
     "e15_box_stats", "t1_clean_tweet", "t2_clean_text", "t8_tfidf", "t13_valence", "t14_polarity_subjectivity",
     "t16_customer_text_features", "m1_stratified_split", "m2_pca_imputation", "v5_auc", "v8_best_thresholds",
     "v9_lift_curve", "x2_partial_dependence", "x4_sampled_contributions", "d1_scenario", "d2_discount_sweep",
-    "l2_naive_bayes_counts", "l7_decision_tree_rules", "t9_lsa_singular_values",
+    "l2_naive_bayes_counts", "l7_decision_tree_rules", "t9_lsa_singular_values", "l4_gradient_boosting",
+    "l10_stacked_ensemble", "t12_lda_topics", "d5_score_new_trips", "x1_permutation_importance",
 ]
 
 

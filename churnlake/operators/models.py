@@ -78,6 +78,13 @@ def fourier_features(gamma: float, dim: int, seed: int, n_inputs: int) -> Callab
     return lambda df: df.withColumn("_fourier", array_to_vector(project(vector_to_array(FEATURES))))
 
 
+def before_model(family: str, params: Mapping) -> Callable[[DataFrame], DataFrame] | None:
+    """What a family does to the rows before its model; it depends on the parameters only."""
+    if family != "svm":
+        return None
+    return fourier_features(params["gamma"], params["dim"], params["seed"], params["n_inputs"])
+
+
 def n_features(df: DataFrame) -> int:
     meta = df.schema[FEATURES].metadata.get("ml_attr", {})
     return meta.get("num_attrs") or df.select(FEATURES).first()[0].size
@@ -97,8 +104,8 @@ def fit(family: str, train: DataFrame, label: str, params: Mapping | None = None
         estimator = NaiveBayes(**io, modelType=p.get("kind", "gaussian"), smoothing=p.get("laplace", 1.0))
     elif family == "svm":
         size = n_features(train)
-        gamma = p.get("gamma", 1.0 / size)
-        before = fourier_features(gamma, p.get("dim", 100), p.get("seed", 1), size)
+        p |= {"gamma": p.get("gamma", 1.0 / size), "dim": p.get("dim", 100), "seed": p.get("seed", 1), "n_inputs": size}
+        before = before_model(family, p)
         estimator = LinearSVC(featuresCol="_fourier", labelCol=label, maxIter=p.get("max_iter", 50),
                               regParam=p.get("reg", 1e-3), standardization=False)
     elif family == "gbm":
@@ -241,6 +248,27 @@ class CountNaiveBayes:
         return terms.groupBy(key).agg((1 / (1 + F.exp(-total))).alias("pred"))
 
 
+def search_counts(train: DataFrame, text_cols: Sequence[str], number_cols: Sequence[str], label: str, key: str,
+                  laplaces: Sequence[float], folds: int = 2, seed: int = 1, cut: float = 0.5) -> tuple["CountNaiveBayes", DataFrame]:
+    """The group-count model with the smoothing of the best cross-validated accuracy, and all scores.
+
+    Ties go to the first smoothing listed.
+    """
+    folded = checkpoint(add_folds(train, label, key, folds, seed))
+    parts = None
+    for i, laplace in enumerate(laplaces):
+        for f in range(folds):
+            model = CountNaiveBayes(text_cols, number_cols, label, laplace).fit(folded.filter(F.col("fold") != f))
+            held = folded.filter(F.col("fold") == f)
+            right = ((F.col("pred") >= cut).cast("int") == F.col(label)).cast("double")
+            one = model.score(held, key).join(held.select(key, label), key).agg(F.avg(right).alias("accuracy")).select(
+                F.lit(i).alias("candidate"), F.lit(float(laplace)).alias("laplace"), F.lit(f).alias("fold"), "accuracy")
+            parts = one if parts is None else parts.unionByName(one)
+    scores = checkpoint(parts)
+    best = scores.groupBy("candidate").agg(F.round(F.avg("accuracy"), 12).alias("m")).orderBy(F.desc("m"), "candidate").first()
+    return CountNaiveBayes(text_cols, number_cols, label, laplaces[best["candidate"]]).fit(train), scores
+
+
 # --- folds and search -----------------------------------------------------------------
 
 def add_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 1, name: str = "fold") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from churnlake.session import broadcast_if_small, shuffle_width
+from churnlake.session import broadcast_if_small, checkpoint, shuffle_width
 
 RANGE = "_range"
 
@@ -44,12 +44,12 @@ def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column],
     (NULL or NaN) have no place in the order and are left out.
     """
     df = df.filter(is_number(order_col))
-    cuts = value_ranges(df, order_col, n_ranges)
     if distinct:
         per_value = df.select(order_col, *[e.alias(n) for n, e in sums.items()])
     else:
-        per_value = df.groupBy(order_col).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    per_value = add_range(per_value, order_col, cuts)
+        # Stored, so that the rows are read once; the ranges then hold like numbers of distinct values.
+        per_value = checkpoint(df.groupBy(order_col).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
+    per_value = add_range(per_value, order_col, value_ranges(per_value, order_col, n_ranges))
     direction = F.desc if descending else F.asc
     before = Window.orderBy(direction(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     # One row per range: as many rows as there are cuts.
@@ -73,8 +73,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str,
     """
     by = list(by)
     value = df.filter(is_number(col)).select(*by, F.col(col).cast("double").alias("_v"))
-    cuts = value_ranges(value, "_v", n_ranges)
-    counts = add_range(value.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", cuts)
+    counts = checkpoint(value.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    counts = add_range(counts, "_v", value_ranges(counts, "_v", n_ranges))
     if not by:
         by, few_groups = ["_all"], True
         counts = counts.withColumn("_all", F.lit(1))

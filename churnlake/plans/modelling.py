@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from churnlake.operators import evaluate, explain, models, prep
+from churnlake.operators import evaluate, explain, levels, models, prep, profile
 from churnlake.plans import roles
 from churnlake.plans.preparing import split_trips
 from churnlake.plans.registry import query
-from churnlake.plans.roles import SCORED, TRIPS, rounded, with_ctes
+from churnlake.plans.roles import CRM, FINANCE, MESSAGES, SCORED, TRIPS, rounded, with_ctes
 from churnlake.session import checkpoint, shared_folder
 from churnlake.sources import models as stored
+from churnlake.sources import tables
 
 TEXT, NUMBERS = ("travel_type", "month"), ("price", "program")
 
@@ -48,11 +48,6 @@ def _(spark, sf):
     return searched(spark, sf, "glm", [{**a, "lambda": v} for a in alphas for v in (0.001, 0.01)])
 
 
-@query("l2_naive_bayes")
-def _(spark, sf):
-    return searched(spark, sf, "nb", models.grid(laplace=[0.0, 1.0]))
-
-
 @query("l2_naive_bayes_counts", with_ctes(TRIPS) + """,
 tr AS (SELECT *, CAST(month(departure_date) AS VARCHAR) AS month FROM trips WHERE orderkey % 4 <> 0),
 te AS (SELECT *, CAST(month(departure_date) AS VARCHAR) AS month FROM trips WHERE orderkey % 4 = 0),
@@ -166,10 +161,50 @@ def _(spark, sf):
     return found.report(spark)
 
 
-@query("l14_search_report")
+LAPLACES = (0.5, 1.0, 500.0)
+# Accuracy of each smoothing on each of two stratified folds of the training trips.
+COUNTS_CV = with_ctes(TRIPS) + f""",
+f AS (SELECT *, CAST(month(departure_date) AS VARCHAR) AS month,
+        (row_number() OVER (ORDER BY retained, md5(orderkey || '|1'), orderkey) - 1) % 2 AS fold FROM trips WHERE orderkey % 4 <> 0),
+lap AS (SELECT unnest({list(LAPLACES)}) AS a), held AS (SELECT unnest([0, 1]) AS h),
+lv AS (SELECT h, 'travel_type' AS c, travel_type AS v, sum(retained) AS p, sum(1 - retained) AS n FROM f JOIN held ON fold <> h GROUP BY 1, 3
+       UNION ALL SELECT h, 'month', month, sum(retained), sum(1 - retained) FROM f JOIN held ON fold <> h GROUP BY 1, 3),
+od AS (SELECT h, a, c, v, ln((p + a) / (sum(p) OVER w + a * count(*) OVER w)) - ln((n + a) / (sum(n) OVER w + a * count(*) OVER w)) AS o
+       FROM lv, lap WINDOW w AS (PARTITION BY h, a, c)),
+pr AS (SELECT h, ln(sum(retained) / sum(1 - retained)) AS prior FROM f JOIN held ON fold <> h GROUP BY 1),
+sc AS (SELECT lap.a, f.fold, retained, prior + coalesce(x.o, 0) + coalesce(y.o, 0) AS z FROM f JOIN pr ON pr.h = fold CROSS JOIN lap
+       LEFT JOIN od x ON x.h = fold AND x.a = lap.a AND x.c = 'travel_type' AND x.v = travel_type
+       LEFT JOIN od y ON y.h = fold AND y.a = lap.a AND y.c = 'month' AND y.v = month),
+acc AS (SELECT a, fold, avg(CASE WHEN (z >= 0) = (retained = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM sc GROUP BY 1, 2)
+"""
+
+
+def searched_counts(spark, sf):
+    train, test = (with_month(d) for d in split_trips(spark, sf))
+    return *models.search_counts(train, TEXT, [], "retained", "orderkey", LAPLACES), test
+
+
+@query("l2_naive_bayes", COUNTS_CV + """,
+best AS (SELECT arg_max(a, (round(m, 12), -a)) AS a FROM (SELECT a, avg(accuracy) AS m FROM acc GROUP BY 1)),
+tl AS (SELECT 'travel_type' AS c, travel_type AS v, sum(retained) AS p, sum(1 - retained) AS n FROM f GROUP BY 2
+       UNION ALL SELECT 'month', month, sum(retained), sum(1 - retained) FROM f GROUP BY 2),
+to_ AS (SELECT c, v, ln((p + a) / (sum(p) OVER w + a * count(*) OVER w)) - ln((n + a) / (sum(n) OVER w + a * count(*) OVER w)) AS o
+       FROM tl, best WINDOW w AS (PARTITION BY c))
+SELECT orderkey, round(1 / (1 + exp(-((SELECT ln(sum(retained) / sum(1 - retained)) FROM f) + coalesce(x.o, 0) + coalesce(y.o, 0)))), 7) AS pred
+FROM trips LEFT JOIN to_ x ON x.c = 'travel_type' AND x.v = travel_type
+LEFT JOIN to_ y ON y.c = 'month' AND y.v = CAST(month(departure_date) AS VARCHAR) WHERE orderkey % 4 = 0""")
 def _(spark, sf):
-    train, _ = prepared(spark, sf)
-    return models.search("nb", train, "retained", "orderkey", models.grid(laplace=[0.0, 0.5, 1.0])).report(spark)
+    """The smoothing of the best cross-validated accuracy, then scores of new trips."""
+    best, _, test = searched_counts(spark, sf)
+    return rounded(best.score(test, "orderkey"), pred=7)
+
+
+@query("l14_search_report", COUNTS_CV + "SELECT CAST(a AS DOUBLE) AS laplace, round(avg(accuracy), 9) AS mean, round(stddev_pop(accuracy), 9) AS sd FROM acc GROUP BY 1")
+def _(spark, sf):
+    """Mean and deviation over the folds, one row per smoothing."""
+    _, scores, _ = searched_counts(spark, sf)
+    out = scores.groupBy("laplace").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("sd"))
+    return rounded(out, mean=9, sd=9)
 
 
 def f1_sql(part):
@@ -218,35 +253,119 @@ def _(spark, sf):
     return explain.partial_dependence(test, lambda d: model.score(pipeline.transform(d)), "price", grid)
 
 
-@query("d5_score_new_trips")
+D5_JOINED = """joined AS (SELECT t.orderkey, t.custkey, t.price, t.travel_type, t.retained, coalesce(nation, 'NA') AS nation,
+   CASE WHEN t.orderkey % 7 <> 0 THEN revenue END AS revenue, coalesce(special_pay, 'other') AS special_pay, coalesce(n_messages, 0) AS n_messages
+  FROM trips t LEFT JOIN crm USING (custkey) LEFT JOIN finance USING (orderkey)
+  LEFT JOIN (SELECT customer_id AS custkey, count(*) AS n_messages FROM messages GROUP BY 1) USING (custkey)),
+tr0 AS (SELECT * FROM joined WHERE orderkey % 4 <> 0),
+gone AS (SELECT abs(corr(price, revenue)) > 0.8 AS revenue FROM tr0 WHERE revenue IS NOT NULL),
+sizes AS (SELECT nation, count(*) AS n FROM tr0 GROUP BY 1),
+lump AS (SELECT nation AS level, CASE WHEN n < round((SELECT sum(n) FROM sizes) * 0.035) THEN 'other' ELSE nation END AS grp FROM sizes),
+full_ AS (SELECT orderkey, retained, travel_type, special_pay, coalesce(grp, 'other') AS nation, price, CAST(n_messages AS DOUBLE) AS n_messages,
+   coalesce(revenue, (SELECT avg(revenue) FROM tr0)) AS revenue FROM joined LEFT JOIN lump ON level = nation),
+tr AS (SELECT * FROM full_ WHERE orderkey % 4 <> 0)"""
+D5_SQL = with_ctes(TRIPS, CRM, FINANCE, MESSAGES, D5_JOINED) + """,
+lv AS (SELECT c, v, sum(retained) AS p, sum(1 - retained) AS n FROM (
+        SELECT 'travel_type' AS c, travel_type AS v, retained FROM tr UNION ALL SELECT 'nation', nation, retained FROM tr
+        UNION ALL SELECT 'special_pay', special_pay, retained FROM tr) GROUP BY 1, 2),
+od AS (SELECT c, v, ln((p + 1) / (sum(p) OVER w + count(*) OVER w)) - ln((n + 1) / (sum(n) OVER w + count(*) OVER w)) AS o
+       FROM lv WINDOW w AS (PARTITION BY c)),
+nums AS (SELECT orderkey, retained, 'price' AS c, price AS x FROM full_ UNION ALL SELECT orderkey, retained, 'n_messages', n_messages FROM full_
+         UNION ALL SELECT orderkey, retained, 'revenue', revenue FROM full_ WHERE NOT (SELECT revenue FROM gone)),
+st AS (SELECT c, avg(x) FILTER (retained = 1) AS mp, stddev_samp(x) FILTER (retained = 1) AS sp, avg(x) FILTER (retained = 0) AS mn,
+              stddev_samp(x) FILTER (retained = 0) AS sn FROM nums WHERE orderkey % 4 <> 0 GROUP BY 1),
+dens AS (SELECT orderkey, sum(-ln(sp) - ((x - mp) / sp) ** 2 / 2 + ln(sn) + ((x - mn) / sn) ** 2 / 2) AS d FROM nums JOIN st USING (c) GROUP BY 1)
+SELECT orderkey, round(p, 6) AS pred, CASE WHEN p >= 0.75 THEN 'yes' ELSE 'no' END AS pred_class FROM (
+  SELECT f.orderkey, 1 / (1 + exp(-((SELECT ln(sum(retained) / sum(1 - retained)) FROM tr) + coalesce(a.o, 0) + coalesce(b.o, 0) + coalesce(e.o, 0) + d))) AS p
+  FROM full_ f JOIN dens USING (orderkey) LEFT JOIN od a ON a.c = 'travel_type' AND a.v = f.travel_type
+  LEFT JOIN od b ON b.c = 'nation' AND b.v = f.nation LEFT JOIN od e ON e.c = 'special_pay' AND e.v = f.special_pay WHERE f.orderkey % 4 = 0)"""
+
+
+def trips_with_everything(spark, sf):
+    """Trips with customer, finance and message facts, joined on their keys."""
+    revenue = F.when(F.col("orderkey") % 7 != 0, F.col("revenue"))
+    messages = roles.messages(spark, sf).groupBy(F.col("customer_id").alias("custkey")).agg(F.count(F.lit(1)).alias("n_messages"))
+    return (roles.trips(spark, sf).select("orderkey", "custkey", "price", "travel_type", "retained")
+            .join(roles.crm(spark, sf).select("custkey", "nation"), "custkey", "left")
+            .join(roles.finance(spark, sf).select("orderkey", revenue.alias("revenue"), "special_pay"), "orderkey", "left")
+            .join(messages, "custkey", "left").fillna("other", subset=["special_pay"])
+            .withColumn("n_messages", F.coalesce("n_messages", F.lit(0)).cast("double")).withColumn("country", F.lit("US")))
+
+
+def d5_parts(spark, sf):
+    """Everything learned on the training trips, stored and loaded again; and the new trips."""
+    joined = checkpoint(trips_with_everything(spark, sf))
+    train, unseen = joined.filter("orderkey % 4 <> 0"), joined.filter("orderkey % 4 = 0")
+    numbers = ["n_messages", "price", "revenue"]
+    flat = profile.near_zero_variance(train, ["country"])  # a constant column goes
+    related = [r["var2"] for r in profile.correlated_pairs(train, numbers).select("var2").collect()]  # column names only
+    numbers = [c for c in numbers if c not in related]
+    train, unseen = (profile.drop_near_zero_variance(d, flat) for d in (train, unseen))
+
+    def kept(fitted, name, threshold=None):
+        path = shared_folder(spark, f"d5-{name}")
+        stored.save(spark, fitted, path, threshold)
+        return stored.load(spark, path)
+
+    groups, _ = kept(levels.lump_rare_levels(train, "nation", 0.035), "groups")
+    imputer, _ = kept(prep.PcaImputer(numbers, rank=0).fit(train, "orderkey"), "imputer")
+
+    def ready(df):
+        return imputer.transform(levels.apply_groups(df, "nation", groups))
+
+    train = checkpoint(ready(train))
+    return numbers, train, prep.scale(ready(unseen), train, numbers, center=True, ddof=1), kept
+
+
+@query("d5_score_new_trips", D5_SQL)
 def _(spark, sf):
-    """Train, save with threshold, load, score trips the model never saw."""
-    train, unseen = (with_month(d) for d in split_trips(spark, sf))
-    pipeline = prep.feature_pipeline(TEXT, NUMBERS).fit(train)
+    """Join, drop columns, group levels, impute, scale, fit, store, load, score unseen trips, write and read them."""
+    numbers, train, unseen, kept = d5_parts(spark, sf)
+    model = models.CountNaiveBayes(["travel_type", "nation", "special_pay"], numbers, "retained").fit(
+        prep.scale(train, train, numbers, center=True, ddof=1))
+    loaded, threshold = kept(model, "model", 0.75)
+    scored = loaded.score(unseen, "orderkey")
+    path = shared_folder(spark, "d5-scored")
+    tables.write_table(scored.withColumn("pred_class", evaluate.classify(F.col("pred"), threshold)), path)
+    return rounded(spark.read.parquet(path), pred=6)
+
+
+@query("d5_score_new_trips_linear")
+def _(spark, sf):
+    """The same path with a linear model, whose threshold is best for training F1."""
+    numbers, train, unseen, kept = d5_parts(spark, sf)
+    text = ("travel_type", "nation", "special_pay")
+    pipeline, _ = kept(prep.feature_pipeline(text, numbers).fit(train), "pipeline")
     model = models.fit("glm", pipeline.transform(train), "retained")
     cut, _ = evaluate.max_f1(evaluate.score_counts(model.score(pipeline.transform(train)), "retained", "pred"))
-    path = shared_folder(spark, "model")
-    stored.save_model(spark, PipelineModel(stages=[*pipeline.stages, model.model]), cut, path)
-    loaded, threshold = stored.load_model(spark, path)
-    scored = models.with_score(loaded.transform(unseen))
-    return scored.select("orderkey", evaluate.classify(F.col("pred"), threshold).alias("pred_class"))
+    loaded, threshold = kept(model, "glm", cut)
+    return loaded.score(pipeline.transform(unseen)).select("orderkey", evaluate.classify(F.col("pred"), threshold).alias("pred_class"))
+
+
+S7_SQL = with_ctes(TRIPS) + """,
+tr AS (SELECT *, CAST(month(departure_date) AS VARCHAR) AS month FROM trips WHERE orderkey % 4 <> 0),
+lv AS (SELECT 'travel_type' AS c, travel_type AS v, sum(retained) AS p, sum(1 - retained) AS n FROM tr GROUP BY 2
+       UNION ALL SELECT 'month', month, sum(retained), sum(1 - retained) FROM tr GROUP BY 2),
+od AS (SELECT c, v, ln((p + 1) / (sum(p) OVER w + count(*) OVER w)) - ln((n + 1) / (sum(n) OVER w + count(*) OVER w)) AS o
+       FROM lv WINDOW w AS (PARTITION BY c)),
+z AS (SELECT orderkey, retained, (SELECT ln(sum(retained) / sum(1 - retained)) FROM tr) + coalesce(a.o, 0) AS plain, coalesce(b.o, 0) AS more
+      FROM trips LEFT JOIN od a ON a.c = 'travel_type' AND a.v = travel_type
+      LEFT JOIN od b ON b.c = 'month' AND b.v = CAST(month(departure_date) AS VARCHAR) WHERE orderkey % 4 = 0)
+SELECT orderkey, retained, round(1 / (1 + exp(-plain - more)), 7) AS pred, round(1 / (1 + exp(-plain)), 7) AS pred_plain,
+       CASE WHEN 1 / (1 + exp(-plain - more)) >= 0.75 THEN 'yes' ELSE 'no' END AS pred_class,
+       CASE WHEN 1 / (1 + exp(-plain)) >= 0.8 THEN 'yes' ELSE 'no' END AS pred_class_plain FROM z"""
 
 
-@query("s7_two_stored_models")
+@query("s7_two_stored_models", S7_SQL)
 def _(spark, sf):
-    """A model with and one without the month, stored, loaded and scored side by side."""
+    """A model with and one without the month, stored with thresholds, loaded and scored side by side."""
     train, unseen = (with_month(d) for d in split_trips(spark, sf))
-    loaded = {}
-    for name, text in (("", TEXT), ("_plain", TEXT[:1])):
-        pipeline = prep.feature_pipeline(text, NUMBERS).fit(train)
-        model = models.fit("glm", pipeline.transform(train), "retained")
+    out = unseen.select("orderkey", "retained")
+    for name, text, cut in (("", TEXT, 0.75), ("_plain", TEXT[:1], 0.8)):
         path = shared_folder(spark, "stored-model")
-        stored.save_model(spark, PipelineModel(stages=[*pipeline.stages, model.model]), 0.75, path)
-        loaded[name] = stored.load_model(spark, path)
-    out = unseen
-    for name, (model, cut) in loaded.items():
-        score = f"pred{name}"
-        out = models.with_score(model.transform(out), score).withColumn(
-            f"pred_class{name}", evaluate.classify(F.col(score), cut)).drop(
-            *[c for c in model.transform(unseen).columns if c not in unseen.columns])
-    return out.select("orderkey", "retained", "pred", "pred_class", "pred_plain", "pred_class_plain")
+        stored.save(spark, models.CountNaiveBayes(text, [], "retained").fit(train), path, cut)
+        model, threshold = stored.load(spark, path)
+        pred = model.score(unseen, "orderkey").select(
+            "orderkey", F.col("pred").alias(f"pred{name}"), evaluate.classify(F.col("pred"), threshold).alias(f"pred_class{name}"))
+        out = out.join(pred, "orderkey")
+    return rounded(out, pred=7, pred_plain=7)

@@ -55,6 +55,23 @@ def _(spark, sf):
     return evaluate.confusion(both, "old", "new")
 
 
+GAPS = """gappy AS (SELECT CASE WHEN orderkey % 5 <> 0 THEN retained END AS retained, CASE WHEN orderkey % 7 <> 0 AND orderkey % 11 <> 0 THEN pred END AS pred FROM scored),
+kept AS (SELECT * FROM gappy WHERE retained IS NOT NULL AND pred IS NOT NULL)"""
+
+
+@query("v5_auc_with_gaps", with_ctes(SCORED, GAPS) + """,
+n AS (SELECT pred, count(*) AS n, sum(retained) AS pos FROM kept GROUP BY 1),
+r AS (SELECT pos, n - pos AS neg, coalesce(sum(n - pos) OVER (ORDER BY pred ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM n)
+SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) AS auc FROM r""")
+def _(spark, sf):
+    """Rows without a label, without a score, or with NaN as score count nowhere."""
+    key = F.col("orderkey")
+    gappy = roles.scored(spark, sf).withColumns({
+        "retained": F.when(key % 5 != 0, F.col("retained")),
+        "pred": F.when(key % 11 == 0, F.lit(float("nan"))).when(key % 7 != 0, F.col("pred"))})
+    return rounded(evaluate.auc(gappy, "retained", "pred"), auc=9)
+
+
 @query("v3_class_report", with_ctes(SCORED) + f""", c AS ({cells_sql()})
 SELECT 'yes' AS class, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1,
        tp + fn AS support, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM c

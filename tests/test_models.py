@@ -204,3 +204,50 @@ def test_lda_separates_vocabularies(spark):
     got = topics.lda(counts, "doc", k=2, max_iter=30, n_terms=5).collect()
     by_topic = {t: {r.term[0] for r in got if r.topic == t} for t in (0, 1)}
     assert sorted(map(sorted, by_topic.values())) == [["x"], ["y"]]
+
+
+def _same_scores(spark, model, df, path, key=None):
+    from churnlake.sources import models as stored
+
+    stored.save(spark, model, path, 0.6)
+    loaded, threshold = stored.load(spark, path)
+    assert threshold == 0.6
+
+    def scores(m):
+        out = m.score(df, key) if key else m.score(df)
+        return sorted((r["k"], r["pred"]) for r in out.select("k", "pred").collect())
+
+    assert scores(model) == scores(loaded)
+
+
+def test_every_fitted_thing_survives_storage(spark, tmp_path):
+    import numpy as np
+
+    from churnlake.operators import models, prep
+    from churnlake.sources import models as stored
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), "xyz"[i % 3], int(a + rng.normal() > 0)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, t string, y int")
+    ready = prep.feature_pipeline(["t"], ["a", "b"]).fit(df).transform(df).cache()
+    for family, params in (("glm", {}), ("svm", {"dim": 20, "max_iter": 5}), ("ada", {"trees": 2, "depth": 3}), ("dt", {"depth": 2})):
+        _same_scores(spark, models.fit(family, ready, "y", params), ready, f"{tmp_path}/{family}")
+    stack = models.stack([("glm", {}), ("dt", {"depth": 2})], ready, "y", "k")
+    _same_scores(spark, stack, ready, f"{tmp_path}/stack")
+    for text, numbers in ((["t"], ["a"]), (["t"], []), ([], ["a"])):
+        _same_scores(spark, models.CountNaiveBayes(text, numbers, "y").fit(df), df, f"{tmp_path}/nb{len(text)}{len(numbers)}", "k")
+    holes = df.withColumn("a", F.when(F.col("k") % 5 > 0, F.col("a")))
+    imputer = prep.PcaImputer(["a", "b"], rank=1).fit(holes, "k")
+    stored.save(spark, imputer, f"{tmp_path}/imputer")
+    again, _ = stored.load(spark, f"{tmp_path}/imputer")
+    assert sorted(imputer.transform(holes).collect()) == sorted(again.transform(holes).collect())
+
+
+def test_random_params_are_as_many_as_asked_for():
+    import pytest
+
+    from churnlake.operators import models
+
+    assert len({repr(p) for p in models.random_params(6, 1, a=[1, 2], b=[1, 2, 3])}) == 6
+    with pytest.raises(ValueError):
+        models.random_params(7, 1, a=[1, 2], b=[1, 2, 3])

@@ -181,3 +181,89 @@ def test_level_profile_counts_once(spark):
     df.collect()
     final = plan_of(df).split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
+def test_split_of_many_classes_and_missing_labels(spark):
+    from churnlake.operators import prep
+
+    rows = [(i, f"c{i % 1500}") for i in range(6000)] + [(6000 + i, None) for i in range(8)] + [(7000 + i, "") for i in range(4)]
+    out = prep.stratified_split(spark.createDataFrame(rows, "k long, y string"), "y", "k", 0.75, bucket_rows=500)
+    got = {r["y"]: r["n"] for r in out.filter("is_train").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert got[None] == 6 and got[""] == 3 and all(got[f"c{i}"] == 3 for i in range(1500))
+
+
+def test_correlation_with_a_constant_is_null(spark):
+    from churnlake.operators import profile
+
+    df = spark.createDataFrame([(float(i), 2.0 * i, 5.0) for i in range(20)], "a double, b double, c double")
+    got = {(r["var1"], r["var2"]): r["value"] for r in profile.correlation(df, ["a", "b", "c"]).collect()}
+    assert abs(got["a", "b"] - 1) < 1e-12 and got["a", "c"] is None and got["b", "c"] is None
+
+
+def test_group_letters(spark):
+    from churnlake.operators.levels import group_letters
+
+    got = [r[0] for r in spark.range(800).select(group_letters(F.col("id"))).collect()]
+    assert got[0] == "A" and got[25] == "Z" and got[26] == "AA" and got[701] == "ZZ" and got[702] == "AAA" and len(set(got)) == 800
+
+
+def test_missing_labels_and_nan_scores_count_nowhere(spark):
+    from churnlake.operators import evaluate
+
+    rows = [(1, 0.9), (0, 0.8), (None, 0.7), (0, 0.1), (1, float("nan")), (1, None)]
+    assert evaluate.auc(spark.createDataFrame(rows, "y int, s double"), "y", "s").first()[0] == 1.0
+
+
+def test_ranges_hold_when_nearly_all_values_are_equal(spark):
+    from churnlake.operators import ranking
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 100 > 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    counts = df.groupBy("v").count()
+    cuts = ranking.value_ranges(counts, "v", 8)
+    most = ranking.add_range(counts, "v", cuts).groupBy("_range").count().agg(F.max("count")).first()[0]
+    assert most <= 60
+    run = ranking.running_totals(df, "v", {"n": F.lit(1)}, descending=False).orderBy(F.desc("v")).first()
+    assert run["cum_n"] == 20_000
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    import pytest
+
+    from churnlake import session
+
+    class Bare:
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_base(Bare)
+
+
+def test_hot_term_of_an_aggregate_join_is_split(spark):
+    from churnlake.operators import texts
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        counts = spark.range(200_000, numPartitions=16).select(
+            F.col("id").alias("doc"), F.when(F.col("id") % 2 == 0, "the").otherwise(F.concat(F.lit("w"), F.col("id") % 5000)).alias("term"),
+            F.lit(1).alias("tf"))
+        out = texts.tfidf(counts, "doc", F.lit(200_000), norm=False)
+        out.write.format("noop").mode("overwrite").save()
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
