@@ -50,9 +50,9 @@ def clean_words(col: Column, order: str = "brackets_first") -> Column:
     return F.replace(out, F.lit("\n"), F.lit(" "))
 
 
-def stop_words(language: str = "english") -> list[str]:
-    """Spark's stop words, their forms without apostrophe, and a few of our own."""
-    words = StopWordsRemover.loadDefaultStopWords(language)
+def stop_words(language: str = "english", more: Sequence[str] = ()) -> list[str]:
+    """Spark's stop words joined with a second list, all forms without apostrophe, and a few of our own."""
+    words = [*StopWordsRemover.loadDefaultStopWords(language), *more]
     return sorted({*words, *(w.replace("'", "") for w in words), *EXTRA_STOP_WORDS})
 
 
