@@ -83,6 +83,17 @@ def _(spark, sf):
     return model.transform(finance)
 
 
+@query("m2_mean_imputation", with_ctes(FINANCE) + """,
+g AS (SELECT orderkey, CASE WHEN orderkey % 7 <> 0 THEN revenue END AS revenue, CASE WHEN orderkey % 11 <> 0 THEN pax END AS pax FROM finance),
+tr AS (SELECT * FROM g WHERE orderkey % 4 <> 0)
+SELECT orderkey, round(coalesce(revenue, (SELECT avg(revenue) FROM tr)), 6) AS revenue, round(coalesce(pax, (SELECT avg(pax) FROM tr)), 6) AS pax FROM g""")
+def _(spark, sf):
+    """Without components the gaps take the training means."""
+    finance = gappy_finance(spark, sf).select("orderkey", "revenue", "pax")
+    model = prep.PcaImputer(["revenue", "pax"], rank=0).fit(finance.filter("orderkey % 4 <> 0"), "orderkey")
+    return rounded(model.transform(finance), revenue=6, pax=6)
+
+
 @query("m3_text_gaps_to_other", with_ctes(FINANCE) + """
 SELECT id_finance, coalesce(special_pay, 'other') AS special_pay FROM finance""")
 def _(spark, sf):
