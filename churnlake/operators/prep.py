@@ -129,9 +129,9 @@ def _impute(z: np.ndarray, loadings: np.ndarray, ridge: float) -> np.ndarray:
 class PcaImputer:
     """Fill numeric gaps from the leading principal components of all columns.
 
-    Each round reads the numbers once; tasks send back only sums of products,
-    and the eigenvectors of that columns-by-columns matrix are found on the
-    driver.
+    The rows are read once for the sums of products of each pattern of gaps. The
+    rounds then work on these sums, one row per pattern; only a columns-by-columns
+    matrix comes to the driver, which finds its eigenvectors.
     """
 
     def __init__(self, cols: Sequence[str], rank: int | None = None, max_rank: int = 5, max_iter: int = 300,
@@ -148,16 +148,14 @@ class PcaImputer:
         mean = np.array([0.0 if v is None else float(v) for v in row[0::2]])
         sd = np.array([v or 1.0 for v in row[1::2]], dtype=float)
         rank = self._choose_rank(cells, mean, sd) if self.rank is None else self.rank
-        loadings = np.zeros((k, 0))
-        if rank:
-            loadings = self._fitted(cells, mean, sd, rank)
+        loadings = self._fitted(self._moments(cells, mean, sd), rank) if rank else np.zeros((k, 0))
         return PcaImputerModel(cols, mean, sd, loadings, self.ridge)
 
-    def _fitted(self, cells: DataFrame, mean, sd, rank: int, hide: bool = False) -> np.ndarray:
+    def _fitted(self, moments: DataFrame, rank: int) -> np.ndarray:
         """Loadings that no longer move when the gaps are filled from them."""
         loadings = np.zeros((len(self.cols), 0))
         for _ in range(self.max_iter + 1):
-            new = self._leading(self._products(cells, mean, sd, loadings, hide), rank)
+            new = self._leading(self._products(moments, loadings), rank)
             moved = np.inf if not loadings.shape[1] else np.linalg.norm(new @ new.T - loadings @ loadings.T)
             loadings = new
             if moved < self.tol:
@@ -174,21 +172,41 @@ class PcaImputer:
         mixed = h.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(k, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         return (mixed >> np.uint64(40)) % np.uint64(20) == 0
 
-    def _products(self, cells: DataFrame, mean, sd, loadings, hide: bool = False) -> np.ndarray:
-        """Sum of outer products of the imputed standardised rows."""
-        cols, k, ridge, held_out = self.cols, len(self.cols), self.ridge, self._held_out
+    def _moments(self, cells: DataFrame, mean, sd, hide: bool = False) -> DataFrame:
+        """``(gaps, products)``: sums of outer products of the standardised rows, by pattern of gaps (counted as 0)."""
+        cols, k, held_out = self.cols, len(self.cols), self._held_out
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((k, k))
             for batch in batches:
                 z = (batch[cols].to_numpy(dtype=float) - mean) / sd
                 if hide:
                     z[held_out(batch["_h"].to_numpy(), k)] = np.nan
-                z = _impute(z, loadings, ridge)
-                total += z.T @ z
+                patterns, where = np.unique(np.isnan(z), axis=0, return_inverse=True)
+                z = np.where(np.isnan(z), 0.0, z)
+                sums = [(z[rows].T @ z[rows]).ravel() for rows in (where.ravel() == i for i in range(len(patterns)))]
+                yield pd.DataFrame({
+                    "gaps": np.repeat(["".join("01"[int(g)] for g in p) for p in patterns], k * k),
+                    "cell": np.tile(np.arange(k * k), len(patterns)), "value": np.concatenate(sums) if sums else np.zeros(0)})
+
+        sums = cells.mapInPandas(partial, "gaps string, cell int, value double").groupBy("gaps", "cell").agg(F.sum("value").alias("value"))
+        return checkpoint(sums.groupBy("gaps").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda x: x["value"]).alias("products")))
+
+    def _products(self, moments: DataFrame, loadings: np.ndarray) -> np.ndarray:
+        """Sum of outer products of the rows with their gaps filled from the loadings."""
+        k, ridge = len(self.cols), self.ridge
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((k, k))
+            for batch in batches:
+                for gaps, products in zip(batch["gaps"], batch["products"]):
+                    gap = np.array([g == "1" for g in gaps])
+                    # A filled row is linear in what is seen of it, and that is what _impute gives for unit rows.
+                    fill = _impute(np.where(gap[None, :], np.nan, np.eye(k)), loadings, ridge)
+                    total += fill.T @ np.asarray(products).reshape(k, k) @ fill
             yield pd.DataFrame({"cell": np.arange(k * k), "value": total.ravel()})
 
-        sums = cells.mapInPandas(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        sums = moments.mapInPandas(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
         flat = np.zeros(k * k)
         for cell, value in sums.collect():  # columns x columns numbers
             flat[cell] = value
@@ -198,7 +216,8 @@ class PcaImputer:
         """The rank with the smallest error on held-out cells; 0 means column means."""
         cols, k, ridge, held_out = self.cols, len(self.cols), self.ridge, self._held_out
         top = min(self.max_rank, k - 1)
-        fitted = [np.zeros((k, 0)), *(self._fitted(cells, mean, sd, r, True) for r in range(1, top + 1))]
+        moments = self._moments(cells, mean, sd, True)
+        fitted = [np.zeros((k, 0)), *(self._fitted(moments, r) for r in range(1, top + 1))]
 
         def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(top + 1)
