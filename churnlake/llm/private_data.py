@@ -213,6 +213,7 @@ class Region:
 # --- fitting ------------------------------------------------------------------------------------
 
 SAMPLE = 400        # windows of the corpus that the field is fitted on
+DOCUMENTS = 200     # documents looked at for each window
 EPOCHS = 12
 CONTEXT = 40
 L2 = 1e-3
@@ -296,8 +297,14 @@ def fit(windows: list[str]) -> np.ndarray | None:
 
 
 def model(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
-    """Fit on ``sample`` windows of the corpus, the first in the order of their hashes."""
-    found = docs.filter(F.col("text").rlike("[0-9@]")).select(F.explode(arrow_udf(_windows, "array<string>")("text")).alias("w"))
+    """Fit on ``sample`` windows of the corpus, the first in the order of their hashes.
+
+    Only ``DOCUMENTS`` times as many documents, chosen by hash, are asked for windows, so that what
+    the tasks send does not grow with the corpus.
+    """
+    share = int(1_000_000 * min(1.0, DOCUMENTS * sample / max(1, docs.count())))
+    some = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < share)
+    found = some.filter(F.col("text").rlike("[0-9@]")).select(F.explode(arrow_udf(_windows, "array<string>")("text")).alias("w"))
     rows = found.orderBy(F.xxhash64("w"), "w").limit(sample).collect()  # bounded by the parameter
     return fit([r["w"] for r in rows])
 
