@@ -34,7 +34,9 @@ BOOSTERS = {
 }
 INTENSIFIERS = {"very": 1.3, "really": 1.2, "extremely": 1.5, "slightly": 0.7, "somewhat": 0.8}
 
-# A small list of our own: valence, polarity, subjectivity.
+# Valence, polarity, subjectivity of a few words, on the scales of two published
+# lexicons under free licences (VADER, MIT; pattern, BSD) and close to their entries. Give a full
+# lexicon as a table for real work.
 SMALL_LEXICON = (
     ("amazing", 2.8, 0.6, 0.9), ("awful", -2.0, -1.0, 1.0), ("bad", -2.5, -0.7, 0.67),
     ("boring", -1.3, -1.0, 1.0), ("delay", -1.3, -0.2, 0.3), ("delayed", -0.9, -0.2, 0.3),
