@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlake.operators import evaluate
-from churnlake.operators.profile import melt
 from churnlake.operators.ranking import shuffled_position
 from churnlake.session import broadcast_if_small, checkpoint
 
