@@ -131,3 +131,36 @@ def test_hot_source_reaches_its_target(spark):
     assert all(r["target"] <= 3 * r["size"] * (1 + 1e-12) for r in per)
     assert all(abs(r["taken"] - r["target"]) < 0.25 * r["target"] for r in per)
     assert "ArrowEvalPython" not in mixing.mixed(docs)._jdf.queryExecution().toString()
+
+
+def test_neighbours_of_the_whole_table_share_a_shard(spark):
+    """Documents of a subject come to one shard at two sizes, and the counts are those of all documents."""
+    ready(spark)
+    for subjects in (8, 32):
+        rows = []
+        for i in range(40 * subjects):
+            r = random.Random(i)
+            own = [f"{WORDS[i % subjects]}{w}" for w in WORDS]
+            rows.append((i, " ".join(r.choice(own if r.random() < 0.4 else WORDS) for _ in range(120))))
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        dealt, counts = packing.sharded(docs, shard=80)
+        shard = {r["doc_id"]: r["shard"] for r in dealt.select("doc_id", "shard").collect()}
+        assert counts.documents == len(rows) == len(shard)
+        assert (counts.df > 0.8 * len(rows)).sum() >= 10  # more than a shard holds
+        same = [shard[i] == shard[j] for i in range(len(rows)) for j in range(i % subjects, len(rows), subjects) if i != j]
+        assert sum(same) > 0.8 * len(same)
+
+
+def test_all_words_of_a_seed_are_scored():
+    import numpy as np
+
+    starts = packing._word_starts(packing.VOCABULARY)
+    texts = [prose(1, 400), *(prose(k, 400) for k in range(2, 30))]
+    docs = [packing.encode(" ".join(f"{w}{k % 7}" for k, w in enumerate(t.split()))) for t in texts]
+    doc, word, tf, size = packing._terms(np.concatenate(docs), np.array([len(d) for d in docs]), starts)
+    words, df = np.unique(word, return_counts=True)
+    counts = packing.Counts(1000, 300.0, words, df * 3)
+    weight = {(d, w): x for d, w, x in zip(doc, word, counts.weights(counts.of(word, 1), tf, size[doc]))}
+    want = [sum(weight.get((d, w), 0) for o, w in weight if o == 0) for d in range(len(docs))]
+    got = packing._scores(packing._index(docs, starts, counts), 0, len(docs))
+    assert len([1 for o, _ in weight if o == 0]) > 64 and np.allclose(got[1:], want[1:], rtol=1e-4)
