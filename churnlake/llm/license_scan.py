@@ -149,27 +149,38 @@ MATCH_DDL = "array<struct<license:string,coverage:double,start:bigint,end:bigint
 def _scan_part(part: scan.Part, index: Index, coverage: float) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(part))]
     starts, ends, owner, hashed = _text_words(part)
-    hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    hits: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
     at, prints = scan.windows(hashed, owner, RUN)
     if not len(at) or not len(index.keys):
         return out
     for k in np.flatnonzero(np.isin(prints, index.keys)):
         for t, place in index.postings[int(prints[k])]:
-            hits[int(owner[at[k]])].add((t, int(at[k]) - place))
+            hits[int(owner[at[k]])].add((t, int(at[k]), int(at[k]) - place))
     for d, found in hits.items():
         lo = int(np.searchsorted(owner, d))
         hi = int(np.searchsorted(owner, d, "right"))
         text = hashed[lo:hi].tolist()
         matches = []
-        last: dict[int, int] = {}
-        for t, diagonal in sorted(found):
-            if t in last and diagonal - last[t] <= BAND:
+        current = -1
+        for t, place, diagonal in sorted(found):
+            if t != current:
+                # Alignments of this template that reach the place, and the text without those that matched.
+                current, seen, rest = t, [], text
+            place, diagonal = place - lo, diagonal - lo
+            seen = [x for x in seen if x[1] > place]
+            if any(first <= place and abs(diagonal - other) <= BAND for first, _, other in seen):
                 continue  # the same alignment, shifted within the band
             template = index.words[t]
-            m, first, end = aligned(template, text, diagonal - lo)
-            last[t] = diagonal
-            if m >= coverage * len(template):
-                matches.append((-m, first, index.names[t], end, m / len(template)))
+            tried = [aligned(template, text, diagonal)]
+            if rest is not text and not tried[0][1] <= place < tried[0][2]:
+                tried.append(aligned(template, rest, diagonal))  # the best of the band was an earlier match
+            for m, first, end in tried:
+                seen.append((first, end, diagonal))
+                if m >= coverage * len(template):
+                    matches.append((-m, first, index.names[t], end, m / len(template)))
+                    if rest is text:
+                        rest = list(text)
+                    rest[first:end] = [None] * (end - first)
         taken: list[tuple[int, int]] = []
         base = int(part.bounds[d])
         for m, first, name, end, share in sorted(matches):

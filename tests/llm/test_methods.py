@@ -108,3 +108,12 @@ def test_scan_finds_the_words_and_lines(texts):
                 for s, e, o in zip(*find(part)):
                     out[part.first + o].append(part.data[s:e].tobytes().decode())
         assert words == [WORD.findall(t) for t in texts] and lines == [t.split("\n") for t in texts]
+
+
+def test_notices_close_to_each_other_are_all_found():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for text, name, n in (("All rights reserved. " * 10, "all-rights-reserved", 10), ("Released under the MIT License. " * 3, "mit-notice", 3),
+                          ("All rights reserved. Photos by B. All rights reserved.", "all-rights-reserved", 2)):
+        found = license_scan._scan_part(next(scan.parts(pa.array([text]))), index, 0.7)[0]
+        assert [(m["license"], m["coverage"]) for m in found] == [(name, 1)] * n
+        assert len({text[m["start"]:m["end"]] for m in found}) == 1
