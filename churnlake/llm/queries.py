@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlake.llm import compression_language, license_scan, line_frequency, main_text, mixing, near_copies, packing, private_data, quartile_digest, toxic_terms
+from churnlake.llm import (
+    compression_language, fill_in_middle, license_scan, line_frequency, main_text, mixing, near_copies, packing, prefix_trie,
+    private_data, quartile_digest, repeated_phrases, toxic_terms)
 from churnlake.llm.registry import query, table
 
 
@@ -110,3 +112,55 @@ def op9(spark, sf):
 def op10(spark, sf):
     """Digest of every text and of its edited text, and their likeness."""
     return quartile_digest.edited_pairs(table(spark, sf, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark, sf):
+    """Every text cut at two line ranks and put together for filling in."""
+    cut = fill_in_middle.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_in_middle.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+@query("op12_repeated_phrases")
+def op12(spark, sf):
+    """Words of every text outside passages of 35 words that stand in another place too."""
+    clean = repeated_phrases.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY i) AS l FROM t GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 9 AS h FROM c),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.l, [])[1:a.h], a.l[a.h + 1:]) AS l FROM h a LEFT JOIN c b ON b.conv_id = a.conv_id - a.conv_id % 5),
+m AS (SELECT l[1:d] AS p, d, conv_id, len(l) AS n FROM r, unnest(range(0, len(l) + 1)) AS u(d)),
+g AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM m GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+f AS (SELECT g.*, coalesce(k.n_children, 0) AS n_children FROM g LEFT JOIN k ON g.p = k.p),
+a AS (SELECT p[1:e] AS q, CAST(sum(CASE WHEN d > 0 THEN (n_convs - 1) * strlen(p[d].x) ELSE 0 END) AS BIGINT) AS saved_tokens,
+  count(*) FILTER (n_children = 0) AS n_leaves FROM f, unnest(range(0, d + 1)) AS u(e) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, o.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves, a.saved_tokens, f.ends AS ends_sha256
+FROM f JOIN a ON f.p = a.q LEFT JOIN g o ON f.d > 0 AND o.p = f.p[1:f.d - 1]
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark, sf):
+    """Nodes of the trie over the turns of all conversations with borrowed beginnings."""
+    return prefix_trie.trie(prefix_trie.with_borrowed_beginnings(prefix_trie.named_turns(table(spark, sf, "conversations"))))
