@@ -14,8 +14,8 @@ Windows in a row with the same anchor form a segment of less than two windows.
 
 Shards are bounded. An anchor with very many distinct segments (a frequent phrase in ever new
 surroundings) does not fill one: its windows are dealt one by one, equal ones counted before they are
-sent. Hashes are shuffled, and of texts only what distinct segments hold; a text is moved whole only
-where a join with the found places is too large for a broadcast.
+sent. Hashes are shuffled, and of texts what distinct segments hold; whole texts move twice, to the numbers of
+the segments that they send and to the places found in them, and so at every size of the table.
 
 Null and empty texts have no words. Repeated rows are places like any other: equal texts lose all words
 that windows cover, in all rows. Extra columns pass through unless they bear the name of a result, which
@@ -233,7 +233,7 @@ def repeated_places(docs: DataFrame, text: str = "text", window: int = WINDOW, s
     code = F.col("of.ord") * 4 + F.coalesce("hot", F.lit(0)) + (F.col("n") > 1).cast("int")
     asked = stored(distinct.join(broadcast_if_small(crowded), "g", "left").groupBy("of.k1", "of.k2").agg(F.collect_list(code).alias("codes")), "asked")
     # One text of each distinct segment sends its words; copies of that text send the same.
-    texts = docs.select(whole.alias("text"), *_key(whole)).join(broadcast_if_small(asked), ["k1", "k2"])
+    texts = docs.select(whole.alias("text"), *_key(whole)).join(asked.hint("merge"), ["k1", "k2"])
     sent = stored(texts.select(F.inline(arrow_udf(_sent(window), SENT_DDL)("text", "codes"))).groupBy("g", "s", "first").agg(
         F.first("u").alias("u"), F.first("v").alias("v"), F.max("twice").alias("twice"), F.first("words").alias("words")), "words")
     times = F.when(F.col("twice"), 2).otherwise(1)
@@ -261,6 +261,6 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, s
     places = repeated_places(docs, text, window, shard, hot)
     columns = [c for c in docs.columns if c not in CLEAN.names]
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*columns).alias("_row"), whole.alias("_text"), *_key(whole)).join(broadcast_if_small(places), ["k1", "k2"], "left")
+    rows = docs.select(F.struct(*columns).alias("_row"), whole.alias("_text"), *_key(whole)).join(places.hint("merge"), ["k1", "k2"], "left")
     clean = arrow_udf(_without(window), "struct<n_words:bigint,n_removed:bigint,kept:string>")("_text", "places")
     return rows.select("_row", clean.alias("_clean")).select("_row.*", "_clean.*")
