@@ -100,6 +100,8 @@ class Automaton:
         todo = list(places.items())
         while todo:
             node, e = todo.pop()
+            if node < 0:
+                continue  # a met stem has no letters left to leave out
             for to in self.children[node].values():
                 if e + 1 <= self.most[to] and places.get(to, 9) > e + 1:
                     places[to] = e + 1
