@@ -1,10 +1,10 @@
 """Quality rules: base counts of each text, and lines that many documents of a host share.
 
 Lines are normalised (lower case, digits alike, white space squeezed), hashed, and
-counted in distinct documents per host. Copies of one text count once. A line is
-boilerplate if enough documents of its host have it among differing neighbour lines:
-the lines of near copies recur too, but mostly beside the same neighbours.
-Boilerplate lines are removed; a document that loses most of its words is depleted.
+counted in distinct documents per host. Documents whose normalised lines are the same
+count once, so copies that differ in case, digits or spacing don't deplete each other.
+A line that stands in enough documents of its host is boilerplate and removed; a document
+that loses most of its words is depleted.
 
 Null or empty texts have no words and fail the base rule. A null host is a host of its
 own. Repeated rows get equal results. Extra columns pass through unless they bear the
@@ -26,17 +26,16 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_DOCUMENTS = 10      # documents of a host from which a line may be boilerplate
-MIN_CONTEXTS = 0.5      # distinct neighbourhoods of the line, per document
 MAX_REMOVED = 0.7       # share of words that a document may lose
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-LINE = pa.struct([("line", pa.int64()), ("words", pa.int64()), ("context", pa.int64())])
+LINE = pa.struct([("line", pa.int64()), ("words", pa.int64())])
 SCAN = pa.struct([*((c, pa.int64()) for c in BASE), ("lines", pa.list_(LINE))])
 SCAN_DDL = ("struct<" + ",".join(f"{c}:bigint" for c in BASE)
-            + ",lines:array<struct<line:bigint,words:bigint,context:bigint>>>")
+            + ",lines:array<struct<line:bigint,words:bigint>>>")
 
 
 def _repeated(hashed: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -82,11 +81,6 @@ def _scan_part(part: scan.Part) -> list[pa.Array]:
         np.bincount(line_owner, minlength=n) - np.bincount(alike, minlength=n),
         _repeated(scan.hashes(part.data, starts, ends), owner, n)]
     line = _normalised(part, starts, ends, first, count)
-    # The neighbours of a line tell whether its document merely repeats another one.
-    before, after = np.zeros_like(line), np.zeros_like(line)
-    joined = line_owner[1:] == line_owner[:-1]
-    before[1:][joined], after[:-1][joined] = line[:-1][joined], line[1:][joined]
-    context = scan.mix(before + np.uint64(1)) + after
     # One row per distinct line of a text, with the words of all its places.
     order = np.lexsort((line, line_owner))
     new = np.ones(len(order), bool)
@@ -94,7 +88,7 @@ def _scan_part(part: scan.Part) -> list[pa.Array]:
     at = np.flatnonzero(new)
     total = np.add.reduceat(count[order], at) if len(at) else np.zeros(0, np.int64)
     rows = pa.StructArray.from_arrays(
-        [pa.array(line[order][at].view(np.int64)), pa.array(total.astype(np.int64)), pa.array(context[order][at].view(np.int64))],
+        [pa.array(line[order][at].view(np.int64)), pa.array(total.astype(np.int64))],
         fields=list(LINE))
     return [*(pa.array(b.astype(np.int64)) for b in base), scan.list_array(line_owner[order][at], n, rows)]
 
@@ -134,28 +128,27 @@ def without_lines(text: str | Column, lines: str | Column) -> Column:
     return arrow_udf(_without_lines, "string")(text, lines)
 
 
-def verdicts(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, min_contexts: float = MIN_CONTEXTS,
+def verdicts(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS,
              max_removed: float = MAX_REMOVED, with_text: bool = False) -> DataFrame:
     """``docs`` with base counts, ``base_failed``, ``words_removed``, ``kept`` and, if asked for, the ``cleaned`` text.
 
     The scan of the texts is stored once without them; the lines are counted from that. Only
     hashes are shuffled, partially aggregated, so a line in a third of the rows is one row per
-    task. The final join is by host and text hash, which adaptive execution splits if skewed.
+    task. The final join is by host and the hash of the lines, which adaptive execution splits if skewed.
     """
     drop = [c for c in (*BASE, "base_failed", "words_removed", "kept", "cleaned") if c in docs.columns]
     carried = [c for c in docs.columns if c not in drop and (with_text or c != "text")]
-    scanned = checkpoint(docs.select(
-        F.col(host).alias("_host"), F.xxhash64("text").alias("_text"), F.struct(*carried).alias("_row"),
-        scan_text(F.coalesce("text", F.lit(""))).alias("_scan"))) if not with_text else docs.select(
-        F.col(host).alias("_host"), F.xxhash64("text").alias("_text"), F.struct(*carried).alias("_row"),
-        scan_text(F.coalesce("text", F.lit(""))).alias("_scan"))
+    scanned = docs.select(F.col(host).alias("_host"), F.struct(*carried).alias("_row"), scan_text(F.coalesce("text", F.lit(""))).alias("_scan"))
+    # Equal normalised lines with equal numbers of words name a document: they lose the same words.
+    scanned = scanned.withColumn("_text", F.xxhash64("_scan.lines"))
+    if not with_text:
+        scanned = checkpoint(scanned)
     found = scanned.select("_host", "_text", F.inline("_scan.lines"))
-    once = found.groupBy("_host", "line", "_text").agg(F.first("words").alias("words"), F.first("context").alias("context"))
+    once = found.groupBy("_host", "line", "_text").agg(F.first("words").alias("words"))
     if with_text:
         once = checkpoint(once)
     common = once.groupBy("_host", "line").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("context").alias("contexts")).filter(
-        (F.col("n") >= min_documents) & (F.col("contexts") >= F.col("n") * min_contexts)).select(
+        F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select(
         F.col("_host").alias("h"), F.col("line").alias("l"))
     lost = once.join(common, F.col("_host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left_semi").groupBy(
         F.col("_host").alias("h"), F.col("_text").alias("t")).agg(
