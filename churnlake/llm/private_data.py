@@ -83,10 +83,11 @@ LONGEST = 20        # tokens of a segment
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Disjoint stretches with at least seven digits in a run, or around an at-sign."""
+    """Disjoint stretches with at least seven digits in a run, with four number groups in a row, or around an at-sign."""
     found = []
     if _DIGIT.search(text):
         found += [(m.start(), m.end()) for m in _RUN.finditer(text) if len(_DIGIT.findall(m[0])) >= LEAST_DIGITS]
+        found += [(m.start(), m.end()) for m in _IP_SHAPE.finditer(text)]
     if "@" in text or "at" in text:
         for m in _AT.finditer(text):
             lo = max(text.rfind("\n", 0, m.start()) + 1, m.start() - REACH)
@@ -143,7 +144,7 @@ class Region:
                 if not piece[e - 1].isalnum():
                     continue
                 span = piece[s:e]
-                if len(_DIGIT.findall(span)) < LEAST_DIGITS and not _AT.search(span):
+                if len(_DIGIT.findall(span)) < LEAST_DIGITS and not _AT.search(span) and not _IP_SHAPE.fullmatch(span):
                     continue
                 self.segments.append((i, j + 1))
                 rows.append(features(span, piece[s - 1:s] or text[max(0, lo + s - 1):lo + s], piece[e:e + 1] or text[lo + e:lo + e + 1]))
@@ -304,7 +305,7 @@ def model(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """
     share = int(1_000_000 * min(1.0, DOCUMENTS * sample / max(1, docs.count())))
     some = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < share)
-    found = some.filter(F.col("text").rlike("[0-9@]")).select(F.explode(arrow_udf(_windows, "array<string>")("text")).alias("w"))
+    found = some.filter(F.col("text").rlike("[0-9@]")).select(F.explode(arrow_udf(_windows, "array<string>")("text")).alias("w")).distinct()
     rows = found.orderBy(F.xxhash64("w"), "w").limit(sample).collect()  # bounded by the parameter
     return fit([r["w"] for r in rows])
 
@@ -325,7 +326,7 @@ def all_spans(text: str, weights: np.ndarray | None) -> list[tuple[int, int, int
             for _, s, e in sorted(inside, key=lambda b: b[1]):
                 rest, at = rest + text[at:max(at, s)], max(at, e)
             rest += text[at:hi]
-            if len(_DIGIT.findall(rest)) < LEAST_DIGITS and not _AT.search(rest):
+            if len(_DIGIT.findall(rest)) < LEAST_DIGITS and not _AT.search(rest) and not _IP_SHAPE.search(rest):
                 continue
             for kind, s, e in Region(text, lo, hi).decode(weights):
                 if all(e <= b[1] or s >= b[2] for b in inside):
