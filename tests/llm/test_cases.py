@@ -91,7 +91,7 @@ def test_boilerplate_lines_go_and_copies_stay(spark):
     shared = "Subscribe to our letter of the week"
     rows = [(i, f"{prose(i, 30)}\n{shared} {i}\n{prose(i + 999, 30)}", "a") for i in range(40)]
     rows += [(100 + i, prose(7, 30) + "\n" + prose(8, 30), "a") for i in range(40)]                     # copies of one text
-    rows += [(200 + i, prose(7, 30) + "\n" + prose(9, 60) + f"\n{prose(i, 5)}", "b") for i in range(40)]  # near copies
+    rows += [(200 + i, (prose(7, 30) + "\n").replace(" ", " " * (1 + i % 3)) + prose(9, 60) + f"\nno {i}", "b") for i in range(40)]  # near copies
     rows += [(300, prose(3, 5) + "\n" + "\n".join([shared + " 7"] * 9), "a")]
     out = {r["doc_id"]: r for r in line_frequency.verdicts(spark.createDataFrame(rows, "doc_id int, text string, source string"), with_text=True).collect()}
     assert all(out[i]["kept"] and shared not in out[i]["cleaned"] and out[i]["words_removed"] == 8 for i in range(40))
@@ -100,6 +100,44 @@ def test_boilerplate_lines_go_and_copies_stay(spark):
     assert not out[300]["kept"]
 
 
+@pytest.mark.parametrize("documents", [20, 400])
+@pytest.mark.parametrize("block", [1, 3, 12])
+def test_shared_blocks_go_whole_at_every_size(spark, documents, block):
+    """Distinct documents alone decide, so a block of lines goes as one line would, whatever stands beside it."""
+    ready(spark)
+    shared = [prose(900 + k, 8) for k in range(block)]
+    heads = [prose(950 + k, 7) for k in range(6)]
+    rows = [(i, "\n".join([heads[i % 6]] * (documents > 100) + shared + [prose(i, 10) + f" {chr(97 + i % 26)}{'x' * (i // 26)}"]), "a") for i in range(documents)]
+    rows += [(1000 + i, prose(2000 + i, 40) + "\n" + shared[0], "other") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in line_frequency.verdicts(df, with_text=True).collect()}
+    seen = {}
+    for d, text, host in rows:
+        for line in set(text.split("\n")):
+            seen.setdefault((host, line), set()).add(text)
+    for d, text, host in rows:
+        gone = [x for x in text.split("\n") if len(seen[host, x]) >= 10]
+        removed, n = sum(len(x.split()) for x in gone), len(text.split())
+        assert got[d]["words_removed"] == removed and (removed >= 8 * block) == (host == "a")
+        assert got[d]["kept"] == (n >= 20 and removed <= 0.7 * n)
+        assert got[d]["cleaned"].split() == [w for x in text.split("\n") if x not in gone for w in x.split()]
+
+
+def test_five_word_shingles_keep_edited_documents(spark):
+    ready(spark)
+    rows = []
+    for k in range(10):
+        words = prose(300 + k, 100).split()
+        rows.append((2 * k, " ".join(words)))
+        for at in (9, 29, 49, 69, 89):
+            words[at] = f"other{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert near_copies.one_of_each(docs).count() == 10
+    assert near_copies.one_of_each(docs, shingle=5).count() == 20
+    assert near_copies.near_copies(docs.union(docs), shingle=5).filter("not kept").count() == 0
+
+
 def test_large_groups_in_blocks(spark, monkeypatch):
     """Blocks, heads and askers give the components of one comparison of all pairs."""
     from test_contracts import brute_components, shingles

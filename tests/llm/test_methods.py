@@ -30,6 +30,20 @@ def test_automaton_finds_what_edit_distance_finds(word):
     assert (got[0] if got else None) == min(near, default=None)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcd", max_size=11))
+def test_stems_do_not_lead_to_other_terms(word):
+    terms = {"abcab": 1.0, "cab": 1.0, "bcabcab": 1.0, "aaaabbbbcc": 1.0}
+    got = toxic_terms.Automaton(terms, {"dab": 2.0, "dcc": 3.0}).match(word)
+    near = [distance(word, t) for t in terms if distance(word, t) <= toxic_terms.errors_allowed(t)]
+    if not word.startswith(("dab", "dcc")):
+        assert (got[0] if got else None) == min(near, default=None)
+
+
+def test_a_stem_leaves_unrelated_terms_alone():
+    assert toxic_terms.Automaton({"grabble": 9.0, "marrowing": 9.0}, {"zort": 5.0}).match("zortrabble")[1] == 5.0
+
+
 def test_quotation_counts_apart():
     lexicon = toxic_terms.Lexicon({"moron": 9.0, "disgusting": 9.0}, {"vequ": 9.0})
     assert lexicon.features("you m0ron")[1] > 0 and lexicon.features("you moron")[0] > 0 and lexicon.features("vequlo")[3] > 0
