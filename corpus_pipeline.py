@@ -18,6 +18,8 @@ from churnlake.session import stored
 # Tokenisers, trees of minwise values and the field have no SQL form.
 ORACLE_SQL = None
 
+SHINGLE = 5  # words
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that many documents of their source share."""
@@ -27,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: sets of five-word shingles at least 0.8 alike."""
     ready(spark)
-    return near_copies.one_of_each(docs)
+    return near_copies.one_of_each(docs, shingle=SHINGLE)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
