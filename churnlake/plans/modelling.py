@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlake.operators import evaluate, explain, levels, models, prep, profile
+from churnlake.operators import board, evaluate, explain, levels, models, penalty, prep, profile, tree_contributions
 from churnlake.plans import roles
 from churnlake.plans.preparing import split_trips
 from churnlake.plans.registry import query
@@ -48,6 +48,51 @@ def _(spark, sf):
     return searched(spark, sf, "glm", [{**a, "lambda": v} for a in alphas for v in (0.001, 0.01)])
 
 
+ALPHAS = [p["alpha"] for p in models.random_params(100, 2020, alpha=lambda r: round(r.random(), 4))]
+
+
+def searched_path(spark, sf):
+    """The paths of all mixing weights on two folds, and for each the penalty with the least out-of-fold deviance."""
+    train, test = prepared(spark, sf)
+    folded = checkpoint(models.add_folds(train, "retained", "orderkey", 2))
+    path = penalty.penalty_path(folded, "retained", ALPHAS)
+    deviance = penalty.deviances(path, folded, "retained")
+    return path, deviance, [(i, int(j)) for i, j in enumerate(deviance.argmin(axis=1))], folded, test
+
+
+@query("l1_penalty_path")
+def _(spark, sf):
+    """100 mixing weights, each with its whole path; the winner has the best F1 of out-of-fold scores."""
+    path, _, chosen, folded, test = searched_path(spark, sf)
+    scores = checkpoint(penalty.out_of_fold(path, folded, "retained", "orderkey", chosen))
+    best = int(board.top(scores, "retained", 1)[0].rsplit("_", 1)[1])
+    model = path.model(*chosen[best])
+    out = results("glm", model, folded, test)
+    return out.withColumns({"alpha": F.lit(model.params["alpha"]), "lambda": F.lit(model.params["lambda"])})
+
+
+@query("l1_path_start", with_ctes(TRIPS) + f""",
+tr AS (SELECT *, month(departure_date) AS m FROM trips WHERE orderkey % 4 <> 0),
+x AS (SELECT abs(corr(price, retained)) AS r FROM tr UNION ALL SELECT abs(corr(program, retained)) FROM tr
+      UNION ALL SELECT abs(corr(CASE WHEN t.travel_type = l.travel_type THEN 1 ELSE 0 END, retained)) FROM tr t, (SELECT DISTINCT travel_type FROM tr) l GROUP BY l.travel_type
+      UNION ALL SELECT abs(corr(CASE WHEN t.m = l.m THEN 1 ELSE 0 END, retained)) FROM tr t, (SELECT DISTINCT m FROM tr) l GROUP BY l.m)
+SELECT alpha, round((SELECT max(r) FROM x) * (SELECT stddev_pop(retained) FROM tr) / greatest(alpha, 0.001), 7) AS first_lambda
+FROM (SELECT unnest({ALPHAS}::DOUBLE[]) AS alpha)""")
+def _(spark, sf):
+    """The largest penalty of each path, from which on a coefficient is not 0."""
+    train, _ = prepared(spark, sf)
+    path = penalty.penalty_path(train, "retained", ALPHAS, n_lambdas=1, folds=0)
+    assert (abs(path.coefficients[:, 0, 0, 1:]) < 1e-6).all()
+    return spark.createDataFrame([(float(a), round(float(v), 7)) for a, v in zip(path.alphas, path.lambdas[:, 0])], "alpha double, first_lambda double")
+
+
+@query("l1_path_stationarity", f"SELECT alpha, true AS stationary FROM (SELECT unnest({ALPHAS}::DOUBLE[]) AS alpha)")
+def _(spark, sf):
+    """The chosen solution of every mixing weight, tested for stationarity by an aggregation over the rows."""
+    path, _, chosen, folded, _ = searched_path(spark, sf)
+    return penalty.violations(path, folded, "retained", chosen).select("alpha", (F.col("violation") < 1e-6).alias("stationary"))
+
+
 @query("l2_naive_bayes_counts", with_ctes(TRIPS) + """,
 tr AS (SELECT *, CAST(month(departure_date) AS VARCHAR) AS month FROM trips WHERE orderkey % 4 <> 0),
 te AS (SELECT *, CAST(month(departure_date) AS VARCHAR) AS month FROM trips WHERE orderkey % 4 = 0),
@@ -236,6 +281,86 @@ def _(spark, sf):
     return models.leaderboard(board.withColumn("modID", name).drop("cut"))
 
 
+COUNT_MODELS = {f"counts_grid_model_{i}": (text, laplace) for i, (text, laplace) in enumerate(
+    (text, laplace) for text in (TEXT[:1], TEXT[1:], TEXT) for laplace in LAPLACES)}
+
+
+class Keyed:
+    """A count model whose scores are joined to the rows again."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def score(self, df):
+        return df.join(self.model.score(df, "orderkey"), "orderkey")
+
+
+BOARD_SQL = with_ctes(TRIPS) + ", " + f"""
+t AS (SELECT *, CAST(month(departure_date) AS VARCHAR) AS month, CASE WHEN orderkey % 4 <> 0 THEN 'train' ELSE 'test' END AS set_ FROM trips),
+lv AS (SELECT 'travel_type' AS c, travel_type AS v, sum(retained) AS p, sum(1 - retained) AS n FROM t WHERE set_ = 'train' GROUP BY 2
+       UNION ALL SELECT 'month', month, sum(retained), sum(1 - retained) FROM t WHERE set_ = 'train' GROUP BY 2),
+m AS (SELECT unnest({[{"modID": k, "lap": v[1], "a": int("travel_type" in v[0]), "b": int("month" in v[0])} for k, v in COUNT_MODELS.items()]}) AS m),
+od AS (SELECT m.modID, c, v, ln((p + m.lap) / (sum(p) OVER w + m.lap * count(*) OVER w)) - ln((n + m.lap) / (sum(n) OVER w + m.lap * count(*) OVER w)) AS o
+       FROM lv, m WINDOW w AS (PARTITION BY m.modID, c)),
+sc AS (SELECT m.modID, set_, retained, CAST(round(1000 / (1 + exp(-((SELECT ln(sum(retained) / sum(1 - retained)) FROM t WHERE set_ = 'train')
+         + m.a * coalesce(x.o, 0) + m.b * coalesce(y.o, 0))))) AS INTEGER) AS cut
+       FROM t CROSS JOIN m LEFT JOIN od x ON x.modID = m.modID AND x.c = 'travel_type' AND x.v = travel_type
+       LEFT JOIN od y ON y.modID = m.modID AND y.c = 'month' AND y.v = month),
+k AS (SELECT modID, set_, cut, sum(retained) AS pos, count(*) AS n FROM sc GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(pos) OVER d AS tp, sum(n) OVER d AS hit, sum(pos) OVER (PARTITION BY modID, set_) AS positives FROM k
+      WINDOW d AS (PARTITION BY modID, set_ ORDER BY cut DESC)),
+b AS (SELECT modID, max_by(cut, (2 * tp / (hit + positives), cut)) AS best FROM r WHERE set_ = 'train' GROUP BY 1),
+f AS (SELECT modID, 2 * count(*) FILTER (set_ = 'train' AND retained = 1 AND cut >= best) / (count(*) FILTER (set_ = 'train' AND cut >= best) + count(*) FILTER (set_ = 'train' AND retained = 1)) AS trainF1,
+        2 * count(*) FILTER (set_ = 'test' AND retained = 1 AND cut >= best) / (count(*) FILTER (set_ = 'test' AND cut >= best) + count(*) FILTER (set_ = 'test' AND retained = 1)) AS testF1
+      FROM sc JOIN b USING (modID) GROUP BY 1)
+SELECT modID, round(trainF1, 9) AS trainF1, round(testF1, 9) AS testF1, round(abs(trainF1 - testF1), 9) AS diff FROM f WHERE trainF1 < 1 AND abs(trainF1 - testF1) < 0.025"""
+
+
+@query("l15_leaderboard_of_count_models", BOARD_SQL)
+def _(spark, sf):
+    """Nine fitted count models compared from their stored scores."""
+    train, test = (with_month(d) for d in split_trips(spark, sf))
+    fitted = {name: Keyed(models.CountNaiveBayes(text, [], "retained", laplace).fit(train)) for name, (text, laplace) in COUNT_MODELS.items()}
+    scores = board.on_sets(fitted, {"train": train, "test": test}, "retained", "orderkey")
+    return rounded(board.board(scores, "retained"), trainF1=9, testF1=9, diff=9)
+
+
+SEARCHED = {
+    "gbm": models.random_params(6, 1, trees=[10, 20, 30], depth=[2, 3, 4], rate=[0.1, 0.3], sample=[0.6, 0.8, 1.0], min_rows=[50, 70, 100], bins=[16, 32, 64]),
+    "nn": models.grid(hidden=[(4,), (8,), (8, 4)], max_iter=[60]),
+}
+
+
+def searched_families(spark, sf):
+    """Out-of-fold scores of the paths and of the searches, the three best of each family, fitted on all rows."""
+    path, _, chosen, folded, test = searched_path(spark, sf)
+    parts = {"glm": penalty.out_of_fold(path, folded, "retained", "orderkey", chosen)}
+    for family, candidates in SEARCHED.items():
+        parts[family] = board.out_of_fold(family, folded, "retained", "orderkey", candidates, 2)
+    store = checkpoint(board.together(list(parts.values())))
+    fitted = {}
+    for family in parts:
+        for name in board.top(store.filter(F.col("model").startswith(f"{family}_")), "retained", 3):
+            i = int(name.rsplit("_", 1)[1])
+            fitted[name] = path.model(*chosen[i]) if family == "glm" else models.fit(family, folded, "retained", SEARCHED[family][i])
+    return store, fitted, folded, test
+
+
+@query("l10_stack_of_searches")
+def _(spark, sf):
+    """The three best of each searched family, stacked on their stored out-of-fold scores."""
+    store, fitted, folded, test = searched_families(spark, sf)
+    return results("stacked", board.stack(store, fitted, "retained", "orderkey"), folded, test)
+
+
+@query("l15_leaderboard_of_searches")
+def _(spark, sf):
+    """The three best models of each searched family and their stack, from stored scores of both sets."""
+    store, fitted, folded, test = searched_families(spark, sf)
+    every = fitted | {"stacked": board.stack(store, fitted, "retained", "orderkey")}
+    return board.board(board.on_sets(every, {"train": folded, "test": test}, "retained", "orderkey"), "retained")
+
+
 @query("x1_tree_importance")
 def _(spark, sf):
     train, _ = prepared(spark, sf)
@@ -369,3 +494,35 @@ def _(spark, sf):
             "orderkey", F.col("pred").alias(f"pred{name}"), evaluate.classify(F.col("pred"), threshold).alias(f"pred_class{name}"))
         out = out.join(pred, "orderkey")
     return rounded(out, pred=7, pred_plain=7)
+
+
+def explained_trees(spark, sf):
+    """A boosted model, its explanation against the training trips, and the test trips."""
+    train, test = prepared(spark, sf)
+    model = models.fit("gbm", train, "retained", {"trees": 10, "depth": 3})
+    return model, tree_contributions.explain_trees(model, train, "retained"), tree_contributions.column_names(train, NUMBERS), test
+
+
+@query("x4_tree_contributions")
+def _(spark, sf):
+    """Exact contributions of program, price, travel type and month to every test trip's log odds."""
+    _, explained, names, test = explained_trees(spark, sf)
+    return tree_contributions.tree_contributions(test, explained, "orderkey", names)
+
+
+@query("x4_tree_summary")
+def _(spark, sf):
+    _, explained, names, test = explained_trees(spark, sf)
+    return tree_contributions.summary(tree_contributions.tree_contributions(test, explained, "orderkey", names))
+
+
+@query("x4_tree_contributions_add_up", with_ctes(TRIPS) + "SELECT orderkey, 4 AS n_features, true AS adds_up FROM trips WHERE orderkey % 4 = 0")
+def _(spark, sf):
+    """Contributions and the mean of the training trips make up the log odds of every test trip."""
+    model, explained, names, test = explained_trees(spark, sf)
+    told = tree_contributions.tree_contributions(test, explained, "orderkey", names).groupBy("orderkey").agg(
+        F.count(F.lit(1)).cast("int").alias("n_features"), F.sum("contribution").alias("total"))
+    # The model's score is the logistic function of twice the sum of its trees.
+    odds = F.log(F.col("pred") / (1 - F.col("pred"))) / 2
+    return model.score(test).join(told, "orderkey").select(
+        "orderkey", "n_features", (F.abs(odds - explained.base - F.col("total")) < 1e-9).alias("adds_up"))
