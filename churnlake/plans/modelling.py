@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from churnlake.operators import board, evaluate, explain, levels, models, penalty, prep, profile, tree_contributions
+from churnlake.operators import board, boosting, evaluate, explain, levels, models, penalty, prep, profile, tree_contributions
 from churnlake.plans import roles
 from churnlake.plans.preparing import split_trips
 from churnlake.plans.registry import query
@@ -526,3 +527,48 @@ def _(spark, sf):
     odds = F.log(F.col("pred") / (1 - F.col("pred"))) / 2
     return model.score(test).join(told, "orderkey").select(
         "orderkey", "n_features", (F.abs(odds - explained.base - F.col("total")) < 1e-9).alias("adds_up"))
+
+
+
+# Draws of the search over row and column shares, their change by level, leaf sizes, bins and least gains.
+BOOSTED = models.random_params(
+    4, 1, trees=lambda r: 15, depth=lambda r: r.randint(2, 4), sample=lambda r: r.randint(20, 100) / 100, columns=lambda r: r.randint(20, 100) / 100,
+    columns_tree=lambda r: r.randint(20, 100) / 100, columns_change=lambda r: r.randint(90, 110) / 100, min_rows=lambda r: r.choice([50, 70, 100]),
+    bins=lambda r: r.choice([16, 32]), min_gain=lambda r: r.choice([0.0, 1e-8, 1e-6, 1e-4]))
+
+
+@query("l4_histogram_boosting")
+def _(spark, sf):
+    """Candidates and folds grow side by side; the best by out-of-fold F1, judged on both sets."""
+    train, test = prepared(spark, sf)
+    folded = checkpoint(models.add_folds(train, "retained", "orderkey", 2))
+    grown = boosting.boosted(folded, "retained", "orderkey", BOOSTED)
+    scores = checkpoint(board.together([
+        m.score(folded.filter(F.col("fold") == f)).select(F.lit(f"gbm_grid_model_{i}").alias("model"), "fold", "orderkey", "retained", "pred")
+        for i, some in enumerate(grown) for f, m in enumerate(some[:-1])]))
+    best = int(board.top(scores, "retained", 1)[0].rsplit("_", 1)[1])
+    return results("gbm", grown[best][-1], folded, test)
+
+
+@query("l4_first_split", with_ctes(TRIPS) + """,
+tr AS (SELECT *, month(departure_date) AS m FROM trips WHERE orderkey % 4 <> 0),
+b AS (SELECT avg(retained) AS p, count(*) AS n, sum(retained) AS pos FROM tr),
+s AS (SELECT 'program' AS feature, c AS cut, count(*) FILTER (program <= c) AS n, sum(retained) FILTER (program <= c) AS pos
+      FROM tr, (SELECT DISTINCT program AS c FROM tr) GROUP BY c
+      UNION ALL SELECT 'travel_type', NULL, count(*) FILTER (t.travel_type <> l.travel_type), sum(retained) FILTER (t.travel_type <> l.travel_type)
+      FROM tr t, (SELECT DISTINCT travel_type FROM tr) l GROUP BY l.travel_type
+      UNION ALL SELECT 'month', NULL, count(*) FILTER (t.m <> l.m), sum(retained) FILTER (t.m <> l.m) FROM tr t, (SELECT DISTINCT m FROM tr) l GROUP BY l.m),
+g AS (SELECT s.*, (s.n * p - s.pos) AS gl, s.n * p * (1 - p) AS hl, b.n * p - b.pos AS g, b.n * p * (1 - p) AS h, b.n AS whole FROM s, b),
+best AS (SELECT *, gl ** 2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g ** 2 / (h + 1) AS gain FROM g WHERE n >= 10 AND whole - n >= 10)
+SELECT feature, CAST(n AS BIGINT) AS n_left, round(-gl / (hl + 1), 7) AS left_value, round(-(g - gl) / (h - hl + 1), 7) AS right_value
+FROM best ORDER BY gain DESC LIMIT 1""")
+def _(spark, sf):
+    """The first split of a tree of depth one, on features with few values."""
+    train, _ = (with_month(d) for d in split_trips(spark, sf))
+    ready = checkpoint(prep.feature_pipeline(TEXT, ["program"]).fit(train).transform(train).select("orderkey", "retained", "features"))
+    model = boosting.boosted(ready, "retained", "orderkey", [{"trees": 1, "depth": 1, "rate": 1.0, "min_rows": 10, "bins": 64}], fold=None, held=0.0)[0][0]
+    feature, cut, left, right, _ = model.trees[0][0]
+    n = ready.filter(vector_to_array("features")[feature] <= cut).count()
+    name = tree_contributions.column_names(ready, ["program"])[feature]
+    return spark.createDataFrame([(name, n, round(float(model.trees[0][left][4]), 7), round(float(model.trees[0][right][4]), 7))],
+                                 "feature string, n_left bigint, left_value double, right_value double")
