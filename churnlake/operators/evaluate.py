@@ -16,7 +16,9 @@ from churnlake.session import checkpoint
 
 
 def classify(score: Column, threshold: float, yes: str = "yes", no: str = "no") -> Column:
-    return F.when(score >= threshold, yes).when(score.isNotNull(), no)
+    """The class of a score; none where the score is missing (NULL or NaN)."""
+    known = score.isNotNull() & ~F.isnan(score.cast("double"))
+    return F.when(known & (score >= threshold), yes).when(known, no)
 
 
 def confusion(df: DataFrame, observed: str, predicted: str) -> DataFrame:
@@ -47,8 +49,11 @@ def _class_lines(one: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
-    """Precision, recall, F1 and support of both classes, and the overall accuracy."""
-    return _class_lines(df.agg(*_cells(F.col(label), F.col(score) >= threshold)))
+    """Precision, recall, F1 and support of both classes, and the overall accuracy.
+
+    Rows without a label or a score (NULL or NaN) count nowhere.
+    """
+    return _class_lines(df.filter(F.col(label).isNotNull() & is_number(score)).agg(*_cells(F.col(label), F.col(score) >= threshold)))
 
 
 def naive_f1(df: DataFrame, label: str) -> DataFrame:
@@ -163,7 +168,8 @@ def regression_errors(df: DataFrame, observed: str, predicted: str) -> DataFrame
 
 
 def calibration(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.agg(F.avg(score).alias("predicted"), F.avg(label).alias("observed"))
+    known = df.filter(F.col(label).isNotNull() & is_number(score))
+    return known.agg(F.avg(score).alias("predicted"), F.avg(label).alias("observed"))
 
 
 def results_table(sets: Mapping[tuple[str, str], tuple[DataFrame, float]]) -> DataFrame:
