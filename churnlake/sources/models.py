@@ -9,7 +9,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.operators import models, prep
+from churnlake.operators import boosting, models, penalty, prep
 
 
 def _write_facts(spark: SparkSession, path: str, facts: dict) -> None:
@@ -30,6 +30,10 @@ def save(spark: SparkSession, fitted, path: str, threshold: float | None = None)
         for i, (tree, _) in enumerate(fitted.stages):
             tree.write().overwrite().save(f"{path}/tree{i}")
         facts |= {"kind": "ada", "label": fitted.label, "params": fitted.params, "say": [s for _, s in fitted.stages]}
+    elif isinstance(fitted, penalty.Linear):
+        facts |= {"kind": "linear", "raw": [float(c) for c in fitted.raw], "params": fitted.params, "features": fitted.features}
+    elif isinstance(fitted, boosting.Boosted):
+        facts |= {"kind": "boosted", "start": fitted.start, "trees": fitted.trees, "params": fitted.params, "losses": fitted.losses}
     elif isinstance(fitted, models.Stacked):
         for i, m in enumerate([*fitted.base, fitted.meta]):
             save(spark, m, f"{path}/part{i}")
@@ -66,6 +70,10 @@ def load(spark: SparkSession, path: str):
     elif kind == "ada":
         out = models.AdaBoost(facts["label"], **facts["params"])
         out.stages = [(ml(f"tree{i}"), say) for i, say in enumerate(facts["say"])]
+    elif kind == "linear":
+        out = penalty.Linear(np.array(facts["raw"]), facts["params"], features=facts["features"])
+    elif kind == "boosted":
+        out = boosting.Boosted(facts["start"], [[tuple(n) for n in t] for t in facts["trees"]], facts["params"], facts["losses"])
     elif kind == "stacked":
         parts = [load(spark, f"{path}/part{i}")[0] for i in range(facts["n"] + 1)]
         out = models.Stacked(parts[:-1], parts[-1])

@@ -5,8 +5,9 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from churnlake.operators import boosting, evaluate, models, prep
+from churnlake.operators import boosting, evaluate, models, penalty, prep
 from churnlake.session import checkpoint
+from churnlake.sources import models as files
 
 
 def hashed(seed):
@@ -57,3 +58,14 @@ def test_noise_stops_early_and_gain_bounds_splits(ready):
     out = boosting.boosted(noise, "y", "key", [{"trees": 60, "depth": 3, "rate": 0.3, "bins": 8}, {"trees": 3, "min_gain": 1.0, "bins": 8}], fold=None, held=0.2)
     assert len(out[0][0].trees) < 60
     assert all(len(t) == 1 for t in out[1][0].trees)
+
+
+def test_stored_and_loaded(spark, ready, tmp_path):
+    grown = boosting.boosted(ready, "y", "key", [{"trees": 2, "depth": 2, "bins": 8}], fold=None, held=0.0)[0][0]
+    linear = penalty.penalty_path(ready, "y", [0.5], n_lambdas=3, folds=0).model(0, 2)
+    stacked = models.Stacked([grown, linear], penalty.Linear(np.array([0.1, 2.0, 1.0]), {}))
+    for name, model in (("boosted", grown), ("linear", linear), ("stacked", stacked)):
+        files.save(spark, model, f"{tmp_path}/{name}", 0.4)
+        again, threshold = files.load(spark, f"{tmp_path}/{name}")
+        both = model.score(ready).select("key", "pred").join(again.score(ready).select("key", F.col("pred").alias("p")), "key")
+        assert threshold == 0.4 and both.filter("pred <> p").count() == 0 and both.count() == ready.count()
