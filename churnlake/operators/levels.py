@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlake.operators.profile import joined_levels
+from churnlake.operators.side_by_side import DIGITS, assigned, best_centres, silhouettes
 from churnlake.session import broadcast_if_small, checkpoint, splittable
 
 MISSING = "NA"
@@ -65,57 +60,56 @@ class LevelGrouper:
 
     Levels are points (target rate, log of their size), weighted by size, so
     the clustering works on one row per level whatever the size of the data.
+    All numbers of groups, each from ``starts`` starts, are fitted side by side.
     """
 
     def __init__(self, col: str, target: str, threshold: float = 0.05, k: int | None = None,
-                 max_k: int | None = None, letters: bool = False, seed: int = 2022, parallelism: int = 8):
+                 max_k: int | None = None, letters: bool = False, seed: int = 2022, starts: int = 25):
         self.col, self.target, self.threshold = col, target, threshold
-        self.k, self.max_k, self.letters, self.seed, self.parallelism = k, max_k, letters, seed, parallelism
+        self.k, self.max_k, self.letters, self.seed, self.starts = k, max_k, letters, seed, starts
 
     def level_table(self, df: DataFrame) -> DataFrame:
-        table = df.groupBy(_level(self.col).alias("level")).agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.col(self.target).cast("double")), F.lit(0.0)).alias("rate"))
-        table = table.withColumns({"log_n": F.log("n"), "weight": F.col("n").cast("double")})
-        points = VectorAssembler(inputCols=["rate", "log_n"], outputCol="_point").transform(table)
-        scaled = StandardScaler(inputCol="_point", outputCol="point", withMean=True, withStd=True).fit(points)
-        return scaled.transform(points).select("level", "n", "weight", "point")
+        """``(level, n, weight, point)``, the points standardised; a coordinate that never varies is 0.
+
+        The last bits of a mean depend on the order of the rows, so points are rounded: starts are drawn by their hashes.
+        """
+        table = checkpoint(df.groupBy(_level(self.col).alias("level")).agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.col(self.target).cast("double")), F.lit(0.0)).alias("rate")).withColumn(
+            "log_n", F.log("n")))
+        names = ("rate", "log_n")
+        found = table.agg(*[x for c in names for x in (F.avg(c), F.stddev_samp(c))]).first()  # 4 numbers
+        scaled = [F.round((F.col(c) - found[2 * i]) / found[2 * i + 1], DIGITS) if found[2 * i + 1] else F.lit(0.0) for i, c in enumerate(names)]
+        return table.select("level", "n", F.col("n").cast("double").alias("weight"), F.array(*scaled).alias("point"))
+
+    def centres(self, levels: DataFrame) -> dict[int, np.ndarray]:
+        """The best centres for each number of clusters, from 2 to below the number of levels (or to ``max_k``)."""
+        # Equal points can't be told apart, so there are no more clusters than distinct points.
+        most = min(levels.count() - 1, levels.select("point").distinct().count(), self.max_k or (1 << 31))
+        return best_centres(levels, range(2, most + 1), self.starts, self.seed)
 
     def scores(self, levels: DataFrame) -> list[tuple[int, float]]:
-        """Silhouette of each number of clusters, from 2 to below the number of levels (or to ``max_k``)."""
-        n_levels = levels.count()
-        judge = ClusteringEvaluator(featuresCol="point", predictionCol="cluster", weightCol="weight")
-
-        def one(k: int) -> tuple[int, float] | None:
-            clustered = self._kmeans(levels, k)
-            # Equal points may leave a single cluster, which has no silhouette.
-            if clustered.select("cluster").distinct().count() < 2:
-                return None
-            return k, judge.evaluate(clustered)
-
-        sizes = range(2, min(n_levels - 1, self.max_k or n_levels) + 1)
-        if not sizes:
-            return []
-        with ThreadPool(min(self.parallelism, len(sizes))) as pool:
-            found = pool.map(inheritable_thread_target(levels.sparkSession)(one), sizes)
-        return [f for f in found if f]
-
-    def choose_k(self, levels: DataFrame) -> int:
+        """Silhouette of each number of clusters."""
+        return silhouettes(levels, self.centres(levels))
+
+    @staticmethod
+    def choose_k(scores: list[tuple[int, float]]) -> int:
         """The first number of clusters whose silhouette reaches the 95th percentile."""
-        scores = self.scores(levels)
         if not scores:
             return 1
+        scores = [(k, round(s, DIGITS)) for k, s in scores]
         cut = np.quantile([s for _, s in scores], 0.95)
         return next(k for k, s in scores if s >= cut)
 
-    def _kmeans(self, levels: DataFrame, k: int) -> DataFrame:
-        model = KMeans(k=k, featuresCol="point", predictionCol="cluster", weightCol="weight", seed=self.seed).fit(levels)
-        return model.transform(levels)
-
     def fit(self, df: DataFrame) -> DataFrame:
         """Mapping ``(level, group)``, to be saved and applied with ``apply_groups``."""
         levels = checkpoint(self.level_table(df))
-        k = self.k or self.choose_k(levels)
-        clustered = self._kmeans(levels, k) if k > 1 else levels.withColumn("cluster", F.lit(0))
+        if self.k:
+            k = min(self.k, levels.select("point").distinct().count())
+            found = best_centres(levels, [k] if k > 1 else [], self.starts, self.seed)
+        else:
+            found = self.centres(levels)
+            k = self.choose_k(silhouettes(levels, found))
+        clustered = assigned(levels, found[k]) if k > 1 else levels.withColumn("cluster", F.lit(0))
         if self.letters:
             clustered = clustered.withColumn("group", group_letters(F.col("cluster")))
         else:

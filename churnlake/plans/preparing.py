@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from churnlake.operators import levels, prep, profile, sentiment, texts, topics
+from churnlake.operators.side_by_side import silhouettes
 from churnlake.plans import roles
 from churnlake.plans.registry import query
 from churnlake.plans.roles import CRM, FINANCE, TRIPS, rounded, with_ctes
@@ -186,6 +188,31 @@ def _(spark, sf):
     return spark.createDataFrame(grouper.scores(checkpoint(grouper.level_table(joined))), "k int, silhouette double")
 
 
+GIVEN_CENTRES = {2: [(-0.5, 0.5), (0.5, -0.5)], 3: [(-1.0, -0.3), (0.1, 0.6), (1.0, 0.2)],
+                 4: [(-0.9, -0.4), (-0.2, 0.8), (0.3, -0.6), (1.1, 0.4)]}
+
+
+@query("e7_silhouettes_of_given_centres", with_ctes(TRIPS, CRM) + f""",
+c AS (SELECT nation AS level, count(*) AS n, avg(CAST(retained AS DOUBLE)) AS rate FROM trips JOIN crm USING (custkey) GROUP BY 1),
+p AS (SELECT level, CAST(n AS DOUBLE) AS w, (rate - avg(rate) OVER ()) / stddev_samp(rate) OVER () AS x,
+             (ln(n) - avg(ln(n)) OVER ()) / stddev_samp(ln(n)) OVER () AS y FROM c),
+g AS (SELECT * FROM (VALUES {", ".join(f"({k}, {i}, {x}, {y})" for k, v in GIVEN_CENTRES.items() for i, (x, y) in enumerate(v))}) v(k, i, cx, cy)),
+a AS (SELECT k, level, w, x, y, arg_min(i, (x - cx) ** 2 + (y - cy) ** 2) AS cluster FROM p, g GROUP BY 1, 2, 3, 4, 5),
+d AS (SELECT a.k, a.level, a.w, a.cluster AS own, b.cluster AS other, sum(b.w * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS far, sum(b.w) AS mass
+      FROM a JOIN a AS b ON a.k = b.k GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT k, level, w, max(CASE WHEN own = other THEN mass END) AS own_mass,
+             max(CASE WHEN own = other AND mass > w THEN far / (mass - w) END) AS inside, min(CASE WHEN own <> other THEN far / mass END) AS outside
+      FROM d GROUP BY 1, 2, 3)
+SELECT CAST(k AS INTEGER) AS k, round(sum(CASE WHEN own_mass > w THEN w * (outside - inside) / greatest(outside, inside) ELSE 0 END) / sum(w), 6) AS silhouette
+FROM s GROUP BY 1""")
+def _(spark, sf):
+    """Nations dealt to fixed centres and judged as the numbers of groups are."""
+    joined = roles.trips(spark, sf).join(roles.crm(spark, sf).select("custkey", "nation"), "custkey")
+    table = checkpoint(levels.LevelGrouper("nation", "retained").level_table(joined))
+    found = silhouettes(table, {k: np.array(v) for k, v in GIVEN_CENTRES.items()})
+    return spark.createDataFrame([(k, round(s, 6)) for k, s in found], "k int, silhouette double")
+
+
 @query("e8_apply_learned_groups", with_ctes(TRIPS, SPLIT) + """,
 c AS (SELECT CAST(month(departure_date) AS VARCHAR) AS level, count(*) AS n FROM split WHERE is_train AND travel_type = 'F'
       AND month(departure_date) < 12 GROUP BY 1),
