@@ -18,6 +18,7 @@ from churnlake.operators.ranking import hash_order
 from churnlake.session import broadcast_if_small, checkpoint, stored
 
 BUCKET_ROWS = 100_000  # rows that one task ranks
+PATTERN_CELLS = 1 << 18  # numbers of all sums by pattern of gaps, up to which the imputer keeps these
 
 
 def stratified_split(df: DataFrame, label: str, key: str, p: float = 0.75, seed: int = 2020,
@@ -109,29 +110,29 @@ def shared_features(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> D
 # --- imputation by principal components ------------------------------------------------
 
 def _impute(z: np.ndarray, loadings: np.ndarray, ridge: float) -> np.ndarray:
-    """Fill NaN cells of standardised rows from their projection on the loadings."""
+    """Fill NaN cells of standardised rows from the projection of what is seen of them on the loadings."""
     gaps = np.isnan(z)
     out = np.where(gaps, 0.0, z)
     rank = loadings.shape[1]
-    if rank == 0:
+    rows = np.flatnonzero(gaps.any(axis=1))
+    if rank == 0 or not len(rows):
         return out
-    patterns, where = np.unique(gaps, axis=0, return_inverse=True)
-    for i, pattern in enumerate(patterns):
-        if not pattern.any():
-            continue
-        rows = np.flatnonzero(where.ravel() == i)
-        seen = loadings[~pattern]
-        weights = np.linalg.solve(seen.T @ seen + ridge * np.eye(rank), seen.T)
-        out[np.ix_(rows, np.flatnonzero(pattern))] = out[np.ix_(rows, np.flatnonzero(~pattern))] @ weights.T @ loadings[pattern].T
+    # Each row has its own system, of rank x rank numbers: the loadings' products over its seen columns.
+    products = (loadings[:, :, None] * loadings[:, None, :]).reshape(len(loadings), rank * rank)
+    systems = ((~gaps[rows]).astype(float) @ products).reshape(-1, rank, rank) + ridge * np.eye(rank)
+    scores = np.linalg.solve(systems, (out[rows] @ loadings)[:, :, None])[:, :, 0]
+    out[rows] = np.where(gaps[rows], scores @ loadings.T, out[rows])
     return out
 
 
 class PcaImputer:
     """Fill numeric gaps from the leading principal components of all columns.
 
-    The rows are read once for the sums of products of each pattern of gaps. The
-    rounds then work on these sums, one row per pattern; only a columns-by-columns
-    matrix comes to the driver, which finds its eigenvectors.
+    Each round fills the rows from the loadings and adds up their outer products: a task gives one
+    columns-by-columns matrix for each rank tried, whatever the gaps are, and the driver finds its eigenvectors.
+    All ranks tried share the passes; those whose loadings no longer move leave them. Where rows with the same
+    gaps are so many that the sums of products by pattern are few numbers, these are summed once and stand for
+    the rows in all rounds: a filled row is linear in what is seen of it, so both ways give the same loadings.
     """
 
     def __init__(self, cols: Sequence[str], rank: int | None = None, max_rank: int = 5, max_iter: int = 300,
@@ -148,19 +149,24 @@ class PcaImputer:
         mean = np.array([0.0 if v is None else float(v) for v in row[0::2]])
         sd = np.array([v or 1.0 for v in row[1::2]], dtype=float)
         rank = self._choose_rank(cells, mean, sd) if self.rank is None else self.rank
-        loadings = self._fitted(self._moments(cells, mean, sd), rank) if rank else np.zeros((k, 0))
+        loadings = self._fitted(cells, mean, sd, [rank])[rank] if rank else np.zeros((k, 0))
         return PcaImputerModel(cols, mean, sd, loadings, self.ridge)
 
-    def _fitted(self, moments: DataFrame, rank: int) -> np.ndarray:
-        """Loadings that no longer move when the gaps are filled from them."""
-        loadings = np.zeros((len(self.cols), 0))
+    def _fitted(self, cells: DataFrame, mean, sd, ranks: Sequence[int], hide: bool = False) -> dict[int, np.ndarray]:
+        """Loadings of each rank that no longer move when the gaps are filled from them."""
+        rows = self._moments(cells, mean, sd, hide) if self._patterns(cells, hide) * len(self.cols) ** 2 <= PATTERN_CELLS else None
+        done: dict[int, np.ndarray] = {}
+        loadings = {r: np.zeros((len(self.cols), 0)) for r in ranks}
         for _ in range(self.max_iter + 1):
-            new = self._leading(self._products(moments, loadings), rank)
-            moved = np.inf if not loadings.shape[1] else np.linalg.norm(new @ new.T - loadings @ loadings.T)
-            loadings = new
-            if moved < self.tol:
+            filled = self._products(cells, mean, sd, loadings, hide) if rows is None else self._products_by_pattern(rows, loadings)
+            for r, products in filled.items():
+                old, new = loadings[r], self._leading(products, r)
+                loadings[r] = new
+                if old.shape[1] and np.linalg.norm(new @ new.T - old @ old.T) < self.tol:
+                    done[r] = loadings.pop(r)
+            if not loadings:
                 break
-        return loadings
+        return {**done, **loadings}
 
     @staticmethod
     def _leading(products: np.ndarray, rank: int) -> np.ndarray:
@@ -172,7 +178,20 @@ class PcaImputer:
         mixed = h.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(k, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         return (mixed >> np.uint64(40)) % np.uint64(20) == 0
 
-    def _moments(self, cells: DataFrame, mean, sd, hide: bool = False) -> DataFrame:
+    def _patterns(self, cells: DataFrame, hide: bool) -> int:
+        """Number of different patterns of gaps, near enough to choose by."""
+        cols, k, held_out = self.cols, len(self.cols), self._held_out
+
+        def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                gap = batch[cols].isna().to_numpy()
+                if hide:
+                    gap |= held_out(batch["_h"].to_numpy(), k)
+                yield pd.DataFrame({"gaps": [g.tobytes() for g in np.unique(gap, axis=0)]})
+
+        return cells.mapInPandas(seen, "gaps binary").agg(F.approx_count_distinct("gaps")).first()[0]
+
+    def _moments(self, cells: DataFrame, mean, sd, hide: bool) -> DataFrame:
         """``(gaps, products)``: sums of outer products of the standardised rows, by pattern of gaps (counted as 0)."""
         cols, k, held_out = self.cols, len(self.cols), self._held_out
 
@@ -192,45 +211,68 @@ class PcaImputer:
         return checkpoint(sums.groupBy("gaps").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda x: x["value"]).alias("products")))
 
-    def _products(self, moments: DataFrame, loadings: np.ndarray) -> np.ndarray:
-        """Sum of outer products of the rows with their gaps filled from the loadings."""
+    def _products_by_pattern(self, moments: DataFrame, loadings: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """As ``_products``, from the sums of the patterns."""
         k, ridge = len(self.cols), self.ridge
+        ranks = sorted(loadings)
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((k, k))
+            total = np.zeros((len(ranks), k, k))
             for batch in batches:
                 for gaps, products in zip(batch["gaps"], batch["products"]):
-                    gap = np.array([g == "1" for g in gaps])
-                    # A filled row is linear in what is seen of it, and that is what _impute gives for unit rows.
-                    fill = _impute(np.where(gap[None, :], np.nan, np.eye(k)), loadings, ridge)
-                    total += fill.T @ np.asarray(products).reshape(k, k) @ fill
-            yield pd.DataFrame({"cell": np.arange(k * k), "value": total.ravel()})
-
-        sums = moments.mapInPandas(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
-        flat = np.zeros(k * k)
-        for cell, value in sums.collect():  # columns x columns numbers
+                    unit = np.where(np.array([g == "1" for g in gaps])[None, :], np.nan, np.eye(k))
+                    seen = np.asarray(products).reshape(k, k)
+                    for i, r in enumerate(ranks):
+                        fill = _impute(unit, loadings[r], ridge)
+                        total[i] += fill.T @ seen @ fill
+            yield pd.DataFrame({"cell": np.arange(total.size), "value": total.ravel()})
+
+        return self._summed(moments.mapInPandas(partial, "cell int, value double"), ranks)
+
+    def _summed(self, parts: DataFrame, ranks: Sequence[int]) -> dict[int, np.ndarray]:
+        k = len(self.cols)
+        flat = np.zeros(len(ranks) * k * k)
+        for cell, value in parts.groupBy("cell").agg(F.sum("value")).collect():  # columns x columns numbers of each rank
             flat[cell] = value
-        return flat.reshape(k, k)
+        return dict(zip(ranks, flat.reshape(-1, k, k)))
+
+    def _products(self, cells: DataFrame, mean, sd, loadings: dict[int, np.ndarray], hide: bool = False) -> dict[int, np.ndarray]:
+        """By rank: the sum of outer products of the rows with their gaps filled from the loadings."""
+        cols, k, ridge, held_out = self.cols, len(self.cols), self.ridge, self._held_out
+        ranks = sorted(loadings)
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(ranks), k, k))
+            for batch in batches:
+                z = (batch[cols].to_numpy(dtype=float) - mean) / sd
+                if hide:
+                    z[held_out(batch["_h"].to_numpy(), k)] = np.nan
+                for i, r in enumerate(ranks):
+                    filled = _impute(z, loadings[r], ridge)
+                    total[i] += filled.T @ filled
+            yield pd.DataFrame({"cell": np.arange(total.size), "value": total.ravel()})
+
+        return self._summed(cells.mapInPandas(partial, "cell int, value double"), ranks)
 
     def _choose_rank(self, cells: DataFrame, mean, sd) -> int:
         """The rank with the smallest error on held-out cells; 0 means column means."""
         cols, k, ridge, held_out = self.cols, len(self.cols), self.ridge, self._held_out
         top = min(self.max_rank, k - 1)
-        moments = self._moments(cells, mean, sd, True)
-        fitted = [np.zeros((k, 0)), *(self._fitted(moments, r) for r in range(1, top + 1))]
+        found = self._fitted(cells, mean, sd, range(1, top + 1), True) if top > 0 else {}
+        fitted = [np.zeros((k, 0)), *(found[r] for r in range(1, top + 1))]
 
         def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(top + 1)
+            total = np.zeros(len(fitted))
             for batch in batches:
                 z = (batch[cols].to_numpy(dtype=float) - mean) / sd
                 hidden = held_out(batch["_h"].to_numpy(), k) & ~np.isnan(z)
                 masked = np.where(hidden, np.nan, z)
-                for r in range(top + 1):
+                for r in range(len(fitted)):
                     total[r] += ((_impute(masked, fitted[r], ridge) - z)[hidden] ** 2).sum()
-            yield pd.DataFrame({"rank": np.arange(top + 1), "error": total})
+            yield pd.DataFrame({"rank": np.arange(len(fitted)), "error": total})
 
-        found = cells.mapInPandas(errors, "rank int, error double").groupBy("rank").agg(F.sum("error").alias("error"))
-        return min(found.collect(), key=lambda r: (r["error"], r["rank"]))["rank"]  # at most 6 rows
+        sums = cells.mapInPandas(errors, "rank int, error double").groupBy("rank").agg(F.sum("error").alias("error"))
+        return min(sums.collect(), key=lambda r: (r["error"], r["rank"]))["rank"]  # at most 6 rows
 
 
 class PcaImputerModel:
