@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from churnlake.operators import board, boosting, evaluate, explain, levels, models, penalty, prep, profile, tree_contributions
+from churnlake.operators import board, boosting, evaluate, explain, landmarks, levels, models, penalty, prep, profile, tree_contributions
 from churnlake.plans import roles
 from churnlake.plans.preparing import split_trips
 from churnlake.plans.registry import query
@@ -119,6 +120,45 @@ def _(spark, sf):
     return searched(spark, sf, "svm", models.grid(gamma=[0.05, 0.5], reg=[0.001]), metric="f1")
 
 
+# The grid of kernel widths and costs.
+GAMMAS, COSTS = [0.001, 0.005, 0.01, 0.05], [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
+LANDMARKS = 40
+
+
+def kernel_grid(spark, sf):
+    """The machines of the whole grid on two folds and on all training rows, with the rows they are fitted on."""
+    train, test = (d.withColumn("x", vector_to_array("features")) for d in prepared(spark, sf))
+    folded = checkpoint(models.add_folds(train, "retained", "orderkey", 2))
+    mean, sd = landmarks.scales(folded, "x")
+    marks = landmarks.Landmarks(landmarks.chosen_landmarks(folded, "x", LANDMARKS, mean, sd), mean, sd, GAMMAS)
+    return landmarks.fit_grid(folded, "retained", "x", marks, COSTS), folded, test
+
+
+@query("l3_kernel_grid")
+def _(spark, sf):
+    """Every width and cost: kernel error, best out-of-fold F1 over all thresholds, and whether the solution is stationary."""
+    machines, folded, _ = kernel_grid(spark, sf)
+    scores = checkpoint(machines.out_of_fold(folded, "retained", "orderkey", "fold", "x"))
+    f1 = {r["model"]: r["f1"] for r in board.best_f1(scores, ["model"], "retained").collect()}  # a row per model
+    rows = [(machines.name(i, j), g, c, f1.get(machines.name(i, j)), max(machines.slopes[i, j, f] for f in range(3)) <= 1e-6)
+            for i, g in enumerate(GAMMAS) for j, c in enumerate(COSTS)]
+    found = spark.createDataFrame(rows, "model string, gamma double, cost double, f1 double, stationary boolean")
+    return found.join(F.broadcast(machines.marks.errors(folded, "x")), "gamma")
+
+
+@query("l3_kernel_error_of_two_landmarks", with_ctes(TRIPS) + f""",
+tr AS (SELECT * FROM trips WHERE orderkey % 4 <> 0),
+z AS (SELECT (price - avg(price) OVER ()) / stddev_samp(price) OVER () AS a, (program - avg(program) OVER ()) / stddev_samp(program) OVER () AS b FROM tr),
+k AS (SELECT g, exp(-g * ((a + 1) ** 2 + b ** 2)) AS u, exp(-g * ((a - 0.5) ** 2 + (b - 1) ** 2)) AS v, exp(-g * 3.25) AS w
+      FROM z, (SELECT unnest({GAMMAS}::DOUBLE[]) AS g))
+SELECT g AS gamma, round(avg(1 - (u * u + v * v - 2 * w * u * v) / (1 - w * w)), 7) AS kernel_error FROM k GROUP BY 1""")
+def _(spark, sf):
+    """What two given landmarks leave out of the kernel of two numbers."""
+    train = split_trips(spark, sf)[0].select(F.array(F.col("price").cast("double"), F.col("program").cast("double")).alias("x"))
+    marks = landmarks.Landmarks(np.array([[-1.0, 0.0], [0.5, 1.0]]), *landmarks.scales(train, "x"), GAMMAS)
+    return rounded(marks.errors(train, "x"), kernel_error=7)
+
+
 @query("l4_gradient_boosting")
 def _(spark, sf):
     """Random search; a tenth of the rows tells when to stop adding trees."""
