@@ -6,15 +6,16 @@ Wide tables are profiled in one job: columns are unpivoted to
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlake.operators.ranking import first_per_group, group_quantiles
+from churnlake.operators.sums import array_sum
 from churnlake.session import broadcast_if_small, checkpoint
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -265,7 +266,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(var1, var2, value)`` for each unordered pair, rows with gaps left out; NULL for a constant column.
 
-    Tasks add up products of centred rows as small matrices; only these sums are shuffled.
+    Tasks add up products of centred rows as small matrices; the driver gets one number per pair of columns.
     """
     cols = sorted(cols)
     k = len(cols)
@@ -273,22 +274,15 @@ def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     means = complete.agg(*[F.avg(c).alias(c) for c in cols]).first()  # one number per column
     mean = np.array([m or 0.0 for m in means])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
-        for batch in batches:
-            z = batch.to_numpy(dtype=float) - mean
-            total += z.T @ z
-        i, j = np.triu_indices(k)
-        yield pd.DataFrame({"i": i, "j": j, "value": total[i, j]})
-
-    sums = complete.mapInPandas(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
-    own = sums.filter("i = j").select(F.col("i").alias("c"), "value")
-    names = F.array(*[F.lit(c) for c in cols])
-    size = F.sqrt(F.col("a.value")) * F.sqrt(F.col("b.value"))
-    # One row per pair of columns.
-    return sums.filter("i < j").alias("s").join(own.alias("a"), F.col("s.i") == F.col("a.c")).join(own.alias("b"), F.col("s.j") == F.col("b.c")).select(
-        F.element_at(names, F.col("i") + 1).alias("var1"), F.element_at(names, F.col("j") + 1).alias("var2"),
-        F.try_divide(F.col("s.value"), size).alias("value"))
+    def products(batch: pa.RecordBatch) -> np.ndarray:
+        z = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - mean
+        return z.T @ z
+
+    sums = array_sum(complete, products, k * k).reshape(k, k)
+    size = np.sqrt(np.diag(sums))
+    pairs = [(cols[i], cols[j], float(sums[i, j] / (size[i] * size[j])) if size[i] * size[j] > 0 else None)
+             for i in range(k) for j in range(i + 1, k)]
+    return df.sparkSession.createDataFrame(pairs, "var1 string, var2 string, value double")
 
 
 def correlated_pairs(df: DataFrame, cols: Sequence[str], low: float = 0.8) -> DataFrame:

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import LDA
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake.operators.ranking import first_per_group
+from churnlake.operators.sums import array_sum
 from churnlake.operators.texts import dense_index
-from churnlake.session import checkpoint
+from churnlake.session import checkpoint, stored
+
+# Most bytes of the term factor that tasks get whole; beyond it, factors stay distributed.
+FACTOR_BYTES = 16 << 20
 
 
 @dataclass
 class Lsa:
+    """``residuals`` are ``|A'A v - s^2 v| / s^2`` of each component; factors that stay distributed have none."""
+
     singular_values: list[float]
     terms: DataFrame       # term, t0, t1, ...
     projection: DataFrame  # doc, t0, t1, ...
+    residuals: list[float] | None = None
 
     @property
     def names(self) -> list[str]:
@@ -75,16 +83,84 @@ def _whitener(gram: np.ndarray) -> np.ndarray:
     return (vectors[:, keep] / np.sqrt(values[keep]))[:, ::-1]
 
 
-def lsa(tfidf: DataFrame, doc: str, k: int = 30, oversample: int = 8, n_iter: int = 4, seed: int = 1,
-        max_broadcast: int = 20_000) -> Lsa:
-    """Truncated SVD by subspace iteration.
+def _signs(terms: DataFrame, names: list[str]) -> np.ndarray:
+    """A component's sign is free: its largest entry is made positive."""
+    peak = terms.agg(*[F.max(F.struct(F.abs(c).alias("a"), F.col("term").alias("t"), F.signum(c).alias("s"))).alias(c)
+                       for c in names]).first()  # one row of signs
+    return np.array([-1.0 if peak[c] and peak[c]["s"] < 0 else 1.0 for c in names])
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of each entry of a block of documents."""
+    cells = batch.column(batch.schema.get_field_index("cells"))
+    row = np.repeat(np.arange(batch.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
+    flat = cells.flatten()
+    return row, flat.field("id").to_numpy(zero_copy_only=False), flat.field("weight").to_numpy(zero_copy_only=False)
+
+
+def _times(entries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, q: np.ndarray) -> np.ndarray:
+    """A block of documents times a term factor, column by column, so that memory follows the entries."""
+    row, term, weight = entries
+    return np.stack([np.bincount(row, weight * q[term, c], n) for c in range(q.shape[1])], axis=1)
+
+
+def _with_columns(df: DataFrame, key: str, names: list[str], of: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The key of ``df`` with the columns of a small matrix for each batch."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = of(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), *[
+                pa.array(np.ascontiguousarray(x[:, c])) for c in range(len(names))]], names=[key, *names])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.mapInArrow(apply, f"`{key}` {kind}, " + ", ".join(f"{c} double" for c in names))
 
-    The term and document factors stay distributed; only inner products of the
-    ``k + oversample`` columns come to the driver.
+
+def _lsa_by_blocks(long: DataFrame, doc: str, index: DataFrame, size: int, k: int, width: int,
+                   n_iter: int, seed: int, tolerance: float) -> Lsa:
+    """Documents lie in blocks with all their terms, so that both products of a round are one pass.
+
+    A task sends the sum of its blocks once; nothing else is shuffled in a round. The factors of all
+    rounds and their images span the space that is searched: the driver holds ``2 * n_iter`` factors at most.
     """
-    long = checkpoint(tfidf.select(doc, "term", "weight"))
+    blocks = stored(long.join(index, "term").groupBy(doc).agg(
+        F.collect_list(F.struct(F.col("id").cast("int").alias("id"), F.col("weight").cast("double").alias("weight"))).alias("cells")), "topics")
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
+    basis, images = np.zeros((size, 0)), np.zeros((size, 0))
+    for _ in range(n_iter):
+        def both(batch: pa.RecordBatch, q=q) -> np.ndarray:
+            row, term, weight = entries = _entries(batch)
+            y = _times(entries, batch.num_rows, q)
+            return np.stack([np.bincount(term, weight * y[row, c], size) for c in range(q.shape[1])], axis=1)
+
+        z = array_sum(blocks, both, q.size).reshape(q.shape)
+        basis, images = np.hstack([basis, q]), np.hstack([images, z])
+        inner = basis.T @ images
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        values, vectors = np.maximum(values[::-1][:k], 0.0), vectors[:, ::-1][:, :k]
+        values[values <= values[0] * 1e-12] = 0.0  # directions that the matrix has not
+        found = basis @ vectors
+        off = np.linalg.norm(images @ vectors - found * values, axis=0)
+        if (off <= tolerance * np.maximum(values, values[0] * 1e-9)).all():
+            break
+        for _ in range(2):  # once more for what rounding leaves
+            z = z - basis @ (basis.T @ z)
+        fresh, length, _ = np.linalg.svd(z, full_matrices=False)
+        q = fresh[:, (length > 1e-10 * values[0])][:, :size - basis.shape[1]]
+        if not q.shape[1]:
+            break
+    names = [f"t{i}" for i in range(found.shape[1])]
+    of_terms = lambda batch, v: v[batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)]
+    found = found * _signs(_with_columns(index, "term", names, lambda batch: of_terms(batch, found)), names)
+    return Lsa([float(v) for v in np.sqrt(values)], _with_columns(index, "term", names, lambda batch: of_terms(batch, found)),
+               _with_columns(blocks, doc, names, lambda batch: _times(_entries(batch), batch.num_rows, found)),
+               [float(o / v) if v > 0 else 0.0 for o, v in zip(off, values)])
+
+
+def _lsa_by_joins(long: DataFrame, doc: str, k: int, width: int, n_iter: int, seed: int, max_broadcast: int) -> Lsa:
+    """Term and document factors stay distributed; only inner products of the columns come to the driver."""
     few = {c: long.select(c).distinct().count() <= max_broadcast for c in ("term", doc)}
-    names = [f"t{i}" for i in range(k + oversample)]
+    names = [f"t{i}" for i in range(width)]
     start = long.select("term").distinct().select(
         "term", *[(F.pmod(F.xxhash64("term", F.lit(seed), F.lit(i)), F.lit(20001)) / 10000.0 - 1).alias(c)
                   for i, c in enumerate(names)])
@@ -101,15 +177,28 @@ def lsa(tfidf: DataFrame, doc: str, k: int = 30, oversample: int = 8, n_iter: in
     values, vectors = np.linalg.eigh(_gram(y, names))
     values, vectors = np.maximum(values[::-1][:k], 0.0), vectors[:, ::-1][:, :k]
     out = [f"t{i}" for i in range(vectors.shape[1])]
-    terms = _rotate(q, "term", names, vectors, out)
-    # A component's sign is free: its largest entry is made positive.
-    peak = terms.agg(*[F.max(F.struct(F.abs(c).alias("a"), F.col("term").alias("t"), F.signum(c).alias("s"))).alias(c)
-                       for c in out]).first()  # one row of k signs
-    signs = np.diag([-1.0 if peak[c] and peak[c]["s"] < 0 else 1.0 for c in out])
+    signs = np.diag(_signs(_rotate(q, "term", names, vectors, out), out))
     return Lsa([float(v) for v in np.sqrt(values)], _rotate(q, "term", names, vectors @ signs, out),
                _rotate(y, doc, names, vectors @ signs, out))
 
 
+def lsa(tfidf: DataFrame, doc: str, k: int = 30, oversample: int = 8, n_iter: int = 12, seed: int = 1,
+        max_broadcast: int = 20_000, factor_bytes: int = FACTOR_BYTES, tolerance: float = 1e-3) -> Lsa:
+    """Truncated SVD, until the residuals of all components are small or rounds are used up.
+
+    A term factor of at most ``factor_bytes`` goes to tasks whole, and a round is one pass over blocks of
+    documents. A larger one is joined to the entries by term (subspace iteration, four rounds at most). A document's terms are
+    one row, bounded by its text. An empty table has no components.
+    """
+    long = checkpoint(tfidf.select(doc, "term", "weight"))
+    index = checkpoint(dense_index(long, "term", "id"))
+    size = index.count()
+    width = k + oversample
+    if 0 < size * width * 8 <= factor_bytes:
+        return _lsa_by_blocks(long, doc, index, size, min(k, size), min(width, size), n_iter, seed, tolerance)
+    return _lsa_by_joins(long, doc, k, width, min(n_iter, 4), seed, max_broadcast)
+
+
 def topic_terms(model: Lsa, n: int = 7) -> DataFrame:
     """``(topic, position, term, weight)``: the strongest terms of each component."""
     long = model.terms.unpivot(["term"], model.names, "topic", "weight")
@@ -134,12 +223,12 @@ def lda(counts: DataFrame, doc: str, k: int = 10, max_iter: int = 10, seed: int
     The expectation-maximisation form keeps words and documents distributed; a
     document's words form one sparse vector, bounded by its one text.
     """
-    stored = checkpoint(counts.select(doc, "term", "tf"))
-    index = checkpoint(dense_index(stored, "term", "id"))
+    words = checkpoint(counts.select(doc, "term", "tf"))
+    index = checkpoint(dense_index(words, "term", "id"))
     size = index.count()
-    vectors = stored.join(index, "term").groupBy(doc).agg(
+    vectors = words.join(index, "term").groupBy(doc).agg(
         _sparse(F.lit(size), F.collect_list(F.struct("id", "tf"))).alias("features"))
-    numbers = dense_index(stored, doc, "number")
+    numbers = dense_index(words, doc, "number")
     rows = vectors.join(numbers, doc).select(F.col("number").cast("long").alias("id"), "features")
     model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="em", featuresCol="features",
                 docConcentration=[doc_concentration], topicConcentration=topic_concentration).fit(rows)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from churnlake.operators import levels, prep, profile, sentiment, texts, topics
 from churnlake.operators.side_by_side import silhouettes
 from churnlake.plans import roles
-from churnlake.plans.registry import query
-from churnlake.plans.roles import CRM, FINANCE, TRIPS, rounded, with_ctes
-from churnlake.plans.texts import message_counts, message_tfidf, message_tokens, part_of_speech
+from churnlake.plans.registry import ORACLES, query
+from churnlake.plans.roles import CRM, FINANCE, MESSAGES, TRIPS, rounded, table, with_ctes
+from churnlake.plans.texts import COUNTS, STATS, TFIDF, TOKENS, message_counts, message_tfidf, message_tokens, part_of_speech, scored_messages
 from churnlake.session import checkpoint
 
 
@@ -42,6 +42,87 @@ def _(spark, sf):
     return sentiment.customer_features(flagged, "customer_id", {}, (), names)
 
 
+@query("t9_lsa_residuals")
+def _(spark, sf):
+    """How far each component is from a singular vector: ``|A'A v - s^2 v| / s^2``."""
+    model = topics.lsa(message_tfidf(spark, sf), "doc_id", 30)
+    rows = [(i, s, r) for i, (s, r) in enumerate(zip(model.singular_values, model.residuals or []))]
+    return spark.createDataFrame(rows, "component int, singular_value double, residual double")
+
+
+# The components of two terms have a closed form.
+TWO_TERMS = """two AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS p FROM tc GROUP BY term
+  ORDER BY count(*) DESC, term LIMIT 2),
+xy AS (SELECT doc_id, coalesce(sum(weight) FILTER (p = 1), 0) AS x, coalesce(sum(weight) FILTER (p = 2), 0) AS y
+       FROM tfidf JOIN two USING (term) GROUP BY doc_id),
+gram AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS d FROM xy),
+eig AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS l1, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS l2 FROM gram),
+v1 AS (SELECT b / sqrt(b * b + (l1 - a) ** 2) AS vx, (l1 - a) / sqrt(b * b + (l1 - a) ** 2) AS vy FROM eig),
+vec AS (SELECT vx, vy, CASE WHEN vy >= vx THEN vy ELSE -vy END AS ux, CASE WHEN vy >= vx THEN -vx ELSE vx END AS uy FROM v1)"""
+TWO = (MESSAGES, TOKENS, COUNTS, TFIDF, TWO_TERMS)
+
+
+def two_term_model(spark, sf):
+    """The components of the two terms that most messages hold, weighted as among all terms."""
+    weights = checkpoint(message_tfidf(spark, sf))
+    two = weights.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(2)
+    return topics.lsa(weights.join(F.broadcast(two.select("term")), "term"), "doc_id", 2)
+
+
+@query("t9_lsa_two_terms", with_ctes(*TWO) + """
+SELECT CAST(0 AS INTEGER) AS component, round(sqrt(l1), 7) AS singular_value FROM eig
+UNION ALL SELECT CAST(1 AS INTEGER), round(sqrt(l2), 7) FROM eig""")
+def _(spark, sf):
+    rows = [(i, round(v, 7)) for i, v in enumerate(two_term_model(spark, sf).singular_values)]
+    return spark.createDataFrame(rows, "component int, singular_value double")
+
+
+@query("o3_two_terms_by_topic", with_ctes(*TWO) + """,
+w AS (SELECT 't0' AS topic, p, vx AS weight FROM vec, two WHERE p = 1 UNION ALL SELECT 't0', p, vy FROM vec, two WHERE p = 2
+      UNION ALL SELECT 't1', p, ux FROM vec, two WHERE p = 1 UNION ALL SELECT 't1', p, uy FROM vec, two WHERE p = 2)
+SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS INTEGER) AS position, term, round(weight, 7) AS weight
+FROM w JOIN two USING (p)""")
+def _(spark, sf):
+    return rounded(topics.topic_terms(two_term_model(spark, sf), 7), weight=7)
+
+
+TWO_TERM_FLAGS = with_ctes(*TWO) + """
+SELECT customer_id, count(*) AS num_texts, CAST(sum(CAST(x * vx + y * vy >= 0.1 AS INTEGER)) AS BIGINT) AS topic_0,
+       CAST(sum(CAST(x * ux + y * uy >= 0.1 AS INTEGER)) AS BIGINT) AS topic_1
+FROM xy JOIN messages USING (doc_id), vec GROUP BY customer_id"""
+
+
+@query("t11_two_term_flags", TWO_TERM_FLAGS)
+def _(spark, sf):
+    """Flags of the messages that hold one of the two terms, summed per customer."""
+    flagged = topics.flags(two_term_model(spark, sf), "doc_id").join(roles.messages(spark, sf).select("doc_id", "customer_id"), "doc_id")
+    return sentiment.customer_features(flagged, "customer_id", {}, (), ("topic_0", "topic_1"))
+
+
+def features_with_topics(spark, sf, model):
+    """Statistics of the scores and sums of the topic flags of each customer, 0 where there are none."""
+    flags = topics.flags(model, "doc_id")
+    names = [c for c in flags.columns if c != "doc_id"]
+    scores = scored_messages(spark, sf).withColumn("length", F.col("length").cast("double")).join(flags, "doc_id", "left").fillna(0, subset=names)
+    cols = {"polarity": "pol", "sentiment": "sent", "subjectivity": "sub", "length": "len"}
+    features = sentiment.customer_features(scores, "customer_id", cols, STATS, names)
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"))
+    out = sentiment.attach_features(customers, features, "customer_id")
+    return rounded(out, **{f"{c}_{s}": 11 for c in cols.values() for s in ("min", "mean", "max", "med")})
+
+
+@query("t16_features_with_topic_sums")
+def _(spark, sf):
+    return features_with_topics(spark, sf, topics.lsa(message_tfidf(spark, sf), "doc_id", 30))
+
+
+@query("t16_features_with_two_term_sums", f"""
+SELECT t.*, coalesce(topic_0, 0) AS topic_0, coalesce(topic_1, 0) AS topic_1
+FROM ({ORACLES['t16_customer_text_features']}) t LEFT JOIN ({TWO_TERM_FLAGS}) f USING (customer_id)""")
+def _(spark, sf):
+    return features_with_topics(spark, sf, two_term_model(spark, sf))
+
+
 @query("t12_lda_topics")
 def _(spark, sf):
     return topics.lda(message_counts(spark, sf), "doc_id", 10, 10)

@@ -186,7 +186,8 @@ def test_lsa_equals_dense_svd(spark):
     for r in rows:
         dense[r.doc, terms.index(r.term)] = r.weight
     model = topics.lsa(long, "doc", k=2, n_iter=6)
-    shuffled = topics.lsa(long, "doc", k=2, n_iter=6, max_broadcast=0)
+    shuffled = topics.lsa(long, "doc", k=2, n_iter=6, max_broadcast=0, factor_bytes=0)
+    assert max(model.residuals) <= 1e-3 and shuffled.residuals is None
     assert model.singular_values == pytest.approx(shuffled.singular_values)
     assert model.singular_values == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:2], rel=1e-4)
     projection = np.array([r[1:] for r in sorted(model.projection.collect())])
@@ -199,6 +200,24 @@ def test_lsa_equals_dense_svd(spark):
     assert flags.columns == ["doc", "topic_0", "topic_1"]
 
 
+def test_lsa_of_flat_spectra_and_of_all_components(spark):
+    """Components of like strength, more components asked for than there are, and an empty table."""
+    r = np.random.default_rng(5)
+    dense = (r.random((300, 90)) < 0.1) * r.random((300, 90))
+    long = spark.createDataFrame([(int(d), f"w{t:02d}", float(dense[d, t])) for d, t in zip(*dense.nonzero())], "doc int, term string, weight double")
+    exact = np.linalg.svd(dense, compute_uv=False)
+    model = topics.lsa(long, "doc", k=8, oversample=4, n_iter=20, tolerance=1e-6)
+    assert max(model.residuals) <= 1e-6
+    assert model.singular_values == pytest.approx(exact[:8], rel=1e-9)
+    whole = topics.lsa(long, "doc", k=200, oversample=0)
+    assert whole.singular_values == pytest.approx(exact, rel=1e-9)
+    few = topics.lsa(long.filter("doc < 3"), "doc", k=5)
+    assert few.singular_values == pytest.approx([*np.linalg.svd(dense[:3], compute_uv=False), 0, 0], abs=1e-6)
+    assert few.residuals == pytest.approx([0] * 5, abs=1e-3)
+    again = topics.lsa(long, "doc", k=8, oversample=4, n_iter=20, tolerance=1e-6)
+    assert again.singular_values == pytest.approx(model.singular_values, rel=1e-9)
+
+
 def test_lda_separates_vocabularies(spark):
     counts = two_vocabularies(spark).select("doc", "term", F.col("weight").cast("long").alias("tf"))
     got = topics.lda(counts, "doc", k=2, max_iter=30, n_terms=5).collect()
