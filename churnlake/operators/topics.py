@@ -24,12 +24,15 @@ FACTOR_BYTES = 16 << 20
 
 @dataclass
 class Lsa:
-    """``residuals`` are ``|A'A v - s^2 v| / s^2`` of each component; factors that stay distributed have none."""
-
     singular_values: list[float]
     terms: DataFrame       # term, t0, t1, ...
     projection: DataFrame  # doc, t0, t1, ...
-    residuals: list[float] | None = None
+    measure: Callable[[], list[float]]
+
+    @property
+    def residuals(self) -> list[float]:
+        """``|A'A v - s^2 v| / s^2`` of each component; distributed factors are multiplied once more for it."""
+        return self.measure()
 
     @property
     def names(self) -> list[str]:
@@ -154,7 +157,7 @@ def _lsa_by_blocks(long: DataFrame, doc: str, index: DataFrame, size: int, k: in
     found = found * _signs(_with_columns(index, "term", names, lambda batch: of_terms(batch, found)), names)
     return Lsa([float(v) for v in np.sqrt(values)], _with_columns(index, "term", names, lambda batch: of_terms(batch, found)),
                _with_columns(blocks, doc, names, lambda batch: _times(_entries(batch), batch.num_rows, found)),
-               [float(o / v) if v > 0 else 0.0 for o, v in zip(off, values)])
+               lambda: [float(o / v) if v > 0 else 0.0 for o, v in zip(off, values)])
 
 
 def _lsa_by_joins(long: DataFrame, doc: str, k: int, width: int, n_iter: int, seed: int, max_broadcast: int) -> Lsa:
@@ -178,8 +181,15 @@ def _lsa_by_joins(long: DataFrame, doc: str, k: int, width: int, n_iter: int, se
     values, vectors = np.maximum(values[::-1][:k], 0.0), vectors[:, ::-1][:, :k]
     out = [f"t{i}" for i in range(vectors.shape[1])]
     signs = np.diag(_signs(_rotate(q, "term", names, vectors, out), out))
-    return Lsa([float(v) for v in np.sqrt(values)], _rotate(q, "term", names, vectors @ signs, out),
-               _rotate(y, doc, names, vectors @ signs, out))
+    terms, projection = (_rotate(df, key, names, vectors @ signs, out) for df, key in ((q, "term"), (y, doc)))
+
+    def residuals() -> list[float]:
+        image = _multiply(long, projection, doc, "term", out, few[doc])
+        both = image.join(terms.select("term", *[F.col(c).alias(f"v_{c}") for c in out]), "term")
+        square = both.agg(*[F.sum((F.col(c) - float(v) * F.col(f"v_{c}")) ** 2).alias(c) for c, v in zip(out, values)]).first()
+        return [float(np.sqrt(square[c]) / v) if v > 0 else 0.0 for c, v in zip(out, values)]
+
+    return Lsa([float(v) for v in np.sqrt(values)], terms, projection, residuals)
 
 
 def lsa(tfidf: DataFrame, doc: str, k: int = 30, oversample: int = 8, n_iter: int = 12, seed: int = 1,

@@ -46,7 +46,7 @@ def _(spark, sf):
 def _(spark, sf):
     """How far each component is from a singular vector: ``|A'A v - s^2 v| / s^2``."""
     model = topics.lsa(message_tfidf(spark, sf), "doc_id", 30)
-    rows = [(i, s, r) for i, (s, r) in enumerate(zip(model.singular_values, model.residuals or []))]
+    rows = [(i, s, r) for i, (s, r) in enumerate(zip(model.singular_values, model.residuals))]
     return spark.createDataFrame(rows, "component int, singular_value double, residual double")
 
 

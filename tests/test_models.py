@@ -187,7 +187,7 @@ def test_lsa_equals_dense_svd(spark):
         dense[r.doc, terms.index(r.term)] = r.weight
     model = topics.lsa(long, "doc", k=2, n_iter=6)
     shuffled = topics.lsa(long, "doc", k=2, n_iter=6, max_broadcast=0, factor_bytes=0)
-    assert max(model.residuals) <= 1e-3 and shuffled.residuals is None
+    assert max(model.residuals) <= 1e-3 and max(shuffled.residuals) <= 1e-2
     assert model.singular_values == pytest.approx(shuffled.singular_values)
     assert model.singular_values == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:2], rel=1e-4)
     projection = np.array([r[1:] for r in sorted(model.projection.collect())])
