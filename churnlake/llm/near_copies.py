@@ -5,7 +5,8 @@ Each vertex has minwise values; independent trees branch it recursively: at a no
 own hash chooses coordinates, and the values there name the child nodes. Similar sets choose
 the same children, so they meet in some node. Nodes that are still large branch on, then go
 to blocks. Members of a node are compared exhaustively by short sketches, and what may be linked
-joins a candidate group. Each group is then compared exhaustively on the full sets, in blocks if
+joins a candidate group; in a node of several blocks, all members that the blocks left outside the
+node's largest candidate group are then compared with every block. Each group is then compared exhaustively on the full sets, in blocks if
 it is large: blocks first, then one member of each class found, then all members outside the
 largest class with every block. So sketches only decide who is compared, and no link between
 members of a group is lost.
@@ -123,10 +124,11 @@ def _small(some: DataFrame) -> DataFrame:
 
 
 def node_rows(vertices: DataFrame) -> DataFrame:
-    """``(node, sid, sketch)``: each vertex in all its nodes; large nodes are branched on, at last cut into blocks.
+    """``(node, sid, sketch, whole, blocks, block)``: each vertex in all its nodes; large nodes are branched on, at last cut into blocks.
 
     Below a large node one coordinate after another names a child, the same for all its members,
-    so the sizes at all further levels are counted at once.
+    so the sizes at all further levels are counted at once. Blocks of a node have its name in ``whole``;
+    elsewhere that is null.
     """
     def reached(some: DataFrame) -> DataFrame:
         out = some.select("sid", *PARTS, F.explode(arrow_udf(_paths, "array<bigint>")("sid", "sig")).alias("n0"))
@@ -141,14 +143,16 @@ def node_rows(vertices: DataFrame) -> DataFrame:
     every = reached(vertices)
     n = large.count()
     if not n:
-        return every.select("sid", *PARTS, F.col("n0").alias("node"))
+        none = [F.lit(None).cast("bigint").alias(c) for c in ("whole", "blocks", "block")]
+        return every.select("sid", *PARTS, F.col("n0").alias("node"), *none)
     for c in levels:
         mine = large.select(F.col("big").alias(f"big_{c}"), F.col("size").alias(f"size_{c}"))
         every = every.join(F.broadcast(mine) if n <= BROADCAST_ROWS else mine, F.col(c) == F.col(f"big_{c}"), "left")
     last = levels[-1]
-    node = F.coalesce(*[F.when(F.col(f"big_{c}").isNull(), F.col(c)) for c in levels], F.xxhash64(
-        last, F.pmod(F.xxhash64("sid", last), F.ceil(F.col(f"size_{last}") / F.lit(NODE_BLOCK)))))
-    return every.select("sid", *PARTS, node.alias("node"))
+    small = F.coalesce(*[F.when(F.col(f"big_{c}").isNull(), F.col(c)) for c in levels])
+    cut = every.withColumns({"small": small, "blocks": F.when(small.isNull(), F.ceil(F.col(f"size_{last}") / F.lit(NODE_BLOCK)))})
+    cut = cut.withColumns({"whole": F.when(F.col("small").isNull(), F.col(last)), "block": F.pmod(F.xxhash64("sid", last), "blocks")})
+    return cut.select("sid", *PARTS, F.coalesce("small", F.xxhash64("whole", "block")).alias("node"), "whole", "blocks", "block")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int = 32 << 20) -> Iterator[pa.Table]:
@@ -181,8 +185,8 @@ def _numbers(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _roots(group: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The least row that each row reaches along rows of its group whose sketches agree enough.
+def _roots(group: np.ndarray, sketch: np.ndarray, asking: np.ndarray) -> np.ndarray:
+    """The least row that each row reaches along rows of its group whose sketches agree enough, one of which asks.
 
     Rows are compared at one distance after another, and only if they aren't joined yet, so no
     list of pairs is held.
@@ -193,7 +197,7 @@ def _roots(group: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     while len(left):
         left = left[left + d < len(group)]
         left = left[group[left] == group[left + d]]
-        i = left[root[left] != root[left + d]]
+        i = left[(root[left] != root[left + d]) & (asking[left] | asking[left + d])]
         near = (sketch[i] == sketch[i + d]).sum(axis=1) >= LEAST_EQUAL
         root = components.joined(root, i[near], i[near] + d)
         d += 1
@@ -204,11 +208,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that agree with others of their node, each with one of them: enough to connect all that agree."""
     for table in _groups(batches, ["node"], 1 << 15):
         group = _numbers(table, ["node"])
-        start = np.searchsorted(group, group)
-        # A node that its size estimate left too large is compared in blocks.
-        _, group = np.unique(group * (1 << 32) + (np.arange(len(group)) - start) // (2 * NODE_BLOCK), return_inverse=True)
         sketch = np.stack([table[c].to_numpy() for c in PARTS], axis=1).view(np.uint8)
-        root = _roots(group, sketch)
+        root = _roots(group, sketch, table["asking"].to_numpy(zero_copy_only=False))
         at = np.flatnonzero(root != np.arange(len(root)))
         # What several nodes of this task connect is handed on as one link for each vertex.
         sid = table["sid"].to_numpy()
@@ -279,6 +280,33 @@ def _grouped(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return rows.repartition(shuffle_width(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def candidates(vertices: DataFrame) -> DataFrame:
+    """``(node, cand)``: each vertex whose sketch agrees with another's in a node, and the least one that it reaches so."""
+    def compared(rows: DataFrame) -> DataFrame:
+        return checkpoint(_grouped(rows.select("node", "sid", *PARTS, "asking"), ["node"], _candidates, PAIR))
+
+    every = node_rows(vertices)
+    maybe = compared(every.withColumn("asking", F.lit(True)))
+    cand = components.roots(maybe, "a", "b")
+    cut = checkpoint(every.filter("whole is not null").select("sid", *PARTS, "whole", "blocks", "block"))
+    if not cut.isEmpty():
+        # What the blocks of a node left apart: all members outside its largest class ask every block.
+        own = cut.join(cand, F.col("sid") == F.col("node"), "left").withColumn("class", F.coalesce("root", "sid"))
+        sizes = own.groupBy(F.col("whole").alias("w"), "class").agg(F.count(F.lit(1)).alias("size"))
+        most = sizes.groupBy("w").agg(F.max_by("class", F.struct("size", "class")).alias("main"), (F.sum("size") - F.max("size")).alias("rest"))
+        ready = checkpoint(own.join(most.filter("rest > 0").withColumn("chunks", F.ceil(F.col("rest") / F.lit(NODE_BLOCK))), F.col("whole") == F.col("w")))
+        if not ready.isEmpty():
+            none = F.lit(0).cast("bigint")
+            member = ready.select("sid", *PARTS, "whole", F.lit(False).alias("asking"), F.col("block").alias("p"), F.explode(F.sequence(none, F.col("chunks") - 1)).alias("q"))
+            asker = ready.filter(F.col("class") != F.col("main")).select(
+                "sid", *PARTS, "whole", F.lit(True).alias("asking"), F.explode(F.sequence(none, F.col("blocks") - 1)).alias("p"), F.pmod(F.xxhash64("sid", F.lit(5)), "chunks").alias("q"))
+            # An asking member stands once in its own block, as one that asks.
+            dealt = member.union(asker).groupBy("sid", *PARTS, "whole", "p", "q").agg(F.max("asking").alias("asking"))
+            more = compared(dealt.withColumn("node", F.xxhash64("whole", "p", "q")))
+            cand = components.roots(more.union(cand.select("node", "root")), "a", "b")
+    return cand.select("node", F.col("root").alias("cand"))
+
+
 def links(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """``(rows, labels)``: each row's vertex ``sid`` and set size ``n``, and ``(sid, root)`` of linked vertices.
 
@@ -295,8 +323,7 @@ def links(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> tuple
         F.coalesce("text", F.lit(""))).alias("s")).select(key, "tid", "s.*"))
     vertices = checkpoint(rows.filter("n > 0").groupBy("sid").agg(
         *(F.first(c).alias(c) for c in ("n", "sig", *PARTS)), F.min(F.struct(F.col(key), "tid")).alias("at")))
-    maybe = checkpoint(_grouped(node_rows(vertices), ["node"], _candidates, PAIR))
-    cand = components.roots(maybe, "a", "b").select("node", F.col("root").alias("cand"))
+    cand = candidates(vertices)
     group = vertices.join(cand, F.col("sid") == F.col("node")).select("sid", "n", "at", "cand")
     blocks = group.groupBy(F.col("cand").alias("c")).agg(F.ceil(F.greatest(
         F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("blocks"))
