@@ -144,3 +144,24 @@ def test_contributions_equal_all_subsets(ready, family, params):
     if family == "dt":
         scored = model.score(ready).join(out.groupBy("key").agg(F.sum("contribution").alias("t")), "key")
         assert scored.select(F.max(F.abs(F.col("pred") - F.col("t") - told.base))).first()[0] < 1e-9
+
+
+def test_start_on_a_part_of_the_rows_gives_the_same_solutions(ready, path, monkeypatch):
+    """Also where the part is a poor guide, each solution is stationary on all rows."""
+    monkeypatch.setattr(penalty, "START", 400)
+    other = penalty.penalty_path(ready, "y", ALPHAS, n_lambdas=8)
+    assert np.allclose(other.lambdas, path.lambdas) and np.allclose(other.coefficients, path.coefficients, atol=1e-6)
+    monkeypatch.setattr(penalty, "ENOUGH", 10 ** 9)  # too few rows to start from
+    third = penalty.penalty_path(ready, "y", ALPHAS, n_lambdas=8)
+    assert np.array_equal(third.coefficients, path.coefficients)
+
+
+def test_few_passes_over_many_rows(spark, monkeypatch):
+    """A start on a part of the rows leaves a few passes of gradients over all of them."""
+    df = spark.range(40_000).withColumnRenamed("id", "key").withColumns({f"x{i}": hashed(i) for i in range(1, 4)})
+    df = df.withColumn("y", (F.col("x1") + hashed(8) > 1.0).cast("int"))
+    many = checkpoint(models.add_folds(prep.feature_pipeline([], ["x1", "x2", "x3"]).fit(df).transform(df).select("key", "y", "features"), "y", "key", 2))
+    monkeypatch.setattr(penalty, "START", 8_000)
+    path = penalty.penalty_path(many, "y", ALPHAS, n_lambdas=8)
+    assert path.passes <= 8
+    assert penalty.violations(path, many, "y", list(itertools.product(range(4), range(8)))).agg(F.max("violation")).first()[0] < 1e-8
