@@ -65,19 +65,30 @@ def _spread(h: np.ndarray, seed: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(33))) >> np.uint64(11)).astype(float) / (1 << 53)
 
 
-def _leaf_of(tree: list[Node], bins: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(bins), np.int64)
-    feature, place, left, right = (np.array([getattr(n, c) for n in tree]) for c in ("feature", "place", "left", "right"))
-    while True:
-        inner = np.flatnonzero(feature[at] >= 0)
-        if not len(inner):
-            return at
-        k = at[inner]
-        at[inner] = np.where(bins[inner, feature[k]] <= place[k], left[k], right[k])
+def _bytes(column: pa.Array, kind: type) -> np.ndarray:
+    """The numbers that the bytes of a binary column without nulls hold, one row after the other."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, kind)
+    ends = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(kind)
 
 
-def _grown(tree: list[Node], bins: np.ndarray) -> np.ndarray:
-    return np.array([n.value for n in tree])[_leaf_of(tree, bins)]
+def _down(tree: list[Node], columns: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of the leaf that each row comes to; ``columns`` holds the bins feature by feature."""
+    def of(i: int):
+        n = tree[i]
+        return values[i] if n.feature < 0 else np.where(columns[n.feature] <= n.place, of(n.left), of(n.right))
+
+    return np.broadcast_to(of(0), columns.shape[1])
+
+
+def _leaf_of(tree: list[Node], columns: np.ndarray) -> np.ndarray:
+    return _down(tree, columns, np.arange(len(tree)))
+
+
+def _grown(tree: list[Node], columns: np.ndarray) -> np.ndarray:
+    return _down(tree, columns, np.array([n.value for n in tree]))
 
 
 def quantile_cuts(train: DataFrame, bins: int, features: str = "features", error: float = 1e-3) -> list[np.ndarray]:
@@ -118,44 +129,61 @@ def boosted(train: DataFrame, label: str, key: str, candidates: Sequence[Mapping
     order = {b: i for i, b in enumerate(by_bins)}
 
     def opened(batch: pa.RecordBatch):
-        flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(batch.num_rows, len(by_bins), k)
+        flat = _bytes(batch.column(0), np.uint16).reshape(batch.num_rows, len(by_bins), k)
         y, f = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        return flat, y, f, batch.column(3).to_numpy().view(np.uint64), np.frombuffer(b"".join(batch.column(4).to_pylist())).reshape(batch.num_rows, -1)
+        return flat, y, f, batch.column(3).to_numpy().view(np.uint64), _bytes(batch.column(4), np.float64).reshape(batch.num_rows, -1)
 
-    def margin(job: Job, no: int, bins: np.ndarray, kept: np.ndarray, since: int, upto: int) -> np.ndarray:
-        z = kept[:, no] if kept.shape[1] else np.full(len(bins), job.start)
+    def margin(job: Job, no: int, columns: np.ndarray, kept: np.ndarray, since: int, upto: int) -> np.ndarray:
+        z = kept[:, no] if kept.shape[1] else np.full(columns.shape[1], job.start)
         for tree in job.trees[since:upto]:
-            z = z + _grown(tree, bins)
+            z = z + _grown(tree, columns)
         return z
 
-    width = k * most
-
-    def histograms(now: list[tuple[int, Job]], since: int) -> np.ndarray:
-        """By job: held-out loss and rows, then rows, gradients and Hessians by open node, feature and bin."""
-        sizes = [2 + 3 * width * len(job.open_) for _, job in now]
+    def histograms(now: list[tuple[int, Job]], since: int, level: int) -> list[tuple[float, float, np.ndarray]]:
+        """By job: held-out loss and rows (before the first split), then rows, gradients and Hessians by open node, feature of its tree and bin."""
+        shapes = [(len(_in_tree(job, k)), len(job.open_), most) for _, job in now]
+        sizes = [2 + 3 * math.prod(x) for x in shapes]
 
         def of(batch: pa.RecordBatch) -> np.ndarray:
             flat, y, f, h, kept = opened(batch)
+            outside = _spread(h, 77) < held
+            columns = np.ascontiguousarray(flat.transpose(1, 2, 0))
             out = []
-            for no, job in now:
-                bins, p = flat[:, order[job.params["bins"]]], job.params
+            for (no, job), shape in zip(now, shapes):
+                bins, p = columns[order[job.params["bins"]]], job.params
                 t = len(job.trees) - 1
-                z = margin(job, no, bins, kept, since, t)
-                q = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-                outside = _spread(h, 77) < held
-                loss = np.logaddexp(0, z) - y * z
-                test = outside & (f != job.skip)
-                slot = np.full(len(job.trees[t]), -1)
-                slot[job.open_] = np.arange(len(job.open_))
-                node = slot[_leaf_of(job.trees[t], bins)]
-                use = np.flatnonzero((node >= 0) & ~outside & (f != job.skip) & (_spread(h, job.seed * 7919 + t) < p["sample"]))
-                at = ((node[use, None] * k + np.arange(k)) * most + bins[use]).ravel()
-                sums = [np.bincount(at, np.repeat(w[use], k), width * len(job.open_)) for w in (np.ones(len(y)), q - y, q * (1 - q))]
-                out.append(np.concatenate([[loss[test].sum(), test.sum()], *sums]))
+                scored = np.zeros(2)
+                if level == 0:
+                    test = np.flatnonzero(outside & (f != job.skip))
+                    z = margin(job, no, bins[:, test], kept[test], since, t)
+                    scored[:] = (np.logaddexp(0, z) - y[test] * z).sum(), len(test)
+                # The sample comes first, so that only its rows go down the trees.
+                use = np.flatnonzero(~outside & (f != job.skip) & (_spread(h, job.seed * 7919 + t) < p["sample"]))
+                own = bins[:, use]
+                if level:
+                    slot = np.full(len(job.trees[t]), -1)
+                    slot[job.open_] = np.arange(len(job.open_))
+                    node = slot[_leaf_of(job.trees[t], own)]
+                    at = np.flatnonzero(node >= 0)
+                    use, own, node = use[at], own[:, at], node[at]
+                else:
+                    node = np.zeros(len(use), np.int64)
+                q = 1 / (1 + np.exp(-np.clip(margin(job, no, own, kept[use], since, t), -35, 35)))
+                sums = np.zeros((3, *shape))
+                for i, feature in enumerate(_in_tree(job, k)):
+                    cell = node * most + own[feature]
+                    for j, w in enumerate((None, q - y[use], q * (1 - q))):
+                        sums[j, i] = np.bincount(cell, w, shape[1] * most).reshape(shape[1:])
+                out += [scored, sums.ravel()]
             return np.concatenate(out)
 
-        total = array_sum(rows, of, sum(sizes))
-        return np.split(total, np.cumsum(sizes)[:-1])
+        total = np.split(array_sum(rows, of, sum(sizes)), np.cumsum(sizes)[:-1])
+        found = []
+        for (_, job), shape, part in zip(now, shapes, total):
+            whole = np.zeros((3, shape[1], k, most))
+            whole[:, :, _in_tree(job, k)] = part[2:].reshape(3, *shape).transpose(0, 2, 1, 3)
+            found.append((part[0], part[1], whole))
+        return found
 
     def first(batch: pa.RecordBatch) -> np.ndarray:
         _, y, f, h, _ = opened(batch)
@@ -175,21 +203,21 @@ def boosted(train: DataFrame, label: str, key: str, candidates: Sequence[Mapping
             now = [(i, j) for i, j in now if j.open_ and not j.done and level < j.params["depth"]]
             if not now:
                 break
-            for (i, job), part in zip(now, histograms(now, since)):
+            for (i, job), part in zip(now, histograms(now, since, level)):
                 if level == 0:
                     job.losses.append(part[0] / max(part[1], 1))
                     if t >= job.params["trees"] or (held and t % EVERY == 0 and _flat(job.losses[::EVERY], stop_tol)):
                         job.done = True
                         job.trees.pop()
                         continue
-                _split(job, part[2:].reshape(3, len(job.open_), k, most), level, by_bins[job.params["bins"]])
+                _split(job, part[2], level, by_bins[job.params["bins"]])
         if (t + 1) % MARGINS == 0 and any(not j.done for j in jobs):
             upto = since + MARGINS
 
             def moved(batches: Iterator[pa.RecordBatch], since: int = since, upto: int = upto) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     flat, _, _, _, kept = opened(batch)
-                    z = np.stack([margin(j, i, flat[:, order[j.params["bins"]]], kept, since, upto) for i, j in enumerate(jobs)], axis=1)
+                    z = np.stack([margin(j, i, flat[:, order[j.params["bins"]]].T, kept, since, upto) for i, j in enumerate(jobs)], axis=1)
                     yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([r.tobytes() for r in z], pa.binary())], names=["bins", "y", "fold", "h", "m"])
 
             rows, since = stored(rows.mapInArrow(moved, "bins binary, y double, fold int, h bigint, m binary"), "binned"), upto
@@ -206,11 +234,15 @@ def _flat(scored: list[float], tol: float, rounds: int = 3) -> bool:
     return min(means[-rounds:]) > min(means[:-rounds]) * (1 - tol)
 
 
+def _in_tree(job: Job, k: int) -> np.ndarray:
+    """The features that the last tree of a job may use."""
+    return np.random.default_rng([job.seed, len(job.trees)]).permutation(k)[:max(1, math.ceil(job.params["columns_tree"] * k))]
+
+
 def _split(job: Job, sums: np.ndarray, level: int, cuts: list[np.ndarray]) -> None:
     """Split the open nodes of a job's last tree by its histograms, and value their children."""
     p, tree, k = job.params, job.trees[-1], sums.shape[2]
-    draw = np.random.default_rng([job.seed, len(job.trees)])
-    in_tree = draw.permutation(k)[:max(1, math.ceil(p["columns_tree"] * k))]
+    in_tree = _in_tree(job, k)
     share = min(1.0, max(0.0, p["columns"] * p["columns_change"] ** level))
     draw = np.random.default_rng([job.seed, len(job.trees), level])
     rate = p["rate"] * p["anneal"] ** (len(job.trees) - 1)
@@ -219,7 +251,7 @@ def _split(job: Job, sums: np.ndarray, level: int, cuts: list[np.ndarray]) -> No
         allowed = np.zeros(k, bool)
         allowed[draw.permutation(in_tree)[:max(1, math.ceil(share * len(in_tree)))]] = True
         n, g, h = (np.cumsum(s[slot], axis=1) for s in sums)
-        alln, allg, allh = n[0, -1], g[0, -1], h[0, -1]
+        alln, allg, allh = (x[in_tree[0], -1] for x in (n, g, h))
         if level == 0:
             tree[name].value = -rate * allg / (allh + p["l2"])
         gain = g ** 2 / (h + p["l2"]) + (allg - g) ** 2 / (allh - h + p["l2"]) - allg ** 2 / (allh + p["l2"])

@@ -584,9 +584,9 @@ def _(spark, sf):
     train, test = prepared(spark, sf)
     folded = checkpoint(models.add_folds(train, "retained", "orderkey", 2))
     grown = boosting.boosted(folded, "retained", "orderkey", BOOSTED)
-    scores = checkpoint(board.together([
+    scores = board.together([  # read once
         m.score(folded.filter(F.col("fold") == f)).select(F.lit(f"gbm_grid_model_{i}").alias("model"), "fold", "orderkey", "retained", "pred")
-        for i, some in enumerate(grown) for f, m in enumerate(some[:-1])]))
+        for i, some in enumerate(grown) for f, m in enumerate(some[:-1])])
     best = int(board.top(scores, "retained", 1)[0].rsplit("_", 1)[1])
     return results("gbm", grown[best][-1], folded, test)
 
