@@ -14,8 +14,12 @@ def test_only_features_of_the_tree_are_added_up(spark, monkeypatch):
     sizes = []
     array_sum = boosting.array_sum
     monkeypatch.setattr(boosting, "array_sum", lambda frame, of, size: sizes.append(size) or array_sum(frame, of, size))
-    grown = boosting.boosted(df, "y", "key", [{"trees": 2, "depth": 1, "bins": 8, "columns_tree": 0.5, "min_rows": 5}], fold=None)[0][0]
-    assert sizes[1] == 2 + 3 * 2 * 8  # of 4 features; held-out loss and rows come first
+    first = {}
+    for share in (0.5, 1.0):
+        sizes.clear()
+        grown = boosting.boosted(df, "y", "key", [{"trees": 2, "depth": 1, "bins": 8, "columns_tree": share, "min_rows": 5}], fold=None)[0][0]
+        first[share] = sizes[1] - 2  # held-out loss and rows come first
+    assert first[1.0] == 2 * first[0.5]
     assert len(grown.trees) == 2 and all(len(t) == 3 for t in grown.trees)
 
 
