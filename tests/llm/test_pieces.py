@@ -51,7 +51,7 @@ def test_a_leaf_is_found_once_and_shards_keep_their_bound(spark, monkeypatch):
     """Sizes come from a part of the rows; shards that turn out larger are cut, and every id has one place."""
     ready(spark)
     monkeypatch.setattr(packing, "SIZES", 100)
-    rows = [(i % 900, f"subject{i % 7} common word{i % 50} x{i}" if i % 3 else "the same text") for i in range(1000)]
+    rows = [(i, f"subject{i % 7} common word{i % 50} x{i}" if i % 3 else "the same text") for i in range(1000)]
     docs = spark.createDataFrame([*rows, (None, None)], "doc_id bigint, text string")
     asked = spark.sparkContext.accumulator(0)
     grown = packing.Tree.grown
@@ -71,10 +71,12 @@ def test_a_leaf_is_found_once_and_shards_keep_their_bound(spark, monkeypatch):
     assert sum(r.length for r in got) == sum(len(packing.encode(t or "")) for _, t in [*rows, (None, None)])
     docs_of, place = {}, {}
     for r in got:
-        docs_of.setdefault(r.sequence_id >> 24, []).append(r)
+        docs_of.setdefault(r.sequence_id >> 32, set()).add((r.doc_id is None, r.doc_id))
         place.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for held in docs_of.values():
-        assert sum(r.start == 0 for r in held) <= 40
+    # A shard is cut after each 40 of its documents, in order.
+    part = {doc: (shard, k // 40) for shard, held in docs_of.items() for k, (_, doc) in enumerate(sorted(held, key=lambda d: (d[0], d[1] or 0)))}
+    assert max(len(held) for held in docs_of.values()) > 40
+    assert all(len({part[r.doc_id] for r in got if r.sequence_id == q}) == 1 for q in place)
     for pieces in place.values():
         at = 0
         for offset, length in sorted(pieces):
