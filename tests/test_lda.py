@@ -27,7 +27,8 @@ def by_spark(counts, k, max_iter, n_terms):
     index = checkpoint(dense_index(words, "term", "id"))
     size = index.count()
     sparse = F.udf(lambda cells: Vectors.sparse(size, sorted((c["id"], float(c["tf"])) for c in cells)), VectorUDT())
-    rows = words.filter("doc IS NOT NULL").join(index, "term").groupBy("doc").agg(sparse(F.collect_list(F.struct("id", "tf"))).alias("features"))
+    vectors = words.join(index, "term").groupBy("doc").agg(sparse(F.collect_list(F.struct("id", "tf"))).alias("features"))
+    rows = vectors.join(dense_index(words, "doc", "number"), "doc")
     model = LDA(k=k, maxIter=max_iter, seed=1, optimizer="em", docConcentration=[1.1], topicConcentration=1.1).fit(rows.select("features"))
     got = model.describeTopics(n_terms).select("topic", F.inline(F.arrays_zip("termIndices", "termWeights")))
     return got.join(index, F.col("termIndices") == F.col("id")).select("topic", "term", F.col("termWeights").alias("weight"))
